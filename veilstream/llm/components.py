@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from veilstream.llm.store import Store
 
+#: Up to so many edges a step runs in one task and without exchanges, however many shuffle partitions are set.
+ONE_TASK = 200_000
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -36,6 +39,8 @@ def components(edges: DataFrame, store: Store, name: str) -> DataFrame:
     state, k = _state(now), 0
     while state[0]:
         k += 1
+        if state[0] <= ONE_TASK:
+            now = now.coalesce(1)
         step = store.keep(_small_star(_large_star(now)), f"{name}-{k}")
         after = _state(step)
         store.drop(f"{name}-{k - 1}")
