@@ -25,7 +25,7 @@ from veilstream.llm.crf import Adam, posterior, transition_counts, true_transiti
 from veilstream.llm.quality import remainder
 from veilstream.llm.textnum import slices, word_hashes, words
 
-TRAIN_DOCS, TRAIN_CHARS = 2000, 1500
+TRAIN_DOCS, TRAIN_CHARS = 1200, 1500
 BITS = 17
 TABLES = 5  # bigram, trigram, head, tail, word
 
@@ -107,7 +107,7 @@ class Model:
         return names, scores
 
 
-def fit(w: Words, langs: list[str], steps: int = 40) -> Model:
+def fit(w: Words, langs: list[str], steps: int = 30) -> Model:
     """langs: the language of each row."""
     names = sorted(set(langs))
     y = np.repeat([names.index(x) for x in langs], np.diff(w.first))

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilstream.llm.crf import Adam, posterior, transition_counts, true_transitions
 from veilstream.llm.textnum import slices, word_hashes, words
@@ -158,17 +159,17 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
     return fit(x, n, at, np.array([r.quality for r in got])) if len(x) else None
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with `score`; every other column stays."""
-    kept = docs.drop("score")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema.fields)}, score double"
+def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
+    """docs with the score in a column `name`, instead of any of that name; every other column stays."""
+    kept = docs.drop(name)
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for _, raw, at in slices(batch.column("text")):
                 out.append(model.scores(*lines(raw, at)) if model else np.ones(len(at) - 1))
-            yield batch.append_column("score", pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64()))
+            yield batch.append_column(name, pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64()))
 
     return kept.mapInArrow(run, schema)
 

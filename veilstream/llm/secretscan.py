@@ -34,6 +34,8 @@ ALLOWED = [
     r"^[A-Za-z]+([_/-][A-Za-z]+)*[_/=-]?[0-9]{1,4}$",  # words joined, with a number
 ]
 
+#: Names of the added columns, unlikely among a table's own.
+BASE, SECRETS, CANDIDATES = "_veil_base", "_veil_secrets", "_veil_candidates"
 SPANS = "array<struct<kind:int,start:int,end:int>>"
 
 
@@ -76,16 +78,16 @@ def is_random(value: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `base` and `secrets` (base and entropy), arrays of (kind, start, end) by start, then kind."""
+    """docs with BASE and SECRETS (base and entropy), arrays of (kind, start, end) by start, then kind."""
     t = F.coalesce(F.col(text), F.lit(""))
     assign = F.filter(matches(t, ASSIGN), lambda x: F.length(x["text"]) >= 8)
     access = F.filter(matches(t, ACCESS, groups=False, needs="AKIA"), lambda x: F.length(x["text"]) >= 16)
     found = F.concat(_spans(assign, "assign"), _spans(access, "access"), _spans(matches(t, HEX, groups=False), "hex"))
     by_start = lambda a: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    out = docs.withColumn("base", by_start(found)).withColumn("_candidates", matches(t, CANDIDATE, groups=False))
-    clear = F.filter("_candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    out = docs.withColumn(BASE, by_start(found)).withColumn(CANDIDATES, matches(t, CANDIDATE, groups=False))
+    clear = F.filter(CANDIDATES, lambda c: ~F.exists(BASE, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     extra = F.filter(clear, lambda c: is_random(c["text"]))
-    return out.withColumn("secrets", by_start(F.concat("base", _spans(extra, "entropy")))).drop("_candidates")
+    return out.withColumn(SECRETS, by_start(F.concat(BASE, _spans(extra, "entropy")))).drop(CANDIDATES)
 
 
 def joined(spans: Column, kinds: list[str]) -> Column:
@@ -109,5 +111,5 @@ def redact(text: Column, spans: Column, with_: str) -> Column:
 def digest(docs: DataFrame) -> DataFrame:
     """The scan's columns of one document a row: counts, the base spans' SHA-256 and all spans."""
     s = scan(docs.select(F.col("doc_id"), "text"))
-    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}") for i in range(3)]
-    return s.select("doc_id", *counts, F.sha2(joined(F.col("base"), KINDS).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets"), KINDS).alias("spans"))
+    counts = [F.size(F.filter(BASE, lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}") for i in range(3)]
+    return s.select("doc_id", *counts, F.sha2(joined(F.col(BASE), KINDS).cast("binary"), 256).alias("base_sha256"), joined(F.col(SECRETS), KINDS).alias("spans"))
