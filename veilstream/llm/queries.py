@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilstream.llm import decontam, language, mixing, pii, quality, secretscan, warc
+from veilstream.llm import decontam, language, lm, mixing, pii, quality, secretscan, warc
 from veilstream.llm.minhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL["op9_lm_scores"] = lm.SQL
