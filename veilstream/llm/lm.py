@@ -1,12 +1,12 @@
 """Stupid-backoff scores of documents under the bigram model of the whole corpus.
 
-A word's score after another is c(pair)/c(first) if the pair occurs `least` times or more, else BACKOFF * c(word)/N; a
-text's first word scores c(word)/N. A document's score is the sum of the logarithms, each in millionths, so sums don't
+A word's score after another is c(pair)/c(first with any next word) if the pair occurs `least` times or more, else
+BACKOFF * c(word)/N; a text's first word scores c(word)/N. A document's score is the sum of the logarithms, each in millionths, so sums don't
 depend on their order. Counts cover every row.
 
 The count tables are partitioned by hash, and the exploded n-grams of the documents go to the partitions of their own
-keys: pairs first; from there each occurrence asks for one word, the first of a seen pair or the last of an unseen one;
-then sums go to their documents. Occurrences travel packed: many of one partition in a row, words of many occurrences
+keys: pairs first, all pairs of one first word together unless that is hot; from there unseen occurrences ask for their
+last word; then sums go to their documents. Occurrences travel packed: many of one partition in a row, words of many occurrences
 as numbers in a list. Words and pairs with at least one in HOT of all occurrences never travel: two passes find and
 count them, at most 2*HOT of either, and they are broadcast. So no partition grows with a frequent word or pair.
 
@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from veilstream.llm.store import Store
 from veilstream.llm.textnum import mix, slices, word_hashes
 
-HOT = 20_000
+HOT = 32_000
 BACKOFF = 0.4
 CHUNK = 1_500_000  # words a task works on at once
-PER_BUCKET, DOCS_PER_BUCKET = 400_000, 20_000
+PER_BUCKET, DOCS_PER_BUCKET = 1_200_000, 20_000
 NONE = np.iinfo(np.int64).min
 ROWS = "stage int, bucket int, kind int, payload binary"
 
@@ -91,8 +91,9 @@ def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == x, at + 1, 0)
 
 
-def _hot(docs: DataFrame) -> tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]:
-    """Numbers of words and rows, and the sorted keys and exact counts of hot words (even keys) and pairs (odd keys)."""
+def _hot(docs: DataFrame) -> tuple:
+    """Numbers of words and rows; sorted keys of hot words (even), their counts, and counts with a next word; sorted keys
+    of hot pairs (odd), and their counts."""
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, h, first in _chunks(batches):
@@ -117,14 +118,17 @@ def _hot(docs: DataFrame) -> tuple[int, int, list[tuple[np.ndarray, np.ndarray]]
         keys = shared.value
         for _, h, first in _chunks(batches):
             to = _later(h, first)
-            c = np.bincount(_find(keys, h & ~np.uint64(1)), minlength=len(keys) + 1) + np.bincount(_find(keys, _pairs(h[to - 1], h[to])), minlength=len(keys) + 1)
+            size = len(keys) + 1
+            i = _find(keys, h & ~np.uint64(1))
+            c = np.bincount(i, minlength=size) + np.bincount(_find(keys, _pairs(h[to - 1], h[to])), minlength=size)
+            before = np.bincount(i[to - 1], minlength=size)
             some = np.flatnonzero(c[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(c[1:][some])], ["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(c[1:][some]), pa.array(before[1:][some])], ["key", "n", "before"])
 
-    counted = {r.key: r.n for r in docs.mapInArrow(exact, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()} if len(near) else {}
-    counts = np.array([counted.get(int(k), 0) for k in near.view(np.int64)], np.int64)
+    counted = {r.key: (r.n, r.before) for r in docs.mapInArrow(exact, "key long, n long, before long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("before").alias("before")).collect()} if len(near) else {}
+    counts = np.array([counted.get(int(k), (0, 0)) for k in near.view(np.int64)], np.int64).reshape(-1, 2)
     odd = (near & np.uint64(1)).astype(bool)
-    return n, rows, [(near[~odd], counts[~odd]), (near[odd], counts[odd])]
+    return n, rows, near[~odd], counts[~odd, 0], counts[~odd, 1], near[odd], counts[odd, 0]
 
 
 class _Out:
@@ -143,11 +147,11 @@ class _Out:
             if ends[b] < ends[b + 1]:
                 yield b, order[ends[b] : ends[b + 1]]
 
-    def ask(self, w: np.ndarray, doc: np.ndarray, sign: np.ndarray) -> None:
-        """Requests for words' counts, with the sign of their logarithm."""
+    def ask(self, w: np.ndarray, doc: np.ndarray) -> None:
+        """Requests for the logarithms of words' counts."""
         for b, at in self.split(mix(w) % np.uint64(self.words), self.words):
             at = at[np.argsort(doc[at], kind="stable")]
-            self.add(1, b, 1, _pack(w[at], np.diff(doc[at], prepend=0), sign[at]))
+            self.add(1, b, 1, _pack(w[at], np.diff(doc[at], prepend=0)))
 
     def sums(self, doc: np.ndarray, *values: np.ndarray) -> None:
         """Sums for documents: millionths of the score, seen pairs, tokens."""
@@ -169,81 +173,81 @@ class _Out:
 def score(docs: DataFrame, least: int = 2) -> DataFrame:
     """doc_id, n_tokens, n_seen (pairs taken from the pair table), score (sum of logarithms)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n, rows, ((hot_w, count_w), (hot_p, count_p)) = _hot(docs)
-    buckets, doc_buckets = max(256, -(-n // PER_BUCKET)), max(64, -(-rows // DOCS_PER_BUCKET))
-    shared = docs.sparkSession.sparkContext.broadcast((hot_w, _log(np.maximum(count_w, 1)), hot_p, np.where(count_p >= least, _log(np.maximum(count_p, 1)), -1)))
+    n, rows, hot_w, count_w, next_w, hot_p, count_p = _hot(docs)
+    buckets, doc_buckets = max(128, -(-n // PER_BUCKET)), max(64, -(-rows // DOCS_PER_BUCKET))
+    shared = docs.sparkSession.sparkContext.broadcast((hot_w, _log(np.maximum(count_w, 1)), _log(np.maximum(next_w, 1)), hot_p, np.where(count_p >= least, _log(np.maximum(count_p, 1)), -1)))
     unseen = int(_log(BACKOFF)) - int(_log(float(max(n, 1))))
     alone = -int(_log(float(max(n, 1))))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, log_w, pairs, log_p = shared.value
+        words, log_w, log_next, pairs, log_p = shared.value
         for ids, h, first in _chunks(batches):
             out = _Out(buckets, doc_buckets)
             h = h & ~np.uint64(1)
             doc = np.repeat(ids, np.diff(first))
             i_w = _find(words, h)
-            cold = h[i_w == 0]
-            k, c = np.unique(cold, return_counts=True)
+            k, c = np.unique(h[i_w == 0], return_counts=True)
             for b, at in out.split(mix(k) % np.uint64(buckets), buckets):
                 out.add(1, b, 0, _pack(k[at], c[at].astype(np.int64)))
             value = np.zeros(len(h), np.int64)
             seen = np.zeros(len(h), np.int64)
-            ask_w, ask_d, ask_s = [], [], []
-
-            def take(at: np.ndarray, of: np.ndarray, sign: int) -> None:
-                """Add the logarithm of the counts of words `of` to positions `at`, or ask for it."""
-                known = i_w[of] > 0  # noqa: B023
-                value[at[known]] += sign * log_w[i_w[of[known]] - 1]  # noqa: B023
-                ask_w.append(h[of[~known]])  # noqa: B023
-                ask_d.append(doc[at[~known]])  # noqa: B023
-                ask_s.append(np.full((~known).sum(), sign, np.int8))  # noqa: B023
-
-            begin = first[:-1][np.diff(first) > 0]
-            value[begin] += alone
-            take(begin, begin, 1)
             to = _later(h, first)
             i_p = _find(pairs, _pairs(h[to - 1], h[to]))
-            at = to[i_p > 0]
+            at = to[i_p > 0]  # hot pairs; their first words are hot, as no chunk has more of the pair than of the word
             logs = log_p[i_p[i_p > 0] - 1] if len(at) else np.zeros(0, np.int64)
             yes, no = at[logs >= 0], at[logs < 0]
-            value[yes] += logs[logs >= 0]
+            if len(yes):
+                value[yes] = logs[logs >= 0] - log_next[i_w[yes - 1] - 1]
             seen[yes] = 1
-            take(yes, yes - 1, -1)
-            value[no] += unseen
-            take(no, no, 1)
+            begin = first[:-1][np.diff(first) > 0]
+            value[begin], value[no] = alone, unseen
+            single = np.concatenate([begin, no])
+            known = single[i_w[single] > 0]
+            if len(known):
+                value[known] += log_w[i_w[known] - 1]
+            asking = single[i_w[single] == 0]
+            out.ask(h[asking], doc[asking])
             to = to[i_p == 0]
-            where = _pairs(h[to - 1], h[to]) >> np.uint64(1)
+            i1, i2 = i_w[to - 1], i_w[to]
+            where = np.where(i1 > 0, _pairs(h[to - 1], h[to]) >> np.uint64(1), mix(h[to - 1]))
             for b, own in out.split(where % np.uint64(buckets), buckets):
+                own = own[np.argsort(doc[to[own]], kind="stable")]
                 p = to[own]
-                p = p[np.argsort(doc[p], kind="stable")]
-                i1, i2 = i_w[p - 1], i_w[p]
-                out.add(0, b, 0, _pack(i1.astype(np.uint16), i2.astype(np.uint16), h[p - 1][i1 == 0], h[p][i2 == 0], np.diff(doc[p], prepend=0)))
-            out.ask(np.concatenate(ask_w), np.concatenate(ask_d), np.concatenate(ask_s))
+                cold, place = np.unique(h[p - 1][i1[own] == 0], return_inverse=True)
+                kind, small = (0, np.uint16) if len(cold) < 65_536 else (2, np.uint32)
+                out.add(0, b, kind, _pack(i1[own].astype(np.uint16), i2[own].astype(np.uint16), cold, place.astype(small), h[p][i2[own] == 0], np.diff(doc[p], prepend=0)))
             out.sums(np.concatenate([doc, ids]), np.concatenate([value, np.zeros(len(ids), np.int64)]), np.concatenate([seen, np.zeros(len(ids), np.int64)]), np.concatenate([np.ones(len(doc), np.int64), np.zeros(len(ids), np.int64)]))
             yield from out.batch().to_batches(max_chunksize=512)
 
     def join_pairs(table: pa.Table) -> pa.Table:
         if table["stage"][0].as_py() != 0:
             return table
-        words, log_w, _, _ = shared.value
-        a, b, d = [], [], []
-        for p in table["payload"].to_pylist():
-            i1, i2, x1, x2, doc = _unpack(p, np.uint16, np.uint16, np.uint64, np.uint64, np.int64)
-            for i, x, to in ((i1, x1, a), (i2, x2, b)):
+        words, log_w, log_next, _, _ = shared.value
+        a, b, d, hot_a, hot_b = [], [], [], [], []
+        for p, kind in zip(table["payload"].to_pylist(), table["kind"].to_pylist(), strict=True):
+            i1, i2, cold, place, x2, doc = _unpack(p, np.uint16, np.uint16, np.uint64, np.uint16 if kind == 0 else np.uint32, np.uint64, np.int64)
+            for i, x, to in ((i1, cold[place], a), (i2, x2, b)):
                 w = np.zeros(len(i), np.uint64)
                 w[i > 0] = words[i[i > 0].astype(np.int64) - 1] if len(words) else 0
                 w[i == 0] = x
                 to.append(w)
+            hot_a.append(i1.astype(np.int64))
+            hot_b.append(i2.astype(np.int64))
             d.append(np.cumsum(doc))
-        a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(d)
+        a, b, d, hot_a, hot_b = (np.concatenate(x) for x in (a, b, d, hot_a, hot_b))
         _, of, c = np.unique(_pairs(a, b), return_inverse=True, return_counts=True)
         is_seen = c[of] >= least
-        value = np.where(is_seen, _log(c)[of], unseen)
-        want, sign = np.where(is_seen, a, b), np.where(is_seen, -1, 1).astype(np.int8)
-        i = _find(words, want)
-        value[i > 0] += sign[i > 0] * log_w[i[i > 0] - 1] if len(words) else 0
+        _, of_a, c_a = np.unique(a, return_inverse=True, return_counts=True)  # all pairs of a first word that isn't hot
+        nexts = _log(c_a)[of_a]
+        if len(words):
+            nexts[hot_a > 0] = log_next[hot_a[hot_a > 0] - 1]
+        value = np.where(is_seen, _log(c)[of] - nexts, unseen)
+        if len(words):
+            known = ~is_seen & (hot_b > 0)
+            value[known] += log_w[hot_b[known] - 1]
+        asking = ~is_seen & (hot_b == 0)
         out = _Out(buckets, doc_buckets)
-        out.ask(want[i == 0], d[i == 0], sign[i == 0])
+        out.ask(b[asking], d[asking])
         out.sums(d, value, is_seen.astype(np.int64), np.zeros(len(d), np.int64))
         return out.batch()
 
@@ -255,13 +259,13 @@ def score(docs: DataFrame, least: int = 2) -> DataFrame:
         keys, of = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
         counts = np.zeros(len(keys), np.int64)
         np.add.at(counts, of, np.concatenate([g[1] for g in got]))
-        asked = [_unpack(p, np.uint64, np.int64, np.int8) for p, k in zip(payloads, kinds, strict=True) if k == 1]
+        asked = [_unpack(p, np.uint64, np.int64) for p, k in zip(payloads, kinds, strict=True) if k == 1]
         out = _Out(buckets, doc_buckets)
         if asked:
-            w, sign = np.concatenate([x[0] for x in asked]), np.concatenate([x[2] for x in asked]).astype(np.int64)
+            w = np.concatenate([x[0] for x in asked])
             doc = np.concatenate([np.cumsum(x[1]) for x in asked])
             zero = np.zeros(len(w), np.int64)
-            out.sums(doc, sign * _log(counts)[np.searchsorted(keys, w)], zero, zero)
+            out.sums(doc, _log(counts)[np.searchsorted(keys, w)], zero, zero)
         return out.batch()
 
     def total(table: pa.Table) -> pa.Table:
@@ -285,11 +289,12 @@ WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), t AS (SELECT doc_id, unnest(w) AS b, unnest(list_prepend(NULL, w[1:len(w) - 1])) AS a FROM w WHERE len(w) > 0
 ), c1 AS (SELECT b AS w, count(*) AS c FROM t GROUP BY b
+), ca AS (SELECT a AS w, count(*) AS c FROM t WHERE a IS NOT NULL GROUP BY a
 ), c2 AS (SELECT a, b, count(*) AS c FROM t WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2
 ), n AS (SELECT round(ln(count(*)) * 1e6)::BIGINT AS n, round(ln(0.4) * 1e6)::BIGINT AS off FROM t
 ), s AS (
   SELECT t.doc_id, c2.c IS NOT NULL AS seen, CASE WHEN c2.c IS NOT NULL THEN round(ln(c2.c) * 1e6) - round(ln(x.c) * 1e6) WHEN t.a IS NULL THEN round(ln(y.c) * 1e6) - n.n ELSE n.off + round(ln(y.c) * 1e6) - n.n END::BIGINT AS v
-  FROM t CROSS JOIN n LEFT JOIN c2 ON c2.a = t.a AND c2.b = t.b LEFT JOIN c1 x ON x.w = t.a JOIN c1 y ON y.w = t.b
+  FROM t CROSS JOIN n LEFT JOIN c2 ON c2.a = t.a AND c2.b = t.b LEFT JOIN ca x ON x.w = t.a JOIN c1 y ON y.w = t.b
 ), d AS (SELECT doc_id, count(*) AS n_tokens, sum(seen::INT)::BIGINT AS n_seen, sum(v)::BIGINT AS v FROM s GROUP BY doc_id)
 SELECT documents.doc_id, coalesce(n_tokens, 0)::BIGINT AS n_tokens, coalesce(n_seen, 0)::BIGINT AS n_seen, coalesce(v, 0) / 1e6::DOUBLE AS score FROM documents LEFT JOIN d USING (doc_id)
 """
