@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilstream.functions.matching import matches
-from veilstream.llm.secretscan import joined
+from veilstream.llm.secretscan import joined, of_kind
 from veilstream.llm.store import Store
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -159,5 +159,5 @@ def find(docs: DataFrame, least: float = 0.6) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     s = find(docs)
-    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [of_kind(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return s.select("doc_id", *counts, F.sha2(joined(F.col("base"), KINDS).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans"), KINDS).alias("spans"))

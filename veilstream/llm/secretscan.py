@@ -96,6 +96,11 @@ def joined(spans: Column, kinds: list[str]) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def of_kind(spans: Column, kind: int) -> Column:
+    """The number of spans of a kind."""
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def redact(text: Column, spans: Column, with_: str) -> Column:
     """text with each span replaced; overlapping spans by one replacement. spans are sorted by start."""
     t = F.coalesce(text, F.lit(""))
@@ -111,5 +116,5 @@ def redact(text: Column, spans: Column, with_: str) -> Column:
 def digest(docs: DataFrame) -> DataFrame:
     """The scan's columns of one document a row: counts, the base spans' SHA-256 and all spans."""
     s = scan(docs.select(F.col("doc_id"), "text"))
-    counts = [F.size(F.filter(BASE, lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}") for i in range(3)]
+    counts = [of_kind(F.col(BASE), i).alias(f"n_{KINDS[i]}") for i in range(3)]
     return s.select("doc_id", *counts, F.sha2(joined(F.col(BASE), KINDS).cast("binary"), 256).alias("base_sha256"), joined(F.col(SECRETS), KINDS).alias("spans"))
