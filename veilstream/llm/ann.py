@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from veilstream.llm.store import Store
 
-NEIGHBOURS, SAMPLE, ROUNDS = 32, 16, 7
-BEAM, WIDTH, HOPS = 160, 40, 8
+NEIGHBOURS, SAMPLE, ROUNDS = 32, 16, 8
+BEAM, WIDTH, HOPS = 192, 24, 12
 
 
 def _long(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
