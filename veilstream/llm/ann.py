@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstream.llm.store import Store
@@ -200,8 +200,9 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     # copies: the node is the smallest id; of a node's members only the k+1 smallest can be among k nearest
     nodes = rows.groupBy("v").agg(F.min("vec_id").alias("id"))
     member = rows.join(nodes, "v").select("id", "vec_id")
-    slots = member.groupBy("id", F.pmod(F.xxhash64("vec_id"), F.lit(16)).alias("slot")).agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("m"))
-    members = slots.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("m"))), 1, k + 1).alias("m"))
+    # the limit on the row number is applied before the exchange too, so a vector with many copies sends k+1 a task
+    first = member.withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).where(F.col("i") <= k + 1)
+    members = first.groupBy("id").agg(F.array_sort(F.collect_list("vec_id")).alias("m"))
     nodes = store.keep(nodes.join(members, "id"), "nodes")
     vectors = store.keep(nodes.select("id", "v").mapInArrow(_half, "id long, h binary"), "vectors")
     graph = build(vectors, store)
