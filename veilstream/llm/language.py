@@ -5,9 +5,9 @@ bytes, and itself as a lexicon entry; each indexes a table of weights per langua
 often a text stays in a language from word to word. Forward-backward marginals, weighted by word length, are summed
 over the text; the language with the largest share is predicted and the share is the score.
 
-At most `train_docs` documents with a language (smallest hash of doc_id first) are fitted on, and of each at most its
-first `train_chars` characters; every word of every text is labelled. A text that is null or has no letter gives `und`
-with score 0. Without training documents every text gives `und`. Ties go to the language that sorts first. Repeated
+Fitted on are whole texts of at most `train_docs` documents with a language, smallest hash of doc_id first, while they
+have at most `train_chars` characters together (the first is always taken); every word of every text is labelled. A text
+that is null or has no letter gives `und` with score 0. Without training documents every text gives `und`. Ties go to the language that sorts first. Repeated
 rows are each labelled. lang, source and doc_id are never inputs of a prediction.
 """
 
@@ -18,14 +18,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstream.llm.crf import Adam, posterior, transition_counts, true_transitions
 from veilstream.llm.quality import remainder
 from veilstream.llm.textnum import slices, word_hashes, words
 
-TRAIN_DOCS, TRAIN_CHARS = 1200, 1500
+TRAIN_DOCS, TRAIN_CHARS = 1200, 1_800_000
+#: So many times train_docs rows, by hash, are expected to be sorted for the sample.
+SPARE = 4
 BITS = 17
 TABLES = 5  # bigram, trigram, head, tail, word
 
@@ -130,8 +132,15 @@ def fit(w: Words, langs: list[str], steps: int = 30) -> Model:
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Model | None:
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
-    rows = usable.select("lang", F.substring("text", 1, train_chars).alias("text"), F.xxhash64("doc_id").alias("o")).orderBy("o", "text").limit(train_docs).collect()
+    usable = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), 4) != 2)).withColumn("_veil_o", F.xxhash64("doc_id"))
+    n = usable.count()
+    if n > SPARE * train_docs:  # few rows of each partition are sorted
+        usable = usable.where(F.col("_veil_o") < int(2**64 * (SPARE * train_docs / n)) - 2**63)
+    first = usable.where(F.col("text").isNotNull()).select("lang", "text", "_veil_o").orderBy("_veil_o", "text").limit(train_docs)
+    order = Window.orderBy("_veil_o", "text")  # over train_docs rows at most
+    upto = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    sized = first.select("lang", "text", F.row_number().over(order).alias("i"), upto.alias("upto"))
+    rows = sized.where((F.col("i") == 1) | (F.col("upto") <= train_chars)).orderBy("i").collect()
     texts = pa.array([r.text for r in rows], pa.large_string())
     parts = [(raw, at) for _, raw, at in slices(texts)]
     if not parts:
