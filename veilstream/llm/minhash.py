@@ -149,26 +149,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = signed.join(classes, [signed.doc_id == classes.rep, signed.digest == classes.digest]).select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id"])
     reps = store.keep(reps, "reps")
+    store.release()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     banded = _bands(reps, bands, rows)
     open_ = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = store.keep(banded.join(open_, "key"), "members")
+    store.release()
 
     hub = members.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("h"))
     pairs = members.join(hub, "key").where("doc_id <> h.doc_id").where(100 * F.least("n", "h.n") >= percent * F.greatest("n", "h.n"))
     pairs = store.keep(pairs.select(F.col("h.doc_id").alias("u"), F.col("doc_id").alias("v")).distinct(), "pairs")
+    store.release()
     links = store.keep(similar_pairs(pairs, texts, k, percent), "links")
+    store.drop("pairs")
+    store.release()
     found = components(links, store, "star")
+    store.release()
 
     at = members.join(found, members.doc_id == found.node, "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
     several = at.groupBy("key").agg(blocks.alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "blocks")
     left = store.keep(at.join(several, "key").select("key", "doc_id", "comp", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")), "left")
+    store.drop("members")
+    store.release()
     if left.limit(1).count():
         near = reps.select("doc_id", "sig").join(texts, "doc_id").join(left.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         full = left.join(near, "doc_id").groupBy("key", "block").agg(F.collect_list(F.struct("doc_id", "comp", "sig", "text")).alias("rows"))
         full = store.keep(full, "blocks")
+        store.release()
         two = full.select("key", "block", F.col("rows").alias("a")).join(full.select("key", F.col("block").alias("block_b"), F.col("rows").alias("b")), "key")
         two = two.where("block <= block_b").select("a", "b")
         held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -179,7 +188,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
         found = components(links.union(more), store, "all")
         store.drop("blocks", "star")
-    store.drop("members", "left", "pairs")
+    store.drop("left")
+    store.release()
 
     of_rep = classes.join(found, classes.rep == found.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(of_rep, "digest", "left")
