@@ -174,7 +174,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     store.drop("members")
     store.release()
     if left.limit(1).count():
-        near = reps.select("doc_id", "sig").join(texts, "doc_id").join(left.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        ids = left.select("doc_id").distinct()
+        near = reps.select("doc_id", "sig").join(ids, "doc_id", "left_semi").join(texts.join(ids, "doc_id", "left_semi"), "doc_id").dropDuplicates(["doc_id"])
         full = left.join(near, "doc_id").groupBy("key", "block").agg(F.collect_list(F.struct("doc_id", "comp", "sig", "text")).alias("rows"))
         full = store.keep(full, "blocks")
         store.release()
