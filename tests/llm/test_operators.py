@@ -79,6 +79,13 @@ def test_language_on_held_out(spark):
     assert [r[i].lang_pred for i in (80, 81, 82)] == ["und"] * 3 and r[80].score == 0
 
 
+def test_language_with_a_long_text(spark):
+    d = [(i, "the thing and that with this" if i % 2 else "der und nicht auch schön ist", "en" if i % 2 else "de") for i in range(40)] + [(i, "le chat est dans la maison", "fr") for i in (40, 41)]
+    d = spark.createDataFrame([*d, *((i, "the other thing " * 700, "en") for i in range(50, 70))], "doc_id long, text string, lang string")
+    assert language.train(d, train_chars=3000).names == ["de", "en", "fr"]
+    assert language.choose([("a", 1, 9), ("a", 2, 50), ("a", 3, 9), ("b", 4, 99)], 10, 40) == [("a", 1, 9), ("a", 3, 9), ("b", 4, 99)]
+
+
 def test_lm_counts(spark, docs):
     d = spark.createDataFrame([(1, "a b a b"), (2, "a b c"), (3, None), (4, "")], "doc_id long, text string")
     r = {x.doc_id: x for x in lm.score(d).collect()}

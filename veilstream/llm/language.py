@@ -5,8 +5,10 @@ bytes, and itself as a lexicon entry; each indexes a table of weights per langua
 often a text stays in a language from word to word. Forward-backward marginals, weighted by word length, are summed
 over the text; the language with the largest share is predicted and the share is the score.
 
-Fitted on are whole texts of at most `train_docs` documents with a language, smallest hash of doc_id first, while they
-have at most `train_chars` characters together (the first is always taken); every word of every text is labelled. A text
+Fitted on are whole texts of documents with a language, every word of every text labelled. Languages share `train_docs`
+documents and `train_chars` characters evenly, rarest first; what one leaves goes to the next. Within a language texts
+come by smallest hash; one longer than what is left of the share is skipped, and the next is tried. A language of which
+no text fits gives its shortest candidate, so each with a text that may be fitted on can be predicted. A text
 that is null or has no letter gives `und` with score 0. Without training documents every text gives `und`. Ties go to the language that sorts first. Repeated
 rows are each labelled. lang, source and doc_id are never inputs of a prediction.
 """
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilstream.llm.crf import Adam, posterior, transition_counts, true_transitions
@@ -26,7 +28,7 @@ from veilstream.llm.quality import remainder
 from veilstream.llm.textnum import slices, word_hashes, words
 
 TRAIN_DOCS, TRAIN_CHARS = 1200, 1_800_000
-#: So many times train_docs rows, by hash, are expected to be sorted for the sample.
+#: So many times a language's share of documents, by hash, are expected to be looked at for the sample.
 SPARE = 4
 BITS = 17
 TABLES = 5  # bigram, trigram, head, tail, word
@@ -131,16 +133,44 @@ def fit(w: Words, langs: list[str], steps: int = 30) -> Model:
     return model
 
 
+def choose(sizes: list[tuple[str, int, int]], docs: int, chars: int) -> list[tuple[str, int, int]]:
+    """Of (language, hash, characters) the texts to fit on, each language's share filled by smallest hash."""
+    of: dict[str, list[tuple[str, int, int]]] = {}
+    for x in sorted(sizes, key=lambda x: (x[1], x[2])):
+        of.setdefault(x[0], []).append(x)
+    chosen: list[tuple[str, int, int]] = []
+    order = sorted(of, key=lambda k: (sum(x[2] for x in of[k]), k))
+    for i, lang in enumerate(order):
+        n, left = max(docs // (len(order) - i), 1), chars // (len(order) - i)
+        own: list[tuple[str, int, int]] = []
+        for x in of[lang]:
+            if len(own) < n and x[2] <= left:
+                own.append(x)
+                left -= x[2]
+        own = own or [min(of[lang], key=lambda x: (x[2], x[1]))]
+        docs, chars = max(docs - len(own), 0), max(chars - sum(x[2] for x in own), 0)
+        chosen += own
+    return chosen
+
+
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Model | None:
-    usable = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), 4) != 2)).withColumn("_veil_o", F.xxhash64("doc_id"))
-    n = usable.count()
-    if n > SPARE * train_docs:  # few rows of each partition are sorted
-        usable = usable.where(F.col("_veil_o") < int(2**64 * (SPARE * train_docs / n)) - 2**63)
-    first = usable.where(F.col("text").isNotNull()).select("lang", "text", "_veil_o").orderBy("_veil_o", "text").limit(train_docs)
-    order = Window.orderBy("_veil_o", "text")  # over train_docs rows at most
-    upto = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    sized = first.select("lang", "text", F.row_number().over(order).alias("i"), upto.alias("upto"))
-    rows = sized.where((F.col("i") == 1) | (F.col("upto") <= train_chars)).orderBy("i").collect()
+    spark = docs.sparkSession
+    usable = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), 4) != 2) & F.col("text").rlike(r"\p{L}"))
+    usable = usable.select("lang", "text", F.xxhash64("doc_id", "text").alias("_veil_o"))
+    counts = sorted(((r.lang, r.n) for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()), key=lambda x: (x[1], x[0]))
+    if not counts:
+        return None
+    upto, left = [], train_docs
+    for i, (lang, n) in enumerate(counts):  # few rows of each language are looked at
+        share = max(left // (len(counts) - i), 1)
+        look_at = SPARE * (share + 16)  # so many that none is hardly possible
+        upto.append((lang, int(2**64 * (look_at / n)) - 2**63 if n > look_at else 2**63 - 1))
+        left -= min(share, n)
+    limits = F.broadcast(spark.createDataFrame(upto, "lang string, _veil_upto long"))
+    some = usable.join(limits, "lang").where(F.col("_veil_o") <= F.col("_veil_upto"))
+    sizes = [tuple(r) for r in some.select("lang", "_veil_o", F.length("text").alias("n")).distinct().collect()]
+    chosen = F.broadcast(spark.createDataFrame([x[:2] for x in choose(sizes, train_docs, train_chars)], "lang string, _veil_o long"))
+    rows = sorted(usable.join(chosen, ["lang", "_veil_o"]).groupBy("lang", "_veil_o").agg(F.first("text").alias("text")).collect(), key=lambda r: (r._veil_o, r.lang))
     texts = pa.array([r.text for r in rows], pa.large_string())
     parts = [(raw, at) for _, raw, at in slices(texts)]
     if not parts:
