@@ -45,6 +45,24 @@ def test_ann_is_exact_on_a_small_table(spark):
         assert [a.vec_id for a in sorted((a for a in r if a.query_id == q), key=lambda a: a.rank)] == want
 
 
+def test_ann_search_goes_on_to_the_end(spark):
+    # a chain of nodes, each nearer than the last: one new node a hop
+    d = spark.createDataFrame([(i, np.array([i + 1.0], np.float16).tobytes()) for i in range(30)], "id long, h binary")
+    graph = spark.createDataFrame([(i, [i + 1]) for i in range(29)], "id long, n array<long>")
+    asked = d.where("id = 29").select(F.col("id").alias("q"), "h", F.array(F.lit(0).cast("long")).alias("start"))
+    got = ann.search(graph, d, asked, Store(spark, "t"), beam=4, width=1).first()
+    assert list(got.n) == [29, 28, 27, 26]
+
+
+def test_ann_rounds_go_on_until_few_lists_change(spark):
+    x = np.random.default_rng(5).normal(size=(400, 4)).astype(np.float16)
+    d = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id long, h binary")
+    got = {r.id: set(r.n) for r in ann.build(d, Store(spark, "t"), k=8, sample=4, rounds=1).collect()}
+    full = x.astype(np.float32) @ x.astype(np.float32).T
+    np.fill_diagonal(full, -np.inf)
+    assert np.mean([len(got[i] & set(np.argsort(-full[i])[:8].tolist())) / 8 for i in range(400)]) > 0.9
+
+
 def test_posterior_is_forward_backward():
     rng = np.random.default_rng(0)
     emit, trans, at = rng.normal(size=(200, 3)), rng.normal(size=(3, 3)), np.array([0, 0, 1, 130, 200])

@@ -3,10 +3,12 @@
 Equal vectors are one node. The graph starts with random neighbours. In each round every node takes a sample of its
 neighbours and of those that list it (one of each of SAMPLE hash slots, so a node that many list costs no more),
 their vectors meet at the node, and each learns of the others that are nearer than its own farthest neighbour: the join
-of neighbours of neighbours. No vectors are collected or broadcast; half-precision copies travel for this.
+of neighbours of neighbours. Rounds go on, ROUNDS at least, until one changes less than SETTLED of all neighbours. No
+vectors are collected or broadcast; half-precision copies travel for this.
 
 A query starts from its own node's neighbours, or from entry nodes, and takes `width` unvisited best nodes of its list
-of `beam` at a time; all their neighbours, listed and listing, join the list. It ends when the list has been visited.
+of `beam` at a time; all their neighbours, listed and listing, join the list. It ends when the list has been visited,
+however many hops that takes: every hop visits a node not visited before, so it does end.
 Final scores are exact, in double precision on the original vectors.
 
 Vectors that are null, empty, zero, of another length than most, or with null or non-finite parts take no part. Equal
@@ -16,6 +18,7 @@ candidates than k give all.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 
 from veilstream.llm.store import Store
 
-NEIGHBOURS, SAMPLE, ROUNDS = 32, 16, 8
-BEAM, WIDTH, HOPS = 192, 24, 12
+NEIGHBOURS, SAMPLE, ROUNDS, SETTLED = 32, 16, 8, 0.001
+BEAM, WIDTH = 192, 24
 
 
 def _long(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +68,7 @@ def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 GRAPH = "id long, n array<long>, s array<float>"
+MERGED = f"{GRAPH}, fresh int"
 
 
 def _matrix(hs: list[bytes]) -> np.ndarray:
@@ -97,14 +101,15 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _merged(k: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_n, out_s = [], []
+            out_n, out_s, fresh = [], [], []
             (n, at), (s, _) = _long(batch.column("n")), _long(batch.column("s"))
             (n2, at2), (s2, _) = _long(batch.column("n2")), _long(batch.column("s2"))
             for i in range(batch.num_rows):
                 a, b = _top(np.concatenate([n[at[i] : at[i + 1]], n2[at2[i] : at2[i + 1]]]), np.concatenate([s[at[i] : at[i + 1]], s2[at2[i] : at2[i + 1]]]), k)
                 out_n.append(a)
                 out_s.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out_n, pa.list_(pa.int64())), pa.array(out_s, pa.list_(pa.float32()))], ["id", "n", "s"])
+                fresh.append(int((~np.isin(a, n[at[i] : at[i + 1]])).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out_n, pa.list_(pa.int64())), pa.array(out_s, pa.list_(pa.float32())), pa.array(fresh, pa.int32())], ["id", "n", "s", "fresh"])
 
     return run
 
@@ -115,7 +120,7 @@ def _reverse(edges: DataFrame, slots: int, seed: Column | int) -> DataFrame:
     return edges.groupBy(F.col("other").alias("to"), slot.alias("slot")).agg(F.min("id").alias("from")).select(F.col("to").alias("id"), F.col("from").alias("other"))
 
 
-def build(vectors: DataFrame, store: Store, k: int = NEIGHBOURS, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
+def build(vectors: DataFrame, store: Store, k: int = NEIGHBOURS, sample: int = SAMPLE, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
     """vectors (id, h) to the graph: id, n (neighbours, best first), s (their scores)."""
     count = vectors.count()
     # random start: in each of a few random orders, the neighbours by position; orders are hash ranges, not a total sort
@@ -129,10 +134,10 @@ def build(vectors: DataFrame, store: Store, k: int = NEIGHBOURS, sample: int = S
     def merge(graph: DataFrame, news: DataFrame) -> DataFrame:
         g = news.groupBy("id").agg(F.flatten(F.collect_list("n")).alias("n2"), F.flatten(F.collect_list("s")).alias("s2"))
         j = graph.join(g, "id", "left").select("id", "n", "s", F.coalesce("n2", F.array().cast("array<long>")).alias("n2"), F.coalesce("s2", F.array().cast("array<float>")).alias("s2"))
-        return j.mapInArrow(_merged(k), GRAPH)
+        return j.mapInArrow(_merged(k), MERGED)
 
     graph = store.keep(merge(none, best), "graph-0")
-    for r in range(1, rounds + 1):
+    for r in itertools.count(1):
         edges = graph.select("id", F.explode("n").alias("other"))
         mine = graph.select("id", F.explode(F.slice(F.transform(F.array_sort(F.transform("n", lambda x: F.struct(F.xxhash64(x, "id", F.lit(r)).alias("o"), x.alias("x")))), lambda y: y["x"]), 1, sample)).alias("other"))  # noqa: B023
         near = mine.union(_reverse(edges, sample, r)).union(graph.select("id", F.col("id").alias("other")))
@@ -142,7 +147,8 @@ def build(vectors: DataFrame, store: Store, k: int = NEIGHBOURS, sample: int = S
         graph = store.keep(merge(graph, met.mapInArrow(_learn, GRAPH)), f"graph-{r}")
         store.drop(f"graph-{r - 1}")
         store.release()
-    return graph
+        if r >= rounds and (graph.agg(F.sum("fresh")).first()[0] or 0) <= settled * k * count:
+            return graph.drop("fresh")
 
 
 def _expand(beam: int, width: int):  # noqa: ANN202
@@ -167,7 +173,7 @@ def _expand(beam: int, width: int):  # noqa: ANN202
     return run
 
 
-def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, store: Store, beam: int = BEAM, width: int = WIDTH, hops: int = HOPS) -> DataFrame:
+def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, store: Store, beam: int = BEAM, width: int = WIDTH) -> DataFrame:
     """queries (q, h, start: array of node ids) to q, n: the nodes of its final list, best first."""
     edges = graph.select("id", F.explode("n").alias("other"))
     both = edges.union(_reverse(edges, NEIGHBOURS, -1)).groupBy("id").agg(F.collect_set("other").alias("links"))
@@ -176,7 +182,7 @@ def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, store: Stor
     empty = lambda t: F.array().cast(f"array<{t}>")
     now = queries.select("q", "h", empty("long").alias("n"), empty("float").alias("s"), empty("long").alias("seen"), F.col("start").alias("go"))
     wanted = now.select("q", F.explode("go").alias("id"))
-    for hop in range(hops):
+    for hop in itertools.count():
         known = F.col("q"), F.col("id")
         found = wanted.join(vectors, "id").groupBy("q").agg(F.collect_list("id").alias("ids"), F.collect_list("h").alias("hs"))
         j = now.join(found, "q", "left").select("q", "h", "n", "s", "seen", F.coalesce("ids", empty("long")).alias("ids"), F.coalesce("hs", empty("binary")).alias("hs"))
@@ -185,11 +191,10 @@ def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, store: Stor
             store.drop(f"hop-{hop - 1}")
         store.release()
         if not now.where("size(go) > 0").limit(1).count():
-            break
+            return now.select("q", "n")
         visited = now.select("q", F.explode("go").alias("id"))
         nexts = visited.join(links, "id").select("q", F.explode("links").alias("id")).distinct()
         wanted = nexts.join(now.select("q", F.explode("n").alias("id")), ["q", "id"], "left_anti").select(*known)
-    return now.select("q", "n")
 
 
 def nearest(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
