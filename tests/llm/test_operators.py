@@ -137,6 +137,16 @@ def test_secret_scan(spark):
     assert red == "ab <S> ef"
 
 
+def test_secrets_of_letters_and_around_base_spans(spark):
+    key, inner = "qWzTkLmXaVwRbPdYcHsN", "0123456789abcdef" * 2
+    texts = [f"id {key} end", f"id Zt3LmX9aVw{inner}RkP7dYc5Q end", "wqkzvjxmbtyphgfdlncrs x", "see usr/local/share/veilstream/data and", "-" * 30000, "a-b" * 9000, "AbstractSingletonProxyFactoryBean", "donaudampfschifffahrtsgesellschaft", f"id {inner} end"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    r = {x.doc_id: x.spans for x in secretscan.digest(d).collect()}
+    assert [r[i] for i in range(9)] == ["entropy:3:23", "entropy:3:54,hex:13:45", "entropy:0:21", "", "", "", "", "", "hex:3:35"]
+    s = secretscan.scan(d.where("doc_id = 1"))
+    assert s.select(secretscan.redact(F.col("text"), F.col(secretscan.SECRETS), "<S>").alias("t")).first().t == "id <S> end"
+
+
 def test_pii(spark):
     texts = ["mail to é a.b@c.d.org now", "ip 1.2.3.4 and 300.1.1.1", "card 4111 1111 1111 1111.", "call +1 (988) 555-2485 ok", None, "", "9" * 5000]
     r = {x.doc_id: x for x in pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()}

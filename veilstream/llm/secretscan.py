@@ -1,11 +1,11 @@
 """Secret scan: three base patterns, and sliding-window Shannon entropy over candidate strings.
 
 Base kinds, each leftmost and non-overlapping: `assign` (a keyword, a separator, a value of 8 or more characters),
-`access` (AKIA...), `hex` (32 or more). A candidate string is a run of [A-Za-z0-9+/_=-] of at least its class's window
-length that holds a digit; its class is hex, upper- or lower-case alphanumeric, or mixed. The entropy of every window
-is kept by incremental counts: one character enters, one leaves, and the sum of c*log2(c) changes by those two counts.
-A candidate whose best window reaches its class's threshold becomes a span of kind `entropy`, unless the allow-list
-suppresses it or it overlaps a base span.
+`access` (AKIA...), `hex` (32 or more). A candidate string is a run of 20 or more of [A-Za-z0-9+/_=-]; its class is
+hex, upper- or lower-case alphanumeric, or mixed, and without digits one letter case or letters. The entropy of every
+window is kept by incremental counts: one character enters, one leaves, and the sum of c*log2(c) changes by those two
+counts. A candidate whose best window reaches its class's threshold becomes a span of kind `entropy`, unless the
+allow-list suppresses it or it lies within a base span. One that holds or crosses a base span is kept whole.
 
 All of it is Catalyst expressions. Null and empty texts have no spans; texts are scanned whole; each input row gives one
 row, repeated ids included; other columns stay as they are.
@@ -22,10 +22,14 @@ KINDS = ["assign", "access", "hex", "entropy"]
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"  # a maximal run, as [0-9a-f]+ of 32 or more
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 
 #: class -> (pattern of the class, window, least entropy in bits)
 CLASSES = {"hex": (r"^[0-9a-fA-F]+$", 24, 3.0), "lower": (r"^[a-z0-9]+$", 20, 3.6), "upper": (r"^[A-Z0-9]+$", 20, 3.6), "mixed": (r"[A-Z].*[a-z]|[a-z].*[A-Z]", 20, 3.7)}
+#: The same for candidates without a digit; stricter, as words are among them.
+LETTERS = {"case": (r"^(?:[a-z]++|[A-Z]++)$", 20, 3.7), "letters": (r"[A-Z].*[a-z]|[a-z].*[A-Z]", 20, 3.8)}
+#: Pieces of words joined by separators or capitals (paths, identifiers); where they make up the whole, it is allowed.
+PIECE = r"[+/_=-]++|(?<![A-Za-z])[a-z]++|(?<![A-Za-z])[A-Z]++(?![a-z])|[A-Z]{1,4}[a-z]{2,}+"
 ALLOWED = [
     r"(?i)example|sample|dummy|placeholder|changeme|lorem|test",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUID
@@ -65,16 +69,22 @@ def _spans(found: Column, kind: str) -> Column:
     return F.transform(found, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["at"].alias("start"), x["upto"].alias("end"))).cast(SPANS)
 
 
-def is_random(value: Column) -> Column:
-    """Whether a candidate's best window reaches the threshold of its class and no allow-list entry matches."""
+def _high(value: Column, classes: dict[str, tuple[str, int, float]]) -> Column:
     high = None
-    for pattern, width, least in CLASSES.values():
+    for pattern, width, least in classes.values():
         test = value.rlike(pattern), (F.length(value) >= width) & (window_entropy(value, width) >= least)
         high = F.when(*test) if high is None else high.when(*test)
+    return high.otherwise(False)
+
+
+def is_random(value: Column) -> Column:
+    """Whether a candidate's best window reaches the threshold of its class and no allow-list entry matches."""
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | value.rlike(pattern)
-    return ~allowed & high.otherwise(False)
+    joined_words = ~value.rlike(LETTERS["case"][0]) & (F.regexp_replace(value, PIECE, "") == "")
+    letters = ~value.rlike(ALLOWED[0]) & ~joined_words & _high(value, LETTERS)
+    return F.when(value.rlike("[0-9]"), ~allowed & _high(value, CLASSES)).otherwise(letters)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -85,7 +95,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     found = F.concat(_spans(assign, "assign"), _spans(access, "access"), _spans(matches(t, HEX, groups=False), "hex"))
     by_start = lambda a: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     out = docs.withColumn(BASE, by_start(found)).withColumn(CANDIDATES, matches(t, CANDIDATE, groups=False))
-    clear = F.filter(CANDIDATES, lambda c: ~F.exists(BASE, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    clear = F.filter(CANDIDATES, lambda c: ~F.exists(BASE, lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
     extra = F.filter(clear, lambda c: is_random(c["text"]))
     return out.withColumn(SECRETS, by_start(F.concat(BASE, _spans(extra, "entropy")))).drop(CANDIDATES)
 
