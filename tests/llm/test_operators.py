@@ -147,6 +147,14 @@ def test_secrets_of_letters_and_around_base_spans(spark):
     assert s.select(secretscan.redact(F.col("text"), F.col(secretscan.SECRETS), "<S>").alias("t")).first().t == "id <S> end"
 
 
+def test_pii_of_written_out_addresses(spark):
+    texts = ["write to jane [at] example.org today", "mail jane(at)example.org", "at (noon) we met", "abcd:abcd:abcd:abcd:abcd:abcd:abcd:abcd"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: [(x.kind, x.start, x.end) for x in r.found] for r in pii.candidates(d).collect()}
+    assert found == {0: [(0, 9, 30)], 1: [(0, 5, 24)], 2: [], 3: [(1, 0, 39)]}
+    assert [r.spans for r in pii.digest(d).orderBy("doc_id").collect()][:2] == ["email:9:30", "email:5:24"]
+
+
 def test_pii(spark):
     texts = ["mail to é a.b@c.d.org now", "ip 1.2.3.4 and 300.1.1.1", "card 4111 1111 1111 1111.", "call +1 (988) 555-2485 ok", None, "", "9" * 5000]
     r = {x.doc_id: x for x in pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()}

@@ -29,11 +29,12 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+#: kind -> (pattern, what a text must hold for it to match)
 WIDE = {
-    "email": (r"[^\s@<>()\[\],;:\"]++(?:@|\x20?[\[(]at[\])]\x20?)[^\s@<>()\[\],;:\"]++", "@"),
+    "email": (r"[^\s@<>()\[\],;:\"]++(?:@|\x20?[\[(]at[\])]\x20?)[^\s@<>()\[\],;:\"]++", r"@|[\[(]at[\])]"),
     "ip": (r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", ":"),
-    "card": (r"(?<![0-9])[0-9](?:[\x20./-]?[0-9]){11,18}(?![0-9])", None),
-    "phone": (r"(?<![0-9])(?:\(?[0-9]{3}\)?[\x20.-]){2}[0-9]{4}(?![0-9])|(?<![0-9])00[1-9](?:[\x20-]?[0-9]){7,12}(?![0-9])", None),
+    "card": (r"(?<![0-9])[0-9](?:[\x20./-]?[0-9]){11,18}(?![0-9])", "[0-9]"),
+    "phone": (r"(?<![0-9])(?:\(?[0-9]{3}\)?[\x20.-]){2}[0-9]{4}(?![0-9])|(?<![0-9])00[1-9](?:[\x20-]?[0-9]){7,12}(?![0-9])", "[0-9]"),
 }
 GAZETTEER = {
     "email": r"(?i)\.(?:com|org|net|edu|gov|info|io|eu|de|fr|es|uk)$",
@@ -95,8 +96,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", t.alias("text"))
     t = F.col("text")
     d = d.withColumn("base", F.concat(*[_voted(t, m, k, True) for k, m in base(t).items()]))
-    wide = F.concat(*[_voted(t, matches(t, p, groups=False, needs=needs), k, False) for k, (p, needs) in WIDE.items()])
-    d = d.withColumn("wide", F.when(t.rlike("[0-9@]"), wide).otherwise(F.array().cast(STRUCT)))
+    none = F.array().cast(STRUCT)
+    wide = F.concat(*[F.when(t.rlike(needs), _voted(t, matches(t, p, groups=False), k, False)).otherwise(none) for k, (p, needs) in WIDE.items()])
+    d = d.withColumn("wide", F.when(t.rlike("|".join(needs for _, needs in WIDE.values())), wide).otherwise(none))
     clear = F.filter("wide", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     return d.select("doc_id", F.concat("base", clear).alias("found"))
 
