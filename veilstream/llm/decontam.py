@@ -9,8 +9,9 @@ verified, by alignment within the band.
 
 The q-grams of the benchmark are broadcast while they fit `broadcast_bytes`; a larger benchmark is cut into parts of that
 size, each read over all documents. Documents are scanned whole, in one narrow pass per part. Passages shorter than
-`least` normalised bytes never count (they would match by chance). Null and empty texts match nothing; repeated rows are
-each matched; an empty benchmark matches nothing.
+`least` normalised bytes count where they stand exactly, between word boundaries (within a few edits they would match by
+chance); they are found by hashes of the stretches of their length. Null and empty texts match nothing; repeated rows
+are each matched; an empty benchmark matches nothing.
 """
 
 from __future__ import annotations
@@ -22,12 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilstream.llm.textnum import _lower, _space, slices
+from veilstream.llm.textnum import _byte_value, _lower, _powers, _space, slices
 
 Q = 12
 WINDOW, LEAST, ERRORS = 160, 60, 5
 BROADCAST_BYTES = 4 << 20
 
+_word = np.zeros(256, bool)
+_word[48:58] = _word[65:91] = _word[97:123] = True
+_word[128:] = True
+
 
 def normalise(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased bytes with single spaces, and row offsets into them."""
@@ -53,13 +58,29 @@ def grams(low: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xD6E8FEB86659FD93)
 
 
+def prefixes(low: np.ndarray) -> np.ndarray:
+    """Sums modulo 2^64 that give the hash of any stretch: see hashed()."""
+    sums = np.zeros(len(low) + 1, np.uint64)
+    np.cumsum(_byte_value[low] * _powers(len(low) + 1)[0][:-1], out=sums[1:])
+    return sums
+
+
+def hashed(sums: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    return (sums[start + size] - sums[start]) * _powers(len(sums))[1][start]
+
+
 class Index:
-    """The q-grams of some passages, and a bitmap that tells most others apart."""
+    """The q-grams of some passages, and a bitmap that tells most others apart; of short ones, the hashes by length."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], least: int = Q):
         self.items = items
         keys, item, pos = [], [], []
+        short: dict[int, list[tuple[int, int]]] = {}
         for k, (_, text) in enumerate(items):
+            if len(text) < max(least, Q):
+                own = hashed(prefixes(np.frombuffer(text, np.uint8)), np.array([0]), len(text))
+                short.setdefault(len(text), []).append((int(own[0]), k))
+                continue
             g = grams(np.frombuffer(text, np.uint8))
             keys.append(g)
             item.append(np.full(len(g), k))
@@ -67,8 +88,9 @@ class Index:
         keys_ = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(keys_, kind="stable")
         self.keys = keys_[order]
-        self.item = np.concatenate(item)[order] if items else np.zeros(0, int)
-        self.pos = np.concatenate(pos)[order] if items else np.zeros(0, int)
+        self.item = np.concatenate(item)[order] if item else np.zeros(0, int)
+        self.pos = np.concatenate(pos)[order] if pos else np.zeros(0, int)
+        self.short = {n: (np.array([h for h, _ in sorted(x)], np.uint64), np.array([k for _, k in sorted(x)])) for n, x in short.items()}
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[self.keys >> np.uint64(44)] = True
 
@@ -106,6 +128,30 @@ def edits(passage: np.ndarray, text: np.ndarray, limit: int) -> tuple[int, int,
     return (int(cost[end]), int(start[end]), end) if cost[end] <= limit else None
 
 
+def exact(index: Index, low: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """As find(), for short passages."""
+    if not index.short or not len(low):
+        return []
+    edge = np.ones(len(low) + 1, bool)  # no word goes on across it
+    edge[1:-1] = ~(_word[low[:-1]] & _word[low[1:]])
+    edge[at] = True
+    starts = np.flatnonzero(edge[:-1] & (low != 32))
+    row = np.searchsorted(at, starts, "right") - 1
+    sums, found = prefixes(low), {}
+    for n, (keys, items) in index.short.items():
+        some = starts + n <= at[row + 1]
+        s, r = starts[some], row[some]
+        s, r = s[edge[s + n]], r[edge[s + n]]
+        h = hashed(sums, s, n)
+        lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+        for j in np.flatnonzero(hi > lo):
+            for k in items[lo[j] : hi[j]]:
+                key = int(r[j]), int(k)
+                if key not in found and low[s[j] : s[j] + n].tobytes() == index.items[key[1]][1]:
+                    found[key] = int(s[j] - at[r[j]])
+    return [(r, k, start, start + len(index.items[k][1]), 0) for (r, k), start in found.items()]
+
+
 def find(index: Index, low: np.ndarray, at: np.ndarray, window: int, errors: int) -> list[tuple[int, int, int, int, int]]:
     """(row, item, start, end, edits) of the first stretch of each row found for each item."""
     g = grams(low)
@@ -157,6 +203,21 @@ def find(index: Index, low: np.ndarray, at: np.ndarray, window: int, errors: int
                     if got:
                         found[key] = (lo + got[1] - int(at[key[0]]), lo + got[2] - int(at[key[0]]), got[0])
                     i += 1
+                if key in found or len(passage) <= size:
+                    continue
+                # then every other window that holds enough; a window's edits are at most one from those of the window beside it
+                mid = int(np.median(diagonal[own]))
+                begins = np.arange(max(0, int(ins[0]) - size + Q), min(len(passage) - size, int(ins[-1])) + 1)
+                held = np.searchsorted(ins, begins + size - Q, "right") - np.searchsorted(ins, begins, "left")
+                begins, i = begins[held >= need[key[1]]], 0
+                while i < len(begins):
+                    first = int(begins[i])
+                    lo, hi = max(int(at[key[0]]), first + mid - 3 * limit - 2), min(int(at[key[0] + 1]), first + mid + size + 3 * limit + 2)
+                    n, s, t = edits(passage[first : first + size], low[lo:hi], size)
+                    if n <= limit:
+                        found[key] = (lo + s - int(at[key[0]]), lo + t - int(at[key[0]]), n)
+                        break
+                    i = int(np.searchsorted(begins, first + n - limit))
     return [(r, k, *v) for (r, k), v in found.items()]
 
 
@@ -169,7 +230,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, errors:
         raw = np.frombuffer((r.text or "").encode(), np.uint8)
         low, _ = normalise(raw, np.array([0, len(raw)]))
         text = low.tobytes().strip()
-        if len(text) >= max(least, Q):
+        if text:
             if size + len(text) > broadcast_bytes:
                 parts.append([])
                 size = 0
@@ -181,12 +242,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, errors:
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+            index = Index(shared.value, least)
             for batch in batches:
                 ids, out = batch.column(0), []
                 for first, raw, at in slices(batch.column(1)):
                     low, at2 = normalise(raw, at)
-                    out += [(ids[first + r].as_py(), index.items[k][0], s, e, d) for r, k, s, e, d in find(index, low, at2, window, errors)]
+                    out += [(ids[first + r].as_py(), index.items[k][0], s, e, d) for r, k, s, e, d in find(index, low, at2, window, errors) + exact(index, low, at2)]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64() if i < 2 else pa.int32()) for i in range(5)], ["doc_id", "item_id", "start", "end", "edits"])
 
         return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
