@@ -89,6 +89,16 @@ def test_quality_on_held_out(spark):
     assert {x.score for x in quality.classify(d, labels.limit(0)).collect()} == {1.0}
 
 
+def test_quality_learns_from_late_lines(spark):
+    good, bad = "Fine plain words in a line.\n", "BAD!! *** ### BAD!! $$$\n"
+    rows = [(i, "Some even line.\n" * 70 + (good if i % 2 else bad) * 200) for i in range(60)]
+    d = spark.createDataFrame([*rows, (60, good * 3), (61, bad * 3)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    r = {x.doc_id: x.score for x in quality.classify(d, labels).collect()}
+    assert r[60] > 0.7 > 0.3 > r[61]
+    assert quality.choose([(1, 0, 9), (2, 1, 90), (3, 0, 5), (4, 0, 2)], 12) == [(1, 0), (4, 0), (2, 1)]
+
+
 def test_language_on_held_out(spark):
     text = {"en": "the thing and that with this", "de": "der und nicht auch schön ist"}
     rows = [(i, text["en" if i % 2 else "de"], "en" if i % 2 else "de") for i in range(80)] + [(80, None, "en"), (81, "12 -- 3", "en"), (82, "😀", None)]

@@ -5,8 +5,9 @@ labels lines bad or good; training takes each line's label from its document. Fo
 line length, make a document's share of good text, and a logistic curve fitted on the training documents turns that
 share into the score.
 
-At most `train_docs` labelled documents (smallest hash of doc_id first) are fitted on, and of each at most `train_lines`
-lines. Every line of every text is scored. Null texts and texts without characters get the score of an empty document,
+At most `train_docs` labelled documents (smallest hash of doc_id first) are fitted on, with all their lines. They have at
+most `train_lines` lines together: a document longer than what is left of these is skipped whole and the next is tried,
+but a label none of whose documents fits gives its shortest. Every line of every text is scored. Null texts and texts without characters get the score of an empty document,
 the curve at the mean share. An id with several labels takes its largest. Repeated rows are scored each. With no labels
 the score is 1. Labels, lang, source and doc_id are never inputs of a score.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from veilstream.llm.crf import Adam, posterior, transition_counts, true_transitions
 from veilstream.llm.textnum import slices, word_hashes, words
 
-TRAIN_DOCS, TRAIN_LINES = 6000, 64
+TRAIN_DOCS, TRAIN_LINES = 6000, 384_000
 WIDTH = 16
 
 _class = np.full(256, 9, np.uint8)  # 9: other
@@ -134,10 +135,28 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+def choose(sizes: list[tuple], total: int) -> list[tuple]:
+    """(doc_id, label) of those of (doc_id, label, lines), in their order, to fit on."""
+    chosen = []
+    for doc, label, n in sizes:
+        if n <= total:
+            chosen.append((doc, label))
+            total -= n
+    for label in sorted({x[1] for x in sizes} - {x[1] for x in chosen}):
+        chosen.append(min((x for x in sizes if x[1] == label), key=lambda x: x[2])[:2])
+    return chosen
+
+
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Model | None:
     usable = labels.where(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality")  # train_docs rows at most
+    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x != ""))
+    sizes = docs.select("doc_id", n_lines.alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.sum("n").alias("n"))
+    sizes = [tuple(r) for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]  # train_docs rows at most
+    if not sizes:
+        return None
+    fitted = docs.sparkSession.createDataFrame(choose(sizes, train_lines), f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, quality int")
+    rows = docs.select("doc_id", "text").join(F.broadcast(fitted), "doc_id").select("text", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
             for _, raw, at in slices(batch.column(0)):
                 x, n, first = lines(raw, at)
                 for i in range(len(at) - 1):
-                    own = slice(first[i], min(first[i + 1], first[i] + train_lines))
+                    own = slice(first[i], first[i + 1])
                     out.append((x[own].astype(np.float32).tobytes(), n[own].astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), batch.column(1)], ["x", "n", "quality"])
 
