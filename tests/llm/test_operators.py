@@ -1,5 +1,7 @@
 import hashlib
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -114,13 +116,49 @@ def test_language_with_a_long_text(spark):
     assert language.choose([("a", 1, 9), ("a", 2, 50), ("a", 3, 9), ("b", 4, 99)], 10, 40) == [("a", 1, 9), ("a", 3, 9), ("b", 4, 99)]
 
 
-def test_lm_counts(spark, docs):
-    d = spark.createDataFrame([(1, "a b a b"), (2, "a b c"), (3, None), (4, "")], "doc_id long, text string")
-    r = {x.doc_id: x for x in lm.score(d).collect()}
-    assert (r[1].n_tokens, r[1].n_seen, r[2].n_seen, r[3].score, r[4].n_tokens) == (4, 2, 1, 0.0, 0)
-    ln = np.log
-    assert abs(r[1].score - (ln(3 / 7) + 2 * (ln(3) - ln(3)) + ln(0.4 * 3 / 7))) < 1e-4
+def stupid_backoff(texts: list, own: int) -> list[tuple[int, int, float]]:
+    """(tokens, threes found elsewhere, score) of each text by plain counting."""
+    ws = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    c, after = Counter(), Counter()
+    for w in ws:
+        for i in range(len(w)):
+            for n in range(1, min(i, 2) + 2):
+                c[tuple(w[i - n + 1 : i + 1])] += 1
+                after[tuple(w[i - n + 1 : i])] += 1
+    ln = lambda x: round(math.log(x) * 1e6)
+    total, out = max(sum(map(len, ws)) - own + 1, 1), []
+    for w in ws:
+        seen = score = 0
+        for i in range(len(w)):
+            for n in range(min(i, 2) + 1, 1, -1):
+                g = tuple(w[i - n + 1 : i + 1])
+                if c[g] > own:
+                    score += ln(c[g] - own) - ln(after[g[:-1]] - own)
+                    seen += n == 3
+                    break
+                score += ln(0.4)
+            else:
+                score += ln(c[w[i],] - own + 1) - ln(total)
+        out.append((len(w), seen, score / 1e6))
+    return out
+
+
+@pytest.mark.parametrize("own", [0, 1])
+def test_lm_against_plain_counts(spark, monkeypatch, own):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(list("abcdefgh") + ["Zz", "\u00e9"], rng.integers(0, 60))) for _ in range(60)]
+    texts += [texts[0], texts[0], None, "", " \n", "one", "one two", "x " * 5000]
+    monkeypatch.setattr(lm, "HOT", 40)  # some words, pairs and threes are hot, some aren't
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_tokens, r.n_seen, r.score) for r in lm.score(d, own).collect()}
+    for i, want in enumerate(stupid_backoff(texts, own)):
+        assert got[i][:2] == want[:2] and abs(got[i][2] - want[2]) < 1e-9
+
+
+def test_lm_edges(spark, docs):
     assert lm.score(docs).count() == 9 and lm.score(docs.limit(0)).count() == 0
+    d = spark.createDataFrame([(1, "a b c"), (1, "d e"), (None, "a b"), (None, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in lm.score(d).collect()) == [(0, 2), (1, 5)]
 
 
 def test_decontamination(spark):

@@ -1,14 +1,19 @@
-"""Stupid-backoff scores of documents under the bigram model of the whole corpus.
+"""Stupid-backoff scores of documents under the trigram model of the whole corpus.
 
-A word's score after another is c(pair)/c(first with any next word) if the pair occurs `least` times or more, else
-BACKOFF * c(word)/N; a text's first word scores c(word)/N. A document's score is the sum of the logarithms, each in millionths, so sums don't
-depend on their order. Counts cover every row.
+A word's score after two others is c(three) / c(the two with any next word) where the three occur, else BACKOFF times its
+score after one: c(two) / c(the first with any next word) where the two occur, else BACKOFF * c(word) / N. A text's
+second word begins with the pair, its first with c(word) / N. The scored documents are the corpus itself, so an occurrence
+does not count for itself: `own` is taken off the counts of three, two and what they follow (own = 0 scores with plain
+counts, where nothing would ever be backed off from). A document's score is the sum of the logarithms, each in millionths, so
+sums don't depend on their order. Counts cover every row and every n-gram.
 
 The count tables are partitioned by hash, and the exploded n-grams of the documents go to the partitions of their own
-keys: pairs first, all pairs of one first word together unless that is hot; from there unseen occurrences ask for their
-last word; then sums go to their documents. Occurrences travel packed: many of one partition in a row, words of many occurrences
-as numbers in a list. Words and pairs with at least one in HOT of all occurrences never travel: two passes find and
-count them, at most 2*HOT of either, and they are broadcast. So no partition grows with a frequent word or pair.
+keys: first all threes, those of one pair together unless that is hot; the ones that don't occur elsewhere ask for their
+pair, at the partition of its first word; from there others ask for their last word; then sums go to their documents.
+Occurrences travel packed: many of one partition in a row, words as places in the row's own dictionary. Words, pairs and
+threes with at least one in HOT of all occurrences never travel: two passes find and count them, at most 2*HOT of each, and
+they are broadcast. So no partition grows with a frequent word, pair or passage. Each of the three steps is written out before
+the next, so its shuffle files can go, and a partition's size does not grow with the corpus.
 
 Rows of one doc_id are scored as one document; rows without doc_id too, and give one row. Null texts and texts without
 words have score 0 and no tokens. An empty table gives no rows. Only doc_id and text are read.
@@ -30,43 +35,55 @@ from veilstream.llm.textnum import mix, slices, word_hashes
 HOT = 32_000
 BACKOFF = 0.4
 CHUNK = 1_500_000  # words a task works on at once
-PER_BUCKET, DOCS_PER_BUCKET = 1_200_000, 20_000
+PER_BUCKET, DOCS_PER_BUCKET, LEAST_BUCKETS = 1_200_000, 20_000, 64
 NONE = np.iinfo(np.int64).min
 ROWS = "stage int, bucket int, kind int, payload binary"
+#: Stages of rows: threes, pairs, words, sums. Kinds: counts or occurrences to be counted (0), questions (1).
+THREES, PAIRS, WORDS, SUMS = range(4)
 
 
 def _log(x: np.ndarray | float) -> np.ndarray:
     return np.rint(np.log(x) * 1e6).astype(np.int64)
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * np.uint64(0x9FB21C651E98DF25) + b) | np.uint64(1)
+def _word(h: np.ndarray) -> np.ndarray:
+    """The two low bits of a key are its length less one."""
+    return h & ~np.uint64(3)
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _word(mix(a * np.uint64(0x9FB21C651E98DF25) + b)) | np.uint64(1)
+
+
+def _three(pair: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return _word(mix(pair * np.uint64(0xD1B54A32D192ED03) + c)) | np.uint64(2)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as little-endian columns of bytes planes would be; lengths first."""
-    head = np.array([len(a) for a in arrays], np.int64).tobytes()
+    """The arrays' types, lengths and bytes."""
+    head = np.array([v for a in arrays for v in (len(a), a.dtype.itemsize)], np.int64).tobytes()
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
-def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
+def _unpack(data: bytes, *kinds: type | None) -> list[np.ndarray]:
+    """kinds: None for unsigned integers of whatever size they were packed in."""
     raw = zstandard.ZstdDecompressor().decompress(data)
-    sizes, at, out = np.frombuffer(raw, np.int64, len(kinds)), 8 * len(kinds), []
-    for n, kind in zip(sizes, kinds, strict=True):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += int(n) * np.dtype(kind).itemsize
+    sizes, at, out = np.frombuffer(raw, np.int64, 2 * len(kinds)).reshape(-1, 2), 16 * len(kinds), []
+    for (n, width), kind in zip(sizes.tolist(), kinds, strict=True):
+        out.append(np.frombuffer(raw, kind or f"<u{width}", n, at))
+        at += n * width
     return out
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_ids, word hashes, first word of each row) of about CHUNK words."""
+    """(doc_ids, word keys, first word of each row and the end) of about CHUNK words."""
     ids, words, firsts, n = [], [], [np.zeros(1, np.int64)], 0
     for batch in batches:
         own = batch.column(0).fill_null(NONE).to_numpy(zero_copy_only=False)
         for at, raw, offsets in slices(batch.column(1)):
             h, first = word_hashes(raw, offsets)
             ids.append(own[at : at + len(offsets) - 1])
-            words.append(h)
+            words.append(_word(h))
             firsts.append(first[1:] + n)
             n += len(h)
             if n >= CHUNK:
@@ -76,11 +93,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield np.concatenate(ids), np.concatenate(words), np.concatenate(firsts)
 
 
-def _later(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Positions of words with a word before them in their row."""
-    inner = np.ones(len(h) + 1, bool)
-    inner[first] = False
-    return np.flatnonzero(inner[: len(h)])
+def _places(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The number of words before each word in its row, up to 2."""
+    place = np.full(len(h) + 2, 2, np.int8)
+    place[first + 1] = 1
+    place[first] = 0
+    return place[: len(h)]
 
 
 def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -91,15 +109,28 @@ def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == x, at + 1, 0)
 
 
-def _hot(docs: DataFrame) -> tuple:
-    """Numbers of words and rows; sorted keys of hot words (even), their counts, and counts with a next word; sorted keys
-    of hot pairs (odd), and their counts."""
+class Hot:
+    """Sorted keys of frequent words, pairs and threes, their counts, and their counts with a next word."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, followed: np.ndarray):
+        kind = (keys & np.uint64(3)).astype(int)
+        self.keys, self.n, self.followed = ([x[kind == k] for k in range(3)] for x in (keys, n, followed))
+
+
+def _hot(docs: DataFrame) -> tuple[int, int, Hot]:
+    """Numbers of words and rows, and what is frequent."""
+
+    def grams(h: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+        two = np.flatnonzero(place > 0)
+        pair = np.zeros(len(h), np.uint64)
+        pair[two] = _pair(h[two - 1], h[two])
+        three = np.flatnonzero(place > 1)
+        return [h, pair[two], _three(pair[three - 1], h[three])]
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, h, first in _chunks(batches):
-            to = _later(h, first)
             keys, counts = [np.array([0, 1], np.uint64)], [np.array([len(h), len(ids)])]
-            for x in (h & ~np.uint64(1), _pairs(h[to - 1], h[to])):
+            for x in grams(h, _places(h, first)):
                 k, c = np.unique(x, return_counts=True)
                 keep = c * 2 * HOT >= len(h)
                 keys.append(k[keep])
@@ -107,166 +138,230 @@ def _hot(docs: DataFrame) -> tuple:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(counts))], ["key", "n"])
 
     sums = docs.mapInArrow(often, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    sums = Store(docs.sparkSession, "lm").keep(sums, "often")
+    store = Store(docs.sparkSession, "lm-often")
+    sums = store.keep(sums, "often")
     total = {r.key: r.n for r in sums.where("key in (0, 1)").collect()}
     n, rows = total.get(0, 0), total.get(1, 0)
     # a key missed by a chunk has under one in 2*HOT there, so every key with one in HOT in all passes
     near = np.sort(np.array([r.key for r in sums.where(f"key not in (0, 1) and n * {2 * HOT} >= {n}").collect()], np.int64).view(np.uint64))
+    store.close()
     shared = docs.sparkSession.sparkContext.broadcast(near)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = shared.value
         for _, h, first in _chunks(batches):
-            to = _later(h, first)
+            place = _places(h, first)
             size = len(keys) + 1
-            i = _find(keys, h & ~np.uint64(1))
-            c = np.bincount(i, minlength=size) + np.bincount(_find(keys, _pairs(h[to - 1], h[to])), minlength=size)
-            before = np.bincount(i[to - 1], minlength=size)
+            inner = np.append(place[1:] > 0, False)  # a next word in the row
+            c, after = np.zeros(size, np.int64), np.zeros(size, np.int64)
+            for back, x in enumerate(grams(h, place)):
+                i = _find(keys, x)
+                c += np.bincount(i, minlength=size)
+                after += np.bincount(i[inner[np.flatnonzero(place >= back)]], minlength=size)
             some = np.flatnonzero(c[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(c[1:][some]), pa.array(before[1:][some])], ["key", "n", "before"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(c[1:][some]), pa.array(after[1:][some])], ["key", "n", "followed"])
 
-    counted = {r.key: (r.n, r.before) for r in docs.mapInArrow(exact, "key long, n long, before long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("before").alias("before")).collect()} if len(near) else {}
+    counted = {r.key: (r.n, r.followed) for r in docs.mapInArrow(exact, "key long, n long, followed long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("followed").alias("followed")).collect()} if len(near) else {}
     counts = np.array([counted.get(int(k), (0, 0)) for k in near.view(np.int64)], np.int64).reshape(-1, 2)
-    odd = (near & np.uint64(1)).astype(bool)
-    return n, rows, near[~odd], counts[~odd, 0], counts[~odd, 1], near[odd], counts[odd, 0]
-
-
-class _Out:
-    """Rows of one call, grouped by where they go."""
-
-    def __init__(self, words: int, docs: int):
-        self.words, self.docs, self.rows = words, docs, []
-
-    def add(self, stage: int, bucket: int, kind: int, payload: bytes) -> None:
-        self.rows.append((stage, bucket, kind, payload))
-
-    def split(self, by: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(by.astype(np.uint32 if n > 65_535 else np.uint16), kind="stable")
-        ends = np.searchsorted(by[order], np.arange(n + 1))
-        for b in range(n):
-            if ends[b] < ends[b + 1]:
-                yield b, order[ends[b] : ends[b + 1]]
-
-    def ask(self, w: np.ndarray, doc: np.ndarray) -> None:
-        """Requests for the logarithms of words' counts."""
-        for b, at in self.split(mix(w) % np.uint64(self.words), self.words):
-            at = at[np.argsort(doc[at], kind="stable")]
-            self.add(1, b, 1, _pack(w[at], np.diff(doc[at], prepend=0)))
-
-    def sums(self, doc: np.ndarray, *values: np.ndarray) -> None:
-        """Sums for documents: millionths of the score, seen pairs, tokens."""
-        one, of = np.unique(doc, return_inverse=True)
-        totals = []
-        for v in values:
-            t = np.zeros(len(one), np.int64)
-            np.add.at(t, of, v)
-            totals.append(t)
-        where = mix(one.view(np.uint64)) % np.uint64(self.docs)
-        for b, at in self.split(where, self.docs):
-            self.add(2, b, 0, _pack(np.diff(one[at], prepend=0), *(t[at] for t in totals)))
-
-    def batch(self) -> pa.Table:
+    return n, rows, Hot(near, counts[:, 0], counts[:, 1])
+
+
+class Step:
+    """What one call gives: rows grouped by where they go, and sums of its own."""
+
+    def __init__(self, hot: Hot, n: int, own: int, buckets: int, doc_buckets: int):
+        self.hot, self.own, self.buckets, self.doc_buckets = hot, own, buckets, doc_buckets
+        self.all, self.rows, self.sums = int(_log(float(max(n - own + 1, 1)))), [], []
+
+    def add(self, doc: np.ndarray, value: np.ndarray | int, tokens: int = 0, threes: int = 0) -> None:
+        """Scores in millionths, tokens and threes found elsewhere, an entry for each."""
+        full = lambda v: np.broadcast_to(np.int64(v), doc.shape)
+        self.sums.append((doc, full(value) if np.isscalar(value) else value, full(tokens), full(threes)))
+
+    def send(self, stage: int, kind: int, bucket: np.ndarray, words: list[np.ndarray], others: list[np.ndarray], by: np.ndarray | None = None) -> None:
+        """A row for each bucket: the words' places in its dictionary, the dictionary, and the others; `by` (documents) is
+        put in order and sent as differences."""
+        small = bucket.astype(np.uint32 if self.buckets > 65_535 else np.uint16)
+        order = np.argsort(small, kind="stable") if by is None else np.lexsort((by, small))
+        ends = np.searchsorted(small[order], np.arange(self.buckets + 1))
+        for b in np.flatnonzero(np.diff(ends)):
+            at = order[ends[b] : ends[b + 1]]
+            known, place = np.unique(np.concatenate([w[at] for w in words]), return_inverse=True)
+            place = place.astype(np.uint16 if len(known) <= 65_536 else np.uint32).reshape(len(words), -1)
+            data = [*place, known, *(x[at] for x in others), *([] if by is None else [np.diff(by[at], prepend=0)])]
+            self.rows.append((stage, int(b), kind, _pack(*data)))
+
+    def found(self, c: np.ndarray, followed: np.ndarray) -> np.ndarray:
+        return _log(np.maximum(c - self.own, 1)) - _log(np.maximum(followed - self.own, 1))
+
+    def ask_pairs(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> None:
+        """Scores after one word."""
+        i = _find(self.hot.keys[1], _pair(a, b))
+        if (i > 0).any():  # the first word is as frequent, so it is hot as well
+            c = self.hot.n[1][i[i > 0] - 1]
+            after = self.hot.followed[0][_find(self.hot.keys[0], a[i > 0]) - 1]
+            yes = c > self.own
+            self.add(doc[i > 0][yes], self.found(c, after)[yes])
+            self.ask_words(b[i > 0][~yes], doc[i > 0][~yes], True)
+        a, b, doc = a[i == 0], b[i == 0], doc[i == 0]
+        if len(a):
+            self.send(PAIRS, 1, self.of_pair(a, b), [a, b], [], doc)
+
+    def of_pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The bucket of pairs: all of a first word together unless that is hot."""
+        return np.where(_find(self.hot.keys[0], a) > 0, mix(_pair(a, b)), mix(a)) % np.uint64(self.buckets)
+
+    def ask_words(self, w: np.ndarray, doc: np.ndarray, back: bool) -> None:
+        """Scores of words alone, after backing off or not."""
+        self.add(doc, (int(_log(BACKOFF)) if back else 0) - self.all)
+        i = _find(self.hot.keys[0], w)
+        self.add(doc[i > 0], _log(np.maximum(self.hot.n[0][i[i > 0] - 1] - self.own + 1, 1)))
+        w, doc = w[i == 0], doc[i == 0]
+        if len(w):
+            self.send(WORDS, 1, mix(w) % np.uint64(self.buckets), [w], [], doc)
+
+    def table(self) -> pa.Table:
+        if self.sums:
+            doc = np.concatenate([x[0] for x in self.sums])
+            one, of = np.unique(doc, return_inverse=True)
+            totals = []
+            for k in (1, 2, 3):
+                t = np.zeros(len(one), np.int64)
+                np.add.at(t, of, np.concatenate([x[k] for x in self.sums]))
+                totals.append(t)
+            where = mix(one.view(np.uint64)) % np.uint64(self.doc_buckets)
+            order = np.lexsort((one, where))
+            ends = np.searchsorted(where[order], np.arange(self.doc_buckets + 1))
+            for b in np.flatnonzero(np.diff(ends)):
+                at = order[ends[b] : ends[b + 1]]
+                self.rows.append((SUMS, int(b), 0, _pack(np.diff(one[at], prepend=0), *(t[at] for t in totals))))
         r = self.rows
         return pa.table({"stage": pa.array([x[0] for x in r], pa.int32()), "bucket": pa.array([x[1] for x in r], pa.int32()), "kind": pa.array([x[2] for x in r], pa.int32()), "payload": pa.array([x[3] for x in r], pa.binary())})
 
 
-def score(docs: DataFrame, least: int = 2) -> DataFrame:
-    """doc_id, n_tokens, n_seen (pairs taken from the pair table), score (sum of logarithms)."""
+def _rows_of(table: pa.Table, stage: int, kind: int) -> list[bytes]:
+    return [p for s, k, p in zip(table["stage"].to_pylist(), table["kind"].to_pylist(), table["payload"].to_pylist(), strict=True) if (s, k) == (stage, kind)]
+
+
+def _joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def score(docs: DataFrame, own: int = 1) -> DataFrame:
+    """doc_id, n_tokens, n_seen (tokens whose three occur elsewhere), score (sum of logarithms)."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n, rows, hot_w, count_w, next_w, hot_p, count_p = _hot(docs)
-    buckets, doc_buckets = max(128, -(-n // PER_BUCKET)), max(64, -(-rows // DOCS_PER_BUCKET))
-    shared = docs.sparkSession.sparkContext.broadcast((hot_w, _log(np.maximum(count_w, 1)), _log(np.maximum(next_w, 1)), hot_p, np.where(count_p >= least, _log(np.maximum(count_p, 1)), -1)))
-    unseen = int(_log(BACKOFF)) - int(_log(float(max(n, 1))))
-    alone = -int(_log(float(max(n, 1))))
+    n, rows, hot = _hot(docs)
+    store = Store(spark, "lm")
+    buckets, doc_buckets = max(LEAST_BUCKETS, -(-n // PER_BUCKET)), max(LEAST_BUCKETS, -(-rows // DOCS_PER_BUCKET))
+    shared = spark.sparkContext.broadcast(hot)
+
+    def step() -> Step:
+        return Step(shared.value, n, own, buckets, doc_buckets)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, log_w, log_next, pairs, log_p = shared.value
         for ids, h, first in _chunks(batches):
-            out = _Out(buckets, doc_buckets)
-            h = h & ~np.uint64(1)
-            doc = np.repeat(ids, np.diff(first))
-            i_w = _find(words, h)
-            k, c = np.unique(h[i_w == 0], return_counts=True)
-            for b, at in out.split(mix(k) % np.uint64(buckets), buckets):
-                out.add(1, b, 0, _pack(k[at], c[at].astype(np.int64)))
-            value = np.zeros(len(h), np.int64)
-            seen = np.zeros(len(h), np.int64)
-            to = _later(h, first)
-            i_p = _find(pairs, _pairs(h[to - 1], h[to]))
-            at = to[i_p > 0]  # hot pairs; their first words are hot, as no chunk has more of the pair than of the word
-            logs = log_p[i_p[i_p > 0] - 1] if len(at) else np.zeros(0, np.int64)
-            yes, no = at[logs >= 0], at[logs < 0]
-            if len(yes):
-                value[yes] = logs[logs >= 0] - log_next[i_w[yes - 1] - 1]
-            seen[yes] = 1
-            begin = first[:-1][np.diff(first) > 0]
-            value[begin], value[no] = alone, unseen
-            single = np.concatenate([begin, no])
-            known = single[i_w[single] > 0]
-            if len(known):
-                value[known] += log_w[i_w[known] - 1]
-            asking = single[i_w[single] == 0]
-            out.ask(h[asking], doc[asking])
-            to = to[i_p == 0]
-            i1, i2 = i_w[to - 1], i_w[to]
-            where = np.where(i1 > 0, _pairs(h[to - 1], h[to]) >> np.uint64(1), mix(h[to - 1]))
-            for b, own in out.split(where % np.uint64(buckets), buckets):
-                own = own[np.argsort(doc[to[own]], kind="stable")]
-                p = to[own]
-                cold, place = np.unique(h[p - 1][i1[own] == 0], return_inverse=True)
-                kind, small = (0, np.uint16) if len(cold) < 65_536 else (2, np.uint32)
-                out.add(0, b, kind, _pack(i1[own].astype(np.uint16), i2[own].astype(np.uint16), cold, place.astype(small), h[p][i2[own] == 0], np.diff(doc[p], prepend=0)))
-            out.sums(np.concatenate([doc, ids]), np.concatenate([value, np.zeros(len(ids), np.int64)]), np.concatenate([seen, np.zeros(len(ids), np.int64)]), np.concatenate([np.ones(len(doc), np.int64), np.zeros(len(ids), np.int64)]))
-            yield from out.batch().to_batches(max_chunksize=512)
+            out = step()
+            place, doc = _places(h, first), np.repeat(ids, np.diff(first))
+            out.add(ids, 0)
+            out.add(doc, 0, tokens=1)
+            one, two, three = (np.flatnonzero(place == k) for k in range(3))
+            out.ask_words(h[one], doc[one], False)
+            out.ask_pairs(h[two - 1], h[two], doc[two])
+            pair = _pair(h[three - 2], h[three - 1])
+            key = _three(pair, h[three])
+            i = _find(out.hot.keys[2], key)
+            t, c = three[i > 0], out.hot.n[2][i[i > 0] - 1]  # its pair is hot as well
+            yes = c > own
+            out.add(doc[t][yes], out.found(c, out.hot.followed[1][_find(out.hot.keys[1], pair[i > 0]) - 1])[yes], threes=1)
+            out.add(doc[t][~yes], int(_log(BACKOFF)))
+            out.ask_pairs(h[t - 1][~yes], h[t][~yes], doc[t][~yes])
+            t, pair, key = three[i == 0], pair[i == 0], key[i == 0]
+            if len(t):
+                where = np.where(_find(out.hot.keys[1], pair) > 0, mix(key), mix(pair)) % np.uint64(buckets)
+                out.send(THREES, 0, where, [h[t - 2], h[t - 1], h[t]], [], doc[t])
+            yield from out.table().to_batches(max_chunksize=512)
+
+    def join_threes(table: pa.Table) -> pa.Table:
+        out, got = step(), []
+        rest = table.filter(pa.array([s != THREES for s in table["stage"].to_pylist()], pa.bool_()))
+        for p in _rows_of(table, THREES, 0):
+            a, b, c, known, doc = _unpack(p, None, None, None, np.uint64, np.int64)
+            got.append([known[a], known[b], known[c], np.cumsum(doc)])
+        if not got:
+            return rest
+        a, b, c, doc = _joined(got)
+        pair = _pair(a, b)
+        _, of, times = np.unique(_three(pair, c), return_inverse=True, return_counts=True)
+        _, of_pair, followed = np.unique(pair, return_inverse=True, return_counts=True)  # all of a pair that isn't hot
+        times, followed = times[of], followed[of_pair]
+        i = _find(out.hot.keys[1], pair)
+        followed[i > 0] = out.hot.followed[1][i[i > 0] - 1]
+        yes = times > own
+        out.add(doc[yes], out.found(times, followed)[yes], threes=1)
+        out.add(doc[~yes], int(_log(BACKOFF)))
+        out.ask_pairs(b[~yes], c[~yes], doc[~yes])
+        return pa.concat_tables([rest, out.table()])
+
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, h, first in _chunks(batches):
+            out, two = step(), np.flatnonzero(_places(h, first) > 0)
+            key = _pair(h[two - 1], h[two])
+            cold = _find(out.hot.keys[1], key) == 0
+            _, at, c = np.unique(key[cold], return_index=True, return_counts=True)
+            a, b = h[two - 1][cold][at], h[two][cold][at]
+            if len(a):
+                out.send(PAIRS, 0, out.of_pair(a, b), [a, b], [c.astype(np.uint32)])
+            yield from out.table().to_batches(max_chunksize=512)
 
     def join_pairs(table: pa.Table) -> pa.Table:
-        if table["stage"][0].as_py() != 0:
-            return table
-        words, log_w, log_next, _, _ = shared.value
-        a, b, d, hot_a, hot_b = [], [], [], [], []
-        for p, kind in zip(table["payload"].to_pylist(), table["kind"].to_pylist(), strict=True):
-            i1, i2, cold, place, x2, doc = _unpack(p, np.uint16, np.uint16, np.uint64, np.uint16 if kind == 0 else np.uint32, np.uint64, np.int64)
-            for i, x, to in ((i1, cold[place], a), (i2, x2, b)):
-                w = np.zeros(len(i), np.uint64)
-                w[i > 0] = words[i[i > 0].astype(np.int64) - 1] if len(words) else 0
-                w[i == 0] = x
-                to.append(w)
-            hot_a.append(i1.astype(np.int64))
-            hot_b.append(i2.astype(np.int64))
-            d.append(np.cumsum(doc))
-        a, b, d, hot_a, hot_b = (np.concatenate(x) for x in (a, b, d, hot_a, hot_b))
-        _, of, c = np.unique(_pairs(a, b), return_inverse=True, return_counts=True)
-        is_seen = c[of] >= least
-        _, of_a, c_a = np.unique(a, return_inverse=True, return_counts=True)  # all pairs of a first word that isn't hot
-        nexts = _log(c_a)[of_a]
-        if len(words):
-            nexts[hot_a > 0] = log_next[hot_a[hot_a > 0] - 1]
-        value = np.where(is_seen, _log(c)[of] - nexts, unseen)
-        if len(words):
-            known = ~is_seen & (hot_b > 0)
-            value[known] += log_w[hot_b[known] - 1]
-        asking = ~is_seen & (hot_b == 0)
-        out = _Out(buckets, doc_buckets)
-        out.ask(b[asking], d[asking])
-        out.sums(d, value, is_seen.astype(np.int64), np.zeros(len(d), np.int64))
-        return out.batch()
+        out, got, asked = step(), [], []
+        for p in _rows_of(table, PAIRS, 0):
+            a, b, known, c = _unpack(p, None, None, np.uint64, None)
+            got.append([known[a], known[b], c.astype(np.int64)])
+        for p in _rows_of(table, PAIRS, 1):
+            a, b, known, doc = _unpack(p, None, None, np.uint64, np.int64)
+            asked.append([known[a], known[b], np.cumsum(doc)])
+        if asked:
+            a, b, c = _joined(got)
+            keys, of = np.unique(_pair(a, b), return_inverse=True)
+            firsts, of_first = np.unique(a, return_inverse=True)
+            times, followed = np.zeros(len(keys), np.int64), np.zeros(len(firsts), np.int64)
+            np.add.at(times, of, c)
+            np.add.at(followed, of_first, c)  # all of a first word that isn't hot
+            a, b, doc = _joined(asked)
+            times, i = times[np.searchsorted(keys, _pair(a, b))], _find(out.hot.keys[0], a)
+            followed = followed[np.searchsorted(firsts, a)]
+            followed[i > 0] = out.hot.followed[0][i[i > 0] - 1]
+            yes = times > own
+            out.add(doc[yes], out.found(times, followed)[yes])
+            out.ask_words(b[~yes], doc[~yes], True)
+        return out.table()
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, h, _ in _chunks(batches):
+            out = step()
+            k, c = np.unique(h[_find(out.hot.keys[0], h) == 0], return_counts=True)
+            if len(k):
+                out.send(WORDS, 0, mix(k) % np.uint64(buckets), [k], [c.astype(np.uint32)])
+            yield from out.table().to_batches(max_chunksize=512)
 
     def join_words(table: pa.Table) -> pa.Table:
-        if table["stage"][0].as_py() != 1:
-            return table
-        kinds, payloads = table["kind"].to_pylist(), table["payload"].to_pylist()
-        got = [_unpack(p, np.uint64, np.int64) for p, k in zip(payloads, kinds, strict=True) if k == 0]
-        keys, of = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        counts = np.zeros(len(keys), np.int64)
-        np.add.at(counts, of, np.concatenate([g[1] for g in got]))
-        asked = [_unpack(p, np.uint64, np.int64) for p, k in zip(payloads, kinds, strict=True) if k == 1]
-        out = _Out(buckets, doc_buckets)
+        out, got, asked = step(), [], []
+        for p in _rows_of(table, WORDS, 0):
+            at, known, c = _unpack(p, None, np.uint64, None)
+            got.append([known[at], c.astype(np.int64)])
+        for p in _rows_of(table, WORDS, 1):
+            at, known, doc = _unpack(p, None, np.uint64, np.int64)
+            asked.append([known[at], np.cumsum(doc)])
         if asked:
-            w = np.concatenate([x[0] for x in asked])
-            doc = np.concatenate([np.cumsum(x[1]) for x in asked])
-            zero = np.zeros(len(w), np.int64)
-            out.sums(doc, _log(counts)[np.searchsorted(keys, w)], zero, zero)
-        return out.batch()
+            w, c = _joined(got)
+            keys, of = np.unique(w, return_inverse=True)
+            times = np.zeros(len(keys), np.int64)
+            np.add.at(times, of, c)
+            w, doc = _joined(asked)
+            out.add(doc, _log(np.maximum(times[np.searchsorted(keys, w)] - own + 1, 1)))
+        return out.table()
 
     def total(table: pa.Table) -> pa.Table:
         parts = [_unpack(p, np.int64, np.int64, np.int64, np.int64) for p in table["payload"].to_pylist()]
@@ -276,25 +371,40 @@ def score(docs: DataFrame, least: int = 2) -> DataFrame:
             t = np.zeros(len(doc), np.int64)
             np.add.at(t, of, np.concatenate([p[k] for p in parts]))
             sums.append(t)
-        return pa.table({"doc_id": pa.array(doc, mask=doc == NONE), "n_tokens": sums[2], "n_seen": sums[1], "score": sums[0] / 1e6})
+        return pa.table({"doc_id": pa.array(doc, mask=doc == NONE), "n_tokens": sums[1], "n_seen": sums[2], "score": sums[0] / 1e6})
+
+    def at_buckets(messages: DataFrame, count: int) -> object:
+        return messages.repartition(count, "bucket").groupBy("bucket")  # as many partitions as buckets, whatever the session's number
 
-    r = docs.mapInArrow(explode, ROWS)
-    r = r.groupBy("stage", "bucket").applyInArrow(join_pairs, ROWS)
-    r = r.groupBy("stage", "bucket").applyInArrow(join_words, ROWS)
-    return r.groupBy("stage", "bucket").applyInArrow(total, "doc_id long, n_tokens long, n_seen long, score double")
+    first = store.keep(at_buckets(docs.mapInArrow(explode, ROWS), buckets).applyInArrow(join_threes, ROWS), "threes")
+    store.release()
+    asked = first.where(F.col("stage") == PAIRS).union(docs.mapInArrow(count_pairs, ROWS))
+    second = store.keep(at_buckets(asked, buckets).applyInArrow(join_pairs, ROWS), "pairs")
+    store.release()
+    asked = first.union(second).where(F.col("stage") == WORDS).union(docs.mapInArrow(count_words, ROWS))
+    third = at_buckets(asked, buckets).applyInArrow(join_words, ROWS)
+    sums = first.union(second).union(third).where(F.col("stage") == SUMS)
+    return at_buckets(sums, doc_buckets).applyInArrow(total, "doc_id long, n_tokens long, n_seen long, score double")
 
 
 SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
-), t AS (SELECT doc_id, unnest(w) AS b, unnest(list_prepend(NULL, w[1:len(w) - 1])) AS a FROM w WHERE len(w) > 0
-), c1 AS (SELECT b AS w, count(*) AS c FROM t GROUP BY b
-), ca AS (SELECT a AS w, count(*) AS c FROM t WHERE a IS NOT NULL GROUP BY a
-), c2 AS (SELECT a, b, count(*) AS c FROM t WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2
+), t AS (
+  SELECT doc_id, unnest(w) AS c, unnest(list_prepend(NULL, w[1:len(w) - 1])) AS b, unnest(list_prepend(NULL, list_prepend(NULL, w))[1:len(w)]) AS a FROM w WHERE len(w) > 0
+), c1 AS (SELECT c AS w, count(*) AS n FROM t GROUP BY c
+), f1 AS (SELECT b, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b
+), c2 AS (SELECT b, c, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b, c
+), f2 AS (SELECT a, b, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY a, b
+), c3 AS (SELECT a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY a, b, c
 ), n AS (SELECT round(ln(count(*)) * 1e6)::BIGINT AS n, round(ln(0.4) * 1e6)::BIGINT AS off FROM t
 ), s AS (
-  SELECT t.doc_id, c2.c IS NOT NULL AS seen, CASE WHEN c2.c IS NOT NULL THEN round(ln(c2.c) * 1e6) - round(ln(x.c) * 1e6) WHEN t.a IS NULL THEN round(ln(y.c) * 1e6) - n.n ELSE n.off + round(ln(y.c) * 1e6) - n.n END::BIGINT AS v
-  FROM t CROSS JOIN n LEFT JOIN c2 ON c2.a = t.a AND c2.b = t.b LEFT JOIN ca x ON x.w = t.a JOIN c1 y ON y.w = t.b
+  SELECT t.doc_id, coalesce(c3.n > 1, false) AS seen, (
+    CASE WHEN c3.n > 1 THEN round(ln(c3.n - 1) * 1e6) - round(ln(f2.n - 1) * 1e6)
+      ELSE CASE WHEN t.a IS NULL THEN 0 ELSE n.off END + CASE WHEN c2.n > 1 THEN round(ln(c2.n - 1) * 1e6) - round(ln(f1.n - 1) * 1e6)
+        ELSE CASE WHEN t.b IS NULL THEN 0 ELSE n.off END + round(ln(c1.n) * 1e6) - n.n END END)::BIGINT AS v
+  FROM t CROSS JOIN n JOIN c1 ON c1.w = t.c LEFT JOIN f1 ON f1.b = t.b LEFT JOIN c2 ON c2.b = t.b AND c2.c = t.c
+    LEFT JOIN f2 ON f2.a = t.a AND f2.b = t.b LEFT JOIN c3 ON c3.a = t.a AND c3.b = t.b AND c3.c = t.c
 ), d AS (SELECT doc_id, count(*) AS n_tokens, sum(seen::INT)::BIGINT AS n_seen, sum(v)::BIGINT AS v FROM s GROUP BY doc_id)
 SELECT documents.doc_id, coalesce(n_tokens, 0)::BIGINT AS n_tokens, coalesce(n_seen, 0)::BIGINT AS n_seen, coalesce(v, 0) / 1e6::DOUBLE AS score FROM documents LEFT JOIN d USING (doc_id)
 """

@@ -6,12 +6,14 @@ multi-byte character above 0x7F, so byte runs and character runs are the same.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+LONG = 64
 
 _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
@@ -28,13 +30,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Odd constants of the word hash's chains; masks that keep the first bytes of a little-endian word.
+_CHAIN = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7], np.uint64)
+_upto = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _byte_value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _base = 0xC2B2AE3D27D4EB4F
 _tables: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B^i and B^-i modulo 2^64 for i < n."""
+    """B^i and B^-i modulo 2^64 for i < n: for sums that are compared with the bytes themselves afterwards."""
     if not _tables or len(_tables["up"]) < n:
         size = max(n, SLICE_BYTES + 4096)
         for name, base in (("up", _base), ("down", pow(_base, -1, 1 << 64))):
@@ -84,14 +89,30 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, and each row's first word."""
+    """A 64-bit hash of each word, and each row's first word.
+
+    Words go through two 64-bit chains, eight bytes a step and neither linear, that are folded at the end; those of over
+    LONG bytes through BLAKE2b. Different words share a hash with a chance of about 2^-64, whatever their form."""
     low, s, e, rows = words(raw, at)
     if not len(s):
         return np.zeros(0, np.uint64), rows
-    up, down = _powers(len(low))
-    total = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum(_byte_value[low] * up, out=total[1:])
-    return mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)), rows
+    n = e - s
+    eight = np.ndarray((len(low) + 1,), np.uint64, np.concatenate([low, np.zeros(8, np.uint8)]), strides=(1,))
+    a = mix(n.astype(np.uint64) * _CHAIN[0] + (eight[s] & _upto[np.minimum(n, 8)]))
+    more, j = np.flatnonzero((n > 8) & (n <= LONG)), 8
+    two = a[more] ^ _CHAIN[1]
+    back = np.arange(len(more))
+    while len(back):
+        i = more[back]
+        lane = eight[s[i] + j] & _upto[np.minimum(n[i] - j, 8)]
+        a[i] = mix(a[i] * _CHAIN[2] + lane)
+        two[back] = mix((two[back] ^ lane) * _CHAIN[3] + np.uint64(j))
+        j += 8
+        back = back[n[more[back]] > j]
+    a[more] = mix(a[more] ^ (two * _CHAIN[0]))
+    for i in np.flatnonzero(n > LONG):
+        a[i] = int.from_bytes(hashlib.blake2b(low[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
+    return a, rows
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
