@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from veilstream.llm.store import Store
 
-#: Up to so many edges a step runs in one task and without exchanges, however many shuffle partitions are set.
-ONE_TASK = 200_000
-
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -33,14 +30,12 @@ def components(edges: DataFrame, store: Store, name: str) -> DataFrame:
 
     edges: (u, v) longs, in any order, repeats and loops allowed. Each step is an aggregate and a join on u, so a
     node with very many edges is pre-aggregated and its join partition can be split. Every step is written to the
-    shared folder. Empty edges give an empty table.
+    shared folder; the last one stays, as `name`-k. Empty edges give an empty table.
     """
     now = store.keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
     state, k = _state(now), 0
     while state[0]:
         k += 1
-        if state[0] <= ONE_TASK:
-            now = now.coalesce(1)
         step = store.keep(_small_star(_large_star(now)), f"{name}-{k}")
         after = _state(step)
         store.drop(f"{name}-{k - 1}")
