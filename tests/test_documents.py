@@ -1,4 +1,5 @@
 import io
+import json
 import zipfile
 
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from veilstream.operators.layout import layout_pages, quality_flags
 from veilstream.operators.model import model_spans
 from veilstream.operators.structured import fragments
 from veilstream.sources.docx import redacted, text_of
-from veilstream.sources.files import bbox_words, ocr_pages
+from veilstream.sources.files import bbox_words, ocr_pages, ocr_text
 from veilstream.streaming.stream import redact_stream
 
 
@@ -45,9 +46,25 @@ def test_layout(spark):
 def test_bbox_and_ocr(spark):
     x = '<doc><page><word xMin="1" yMin="2" xMax="3" yMax="4">hi</word><word xMin="a">no</word></page></doc>'
     assert [(w.text, w.x1) for w in bbox_words(spark.createDataFrame([("f", x), ("g", "<bad")], "file_id string, xhtml string")).collect()] == [("hi", 3.0)]
-    p = '{"page_index":0,"page_width":100,"page_height":200,"lines":[{"text":"low","bbox":{"x0":0,"y0":0.1,"x1":1,"y1":0.2},"chars":[]},{"text":" top ","bbox":{"x0":0,"y0":0.8,"x1":1,"y1":0.9},"chars":[]}]}'
-    r = ocr_pages(spark.createDataFrame([("f", 0, p), ("g", 0, '" plain "')], "file_id string, page_index int, payload string")).orderBy("file_id").collect()
-    assert [x.text for x in r] == ["top\nlow", "plain"]
+    def line(text, y1, chars=()):
+        return {"text": text, "bbox": {"x0": 0, "y0": y1 - 0.1, "x1": 1, "y1": y1}, "chars": list(chars)}
+
+    char = lambda c, x: {"text": c, "bbox": {"x0": x, "y0": 0.8, "x1": x + 0.1, "y1": 0.9}}
+    page = lambda *lines: json.dumps({"page_width": 100, "page_height": 200, "lines": lines})
+    rows = [
+        ("a", page(line("low", 0.2), line(" top ", 0.9))),
+        ("b", '" plain "'),
+        ("c", page(line("", 0.3, [char("l", 0.0), {"text": "ow"}]), line("", 0.9, [char(" ", 0.0), char("T", 0.1), char(" ", 0.2)]), line("", 0.1, [char(" ", 0.0)]))),
+        ("d", "[1]"),
+        ("e", "{broken"),
+        ("f", json.dumps({"lines": "x"})),
+    ]
+    payloads = spark.createDataFrame([(i, 0, p) for i, p in rows], "file_id string, page_index int, payload string")
+    assert [r.text for r in ocr_text(payloads).orderBy("file_id").collect()[:2]] == ["low\ntop", "plain"]
+    got = {r.file_id: r for r in ocr_pages(payloads).collect()}
+    assert got["c"].text == "T\nlow\n" and [b and (round(b.x0), round(b.y0)) for b in got["c"].char_boxes] == [(10, 20), None, (0, 20), None, None, None]
+    assert got["b"].text == "plain" and got["b"].char_boxes == [] and got["a"].text == "" == got["f"].text
+    assert [bool(got[i].error) for i in "abcdef"] == [False, False, False, True, True, False]
 
 
 def test_docx():

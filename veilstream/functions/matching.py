@@ -1,7 +1,8 @@
 """All non-overlapping matches of a pattern with code-point offsets, as Catalyst expressions.
 
 Spark has no find-all with offsets. The pieces between matches (split) and the matches themselves (regexp_extract_all)
-alternate, so summing their lengths gives every offset; length() counts code points.
+alternate, so summing their lengths gives every offset; length() counts code points. The work grows with the text and, but for
+a small part, with the number of matches.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilstream.functions.folds import let, running
+
 MATCHES = "array<struct<start:int,end:int,text:string,at:int,upto:int>>"
 
 
@@ -26,15 +29,18 @@ def matches(text: Column, pattern: str, groups: bool = True, needs: str | None =
     else:
         zipped = F.arrays_zip(whole.alias("m"), gaps.alias("g"))
 
-    def step(acc: Column, x: Column) -> Column:
-        m, g = x["m"], x["g"]
-        at = acc["pos"] + F.length(g)
-        start = at + F.length(x["p"]) if groups else at
-        value = x["v"] if groups else m
-        upto = at + F.length(m)
-        one = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("text"), at.alias("at"), upto.alias("upto"))
-        return F.when(m.isNull(), acc).otherwise(F.struct(upto.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out")))
+    def found(pieces: Column) -> Column:
+        starts = running(F.transform(pieces, lambda x: F.length(x["g"]) + F.length(x["m"])))
+
+        def one(x: Column, before: Column) -> Column:
+            at = before + F.length(x["g"])
+            start = at + F.length(x["p"]) if groups else at
+            value = x["v"] if groups else x["m"]
+            return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("text"), at.alias("at"), (at + F.length(x["m"])).alias("upto"))
+
+        return F.zip_with(pieces, starts, one).cast(group_type)
 
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("pos"), F.array().cast(group_type).alias("out")), step, lambda acc: acc["out"])
+    # the last gap has no match after it
+    all_ = let(F.filter(zipped, lambda x: x["m"].isNotNull()), found)
     able = text.isNotNull() if needs is None else text.contains(needs)
-    return F.when(able & F.rlike(text, p) if needs is None else able, found).otherwise(F.array().cast(group_type))
+    return F.when(able & F.rlike(text, p) if needs is None else able, all_).otherwise(F.array().cast(group_type))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilstream.functions.folds import let, running
 from veilstream.functions.matching import matches
 from veilstream.operators.rules import NOT_S, S
 
@@ -37,14 +38,14 @@ def lines(text: Column) -> Column:
     sep = F.lit(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
     pieces = F.arrays_zip(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", -1).alias("p"), F.regexp_extract_all(text, sep, F.lit(0)).alias("s"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = F.coalesce(x["s"], F.lit(""))
-        line = F.concat(x["p"], F.when(s.isin("\n", "\r", "\r\n"), "").otherwise(s))
-        one = F.array(F.struct(acc["pos"].alias("start"), line.alias("line")))
-        last = x["s"].isNull() & (x["p"] == "")
-        return F.struct((acc["pos"] + F.length(x["p"]) + F.length(s)).alias("pos"), F.when(last, acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+    def found(all_: Column) -> Column:
+        starts = running(F.transform(all_, lambda x: F.length(x["p"]) + F.coalesce(F.length(x["s"]), F.lit(0))))
+        tail = lambda x: F.when(x["s"].isNull() | x["s"].isin("\n", "\r", "\r\n"), "").otherwise(x["s"])
+        each = F.zip_with(all_, starts, lambda x, at: F.struct(at.alias("start"), F.concat(x["p"], tail(x)).alias("line"))).cast(LINES)
+        last = F.get(all_, F.size(all_) - 1)
+        return F.when(last["p"] == "", F.slice(each, F.lit(1), F.size(each) - 1)).otherwise(each)
 
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("pos"), F.array().cast(LINES).alias("out")), step, lambda acc: acc["out"])
+    found = let(pieces, found)
     return F.when(text.isNotNull(), found).otherwise(F.array().cast(LINES))
 
 
