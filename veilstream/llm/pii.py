@@ -31,7 +31,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: kind -> (pattern, what a text must hold for it to match)
 WIDE = {
-    "email": (r"[^\s@<>()\[\],;:\"]++(?:@|\x20?[\[(]at[\])]\x20?)[^\s@<>()\[\],;:\"]++", r"@|[\[(]at[\])]"),
+    "email": (r"(?<![^\s@<>()\[\],;:\"])[^\s@<>()\[\],;:\"]++(?:@|\x20?[\[(]at[\])]\x20?)[^\s@<>()\[\],;:\"]++", r"@|[\[(]at[\])]"),
     "ip": (r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", ":"),
     "card": (r"(?<![0-9])[0-9](?:[\x20./-]?[0-9]){11,18}(?![0-9])", "[0-9]"),
     "phone": (r"(?<![0-9])(?:\(?[0-9]{3}\)?[\x20.-]){2}[0-9]{4}(?![0-9])|(?<![0-9])00[1-9](?:[\x20-]?[0-9]){7,12}(?![0-9])", "[0-9]"),

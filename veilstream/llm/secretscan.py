@@ -4,7 +4,7 @@ Base kinds, each leftmost and non-overlapping: `assign` (a keyword, a separator,
 `access` (AKIA...), `hex` (32 or more). A candidate string is a run of 20 or more of [A-Za-z0-9+/_=-]; its class is
 hex, upper- or lower-case alphanumeric, or mixed, and without digits one letter case or letters. The entropy of every
 window is kept by incremental counts: one character enters, one leaves, and the sum of c*log2(c) changes by those two
-counts. A candidate whose best window reaches its class's threshold becomes a span of kind `entropy`, unless the
+counts. A candidate takes time in proportion to its length. A candidate whose best window reaches its class's threshold becomes a span of kind `entropy`, unless the
 allow-list suppresses it or it lies within a base span. One that holds or crosses a base span is kept whole.
 
 All of it is Catalyst expressions. Null and empty texts have no spans; texts are scanned whole; each input row gives one
@@ -13,9 +13,12 @@ row, repeated ids included; other columns stay as they are.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilstream.functions.folds import let
 from veilstream.functions.matching import matches
 
 KINDS = ["assign", "access", "hex", "entropy"]
@@ -35,34 +38,55 @@ ALLOWED = [
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUID
     r"^[0-9+/_=-]+$",  # numbers and dates
     r"^(.)\1+$",
-    r"^[A-Za-z]+([_/-][A-Za-z]+)*[_/=-]?[0-9]{1,4}$",  # words joined, with a number
+    r"^(?!.*[_/-][_/=-])[A-Za-z][A-Za-z_/-]*=?[0-9]{1,4}$",  # words joined, with a number
 ]
 
+#: The codes of a candidate's characters ('+' to 'z'), and the character that stands for a count of none.
+LOWEST, HIGHEST, NONE = 43, 122, 33
+
 #: Names of the added columns, unlikely among a table's own.
 BASE, SECRETS, CANDIDATES = "_veil_base", "_veil_secrets", "_veil_candidates"
 SPANS = "array<struct<kind:int,start:int,end:int>>"
 
 
+def _weight(c: int) -> int:
+    """c*log2(c) in units of 2^-40: sums of integers don't drift."""
+    return round(c * math.log2(c) * 2**40) if c else 0
+
+
 def window_entropy(value: Column, width: int) -> Column:
-    """The largest Shannon entropy (bits) of a window of `width` characters; of the whole value if it is shorter."""
-    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
-    n = F.length(value)
-    w = F.least(n, F.lit(width))
-
-    def gain(c: Column) -> Column:  # f(c+1) - f(c) for f(c) = c*log2(c)
-        return (c + 1) * F.log2(c + 1.0) - F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(0.0)
-
-    def step(acc: Column, i: Column) -> Column:
-        new = F.get(codes, i)
-        old = F.when(i >= w, F.get(codes, i - w)).otherwise(F.lit(-1))
-        left = F.transform(acc["count"], lambda c, k: F.when(k == old, c - 1).otherwise(c))
-        total = acc["total"] - F.when(old >= 0, gain(F.get(left, old))).otherwise(0.0) + gain(F.get(left, new))
-        counts = F.transform(left, lambda c, k: F.when(k == new, c + 1).otherwise(c))
-        here = F.when(i + 1 >= w, F.log2(w.cast("double")) - total / w).otherwise(0.0)
-        return F.struct(counts.alias("count"), total.alias("total"), F.greatest(acc["best"], here).alias("best"))
-
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("count"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda acc: acc["best"])).otherwise(0.0)
+    """The largest Shannon entropy (bits) of a window of `width` characters; of the whole value if it is shorter.
+
+    value is of the alphabet of candidates. The counts are a string with one character for each of the alphabet's codes; a
+    step replaces two of them, so a value takes time in proportion to its length."""
+    gain = F.array(*[F.lit(_weight(c + 1) - _weight(c)) for c in range(width + 1)])  # what one more adds to c equal ones
+    place = lambda c: F.ascii(c) - (LOWEST - 1)
+    count = lambda counts, c: F.ascii(F.substring(counts, place(c), F.lit(1))) - NONE
+    with_count = lambda counts, c, n: F.overlay(counts, F.char(n + NONE), place(c))
+
+    def step(acc: Column, x: Column, w: Column) -> Column:
+        def leave(n: Column) -> Column:
+            return F.struct(with_count(acc["counts"], x["old"], n - 1).alias("counts"), (acc["total"] - F.get(gain, n - 1)).alias("total"), acc["size"].alias("size"))
+
+        def enter(left: Column) -> Column:
+            def add(n: Column) -> Column:
+                total = left["total"] + F.get(gain, n)
+                least = F.when(left["size"] + 1 == w, F.least(acc["least"], total)).otherwise(acc["least"])
+                return F.struct(with_count(left["counts"], x["new"], n + 1).alias("counts"), total.alias("total"), (left["size"] + 1).alias("size"), least.alias("least"))
+
+            return let(count(left["counts"], x["new"]), add)
+
+        same = F.struct(acc["counts"].alias("counts"), acc["total"].alias("total"), acc["size"].alias("size"))
+        gone = let(count(acc["counts"], x["old"]), leave)
+        return let(F.when(x["old"].isNull(), same).otherwise(F.struct(gone["counts"].alias("counts"), gone["total"].alias("total"), (gone["size"] - 1).alias("size"))), enter)
+
+    def fold(chars: Column, w: Column) -> Column:
+        old = F.concat(F.array_repeat(F.lit(None).cast("string"), w), F.slice(chars, F.lit(1), F.greatest(F.size(chars) - w, F.lit(0))))
+        start = F.struct(F.lit(chr(NONE) * (HIGHEST - LOWEST + 1)).alias("counts"), F.lit(0).cast("long").alias("total"), F.lit(0).alias("size"), F.lit(2**62).alias("least"))
+        return F.aggregate(F.arrays_zip(chars.alias("new"), old.alias("old")), start, lambda acc, x: step(acc, x, w), lambda acc: F.log2(w.cast("double")) - acc["least"] / F.lit(2.0**40) / w)
+
+    whole = let(F.least(F.length(value), F.lit(width)), lambda w: let(F.split(value, ""), lambda chars: fold(chars, w)))
+    return F.when(F.length(value) > 0, whole).otherwise(0.0)
 
 
 def _spans(found: Column, kind: str) -> Column:
