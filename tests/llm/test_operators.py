@@ -148,7 +148,7 @@ def test_lm_against_plain_counts(spark, monkeypatch, own):
     rng = np.random.default_rng(4)
     texts = [" ".join(rng.choice(list("abcdefgh") + ["Zz", "\u00e9"], rng.integers(0, 60))) for _ in range(60)]
     texts += [texts[0], texts[0], None, "", " \n", "one", "one two", "x " * 5000]
-    monkeypatch.setattr(lm, "HOT", 40)  # some words, pairs and threes are hot, some aren't
+    monkeypatch.setattr(lm, "CHUNK", 100)  # several blocks a task
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.n_tokens, r.n_seen, r.score) for r in lm.score(d, own).collect()}
     for i, want in enumerate(stupid_backoff(texts, own)):

@@ -7,384 +7,229 @@ does not count for itself: `own` is taken off the counts of three, two and what
 counts, where nothing would ever be backed off from). A document's score is the sum of the logarithms, each in millionths, so
 sums don't depend on their order. Counts cover every row and every n-gram.
 
-The count tables are partitioned by hash, and the exploded n-grams of the documents go to the partitions of their own
-keys: first all threes, those of one pair together unless that is hot; the ones that don't occur elsewhere ask for their
-pair, at the partition of its first word; from there others ask for their last word; then sums go to their documents.
-Occurrences travel packed: many of one partition in a row, words as places in the row's own dictionary. Words, pairs and
-threes with at least one in HOT of all occurrences never travel: two passes find and count them, at most 2*HOT of each, and
-they are broadcast. So no partition grows with a frequent word, pair or passage. Each of the three steps is written out before
-the next, so its shuffle files can go, and a partition's size does not grow with the corpus.
+Documents become blocks of about CHUNK words, written once. Each block's distinct n-grams with their counts there go to the
+count table's partition of their hash, as sorted keys packed in one row a partition; so a frequent n-gram is one key a block,
+however often it occurs. The partition adds up, and answers each block with the totals in the order of its keys. Blocks and their
+answers meet in the end and give sums for their documents. Threes go first, then pairs and words, each step written out
+before the next so that its shuffle files can go.
 
 Rows of one doc_id are scored as one document; rows without doc_id too, and give one row. Null texts and texts without
-words have score 0 and no tokens. An empty table gives no rows. Only doc_id and text are read.
+words have score 0 and no tokens. An empty table gives no rows. Only doc_id and text are read. Different n-grams share a 64-bit
+key with a chance of 2^-64.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilstream.llm.store import Store
 from veilstream.llm.textnum import mix, slices, word_hashes
 
-HOT = 32_000
 BACKOFF = 0.4
-CHUNK = 1_500_000  # words a task works on at once
-PER_BUCKET, DOCS_PER_BUCKET, LEAST_BUCKETS = 1_200_000, 20_000, 64
-NONE = np.iinfo(np.int64).min
-ROWS = "stage int, bucket int, kind int, payload binary"
-#: Stages of rows: threes, pairs, words, sums. Kinds: counts or occurrences to be counted (0), questions (1).
-THREES, PAIRS, WORDS, SUMS = range(4)
+CHUNK = 1_500_000  # words of a block
+PER_BUCKET, LEAST_BUCKETS = 2_000_000, 32
+ROWS = "bucket int, chunk long, kind int, payload binary"
 
 
 def _log(x: np.ndarray | float) -> np.ndarray:
     return np.rint(np.log(x) * 1e6).astype(np.int64)
 
 
-def _word(h: np.ndarray) -> np.ndarray:
-    """The two low bits of a key are its length less one."""
-    return h & ~np.uint64(3)
-
-
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _word(mix(a * np.uint64(0x9FB21C651E98DF25) + b)) | np.uint64(1)
+    return mix(a * np.uint64(0x9FB21C651E98DF25) + b)
 
 
 def _three(pair: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return _word(mix(pair * np.uint64(0xD1B54A32D192ED03) + c)) | np.uint64(2)
+    return mix(pair * np.uint64(0xD1B54A32D192ED03) + c)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """The arrays' types, lengths and bytes."""
-    head = np.array([v for a in arrays for v in (len(a), a.dtype.itemsize)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
-
-
-def _unpack(data: bytes, *kinds: type | None) -> list[np.ndarray]:
-    """kinds: None for unsigned integers of whatever size they were packed in."""
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    sizes, at, out = np.frombuffer(raw, np.int64, 2 * len(kinds)).reshape(-1, 2), 16 * len(kinds), []
-    for (n, width), kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(raw, kind or f"<u{width}", n, at))
-        at += n * width
+    """The arrays' types and lengths, and their bytes by place: all first bytes, then all second ones."""
+    head = np.array([(len(a), a.dtype.itemsize) for a in arrays], np.int64).tobytes()
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
+
+
+def _unpack(data: bytes, n: int) -> list[np.ndarray]:
+    """n arrays of unsigned integers."""
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 16 * n, []
+    for size, width in np.frombuffer(raw, np.int64, 2 * n).reshape(-1, 2).tolist():
+        planes = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel())
+        at += size * width
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_ids, word keys, first word of each row and the end) of about CHUNK words."""
-    ids, words, firsts, n = [], [], [np.zeros(1, np.int64)], 0
+def _small(x: np.ndarray) -> np.ndarray:
+    """x in the fewest bytes that hold its largest."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+
+
+@dataclass
+class Words:
+    """The words of some rows as hashes."""
+
+    ids: np.ndarray  # doc_id of each row
+    known: np.ndarray  # whether it has one
+    h: np.ndarray
+    first: np.ndarray  # first word of each row, and the number of words
+
+    def packed(self) -> bytes:
+        distinct, place = np.unique(self.h, return_inverse=True)
+        return _pack(self.ids.view(np.uint64), self.known.view(np.uint8), _small(np.diff(self.first)), np.diff(distinct, prepend=np.uint64(0)), _small(place))
+
+    @staticmethod
+    def unpacked(data: bytes) -> Words:
+        ids, known, sizes, gaps, place = _unpack(data, 5)
+        return Words(ids.view(np.int64), known.view(bool), np.cumsum(gaps.astype(np.uint64), dtype=np.uint64)[place], np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
+
+    def __post_init__(self) -> None:
+        before = np.full(len(self.h) + 2, 2, np.int8)  # the number of words before each one in its row, up to 2
+        before[self.first + 1] = 1
+        before[self.first] = 0
+        self.second, self.third = np.flatnonzero(before[: len(self.h)] > 0), np.flatnonzero(before[: len(self.h)] > 1)
+        self.followed = before[1 : len(self.h) + 1] > 0  # by a word of the row
+        self.followed[-1:] = False
+        self.pair = np.zeros(len(self.h), np.uint64)  # of each word and the one before
+        self.pair[self.second] = _pair(self.h[self.second - 1], self.h[self.second])
+
+    def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all words (0), pairs (1) or threes (2), and the places of their last words."""
+        if kind == 2:
+            return _three(self.pair[self.third - 1], self.h[self.third]), self.third
+        return (self.pair[self.second], self.second) if kind else (self.h, np.arange(len(self.h)))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+    parts, n = [], 0
+
+    def whole() -> Words:
+        ids, known, words, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return Words(ids, known, words, np.concatenate([[0], np.cumsum(sizes)]))
+
     for batch in batches:
-        own = batch.column(0).fill_null(NONE).to_numpy(zero_copy_only=False)
+        ids, known = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
         for at, raw, offsets in slices(batch.column(1)):
             h, first = word_hashes(raw, offsets)
-            ids.append(own[at : at + len(offsets) - 1])
-            words.append(_word(h))
-            firsts.append(first[1:] + n)
+            rows = slice(at, at + len(offsets) - 1)
+            parts.append((ids[rows], known[rows], h, np.diff(first)))
             n += len(h)
             if n >= CHUNK:
-                yield np.concatenate(ids), np.concatenate(words), np.concatenate(firsts)
-                ids, words, firsts, n = [], [], [np.zeros(1, np.int64)], 0
-    if ids:
-        yield np.concatenate(ids), np.concatenate(words), np.concatenate(firsts)
-
-
-def _places(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The number of words before each word in its row, up to 2."""
-    place = np.full(len(h) + 2, 2, np.int8)
-    place[first + 1] = 1
-    place[first] = 0
-    return place[: len(h)]
-
-
-def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """1 + the place of each x in sorted keys, or 0."""
-    if not len(keys):
-        return np.zeros(len(x), np.int64)
-    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return np.where(keys[at] == x, at + 1, 0)
-
-
-class Hot:
-    """Sorted keys of frequent words, pairs and threes, their counts, and their counts with a next word."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray, followed: np.ndarray):
-        kind = (keys & np.uint64(3)).astype(int)
-        self.keys, self.n, self.followed = ([x[kind == k] for k in range(3)] for x in (keys, n, followed))
-
-
-def _hot(docs: DataFrame) -> tuple[int, int, Hot]:
-    """Numbers of words and rows, and what is frequent."""
-
-    def grams(h: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-        two = np.flatnonzero(place > 0)
-        pair = np.zeros(len(h), np.uint64)
-        pair[two] = _pair(h[two - 1], h[two])
-        three = np.flatnonzero(place > 1)
-        return [h, pair[two], _three(pair[three - 1], h[three])]
-
-    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, h, first in _chunks(batches):
-            keys, counts = [np.array([0, 1], np.uint64)], [np.array([len(h), len(ids)])]
-            for x in grams(h, _places(h, first)):
-                k, c = np.unique(x, return_counts=True)
-                keep = c * 2 * HOT >= len(h)
-                keys.append(k[keep])
-                counts.append(c[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(counts))], ["key", "n"])
-
-    sums = docs.mapInArrow(often, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    store = Store(docs.sparkSession, "lm-often")
-    sums = store.keep(sums, "often")
-    total = {r.key: r.n for r in sums.where("key in (0, 1)").collect()}
-    n, rows = total.get(0, 0), total.get(1, 0)
-    # a key missed by a chunk has under one in 2*HOT there, so every key with one in HOT in all passes
-    near = np.sort(np.array([r.key for r in sums.where(f"key not in (0, 1) and n * {2 * HOT} >= {n}").collect()], np.int64).view(np.uint64))
-    store.close()
-    shared = docs.sparkSession.sparkContext.broadcast(near)
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = shared.value
-        for _, h, first in _chunks(batches):
-            place = _places(h, first)
-            size = len(keys) + 1
-            inner = np.append(place[1:] > 0, False)  # a next word in the row
-            c, after = np.zeros(size, np.int64), np.zeros(size, np.int64)
-            for back, x in enumerate(grams(h, place)):
-                i = _find(keys, x)
-                c += np.bincount(i, minlength=size)
-                after += np.bincount(i[inner[np.flatnonzero(place >= back)]], minlength=size)
-            some = np.flatnonzero(c[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(c[1:][some]), pa.array(after[1:][some])], ["key", "n", "followed"])
-
-    counted = {r.key: (r.n, r.followed) for r in docs.mapInArrow(exact, "key long, n long, followed long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("followed").alias("followed")).collect()} if len(near) else {}
-    counts = np.array([counted.get(int(k), (0, 0)) for k in near.view(np.int64)], np.int64).reshape(-1, 2)
-    return n, rows, Hot(near, counts[:, 0], counts[:, 1])
-
-
-class Step:
-    """What one call gives: rows grouped by where they go, and sums of its own."""
-
-    def __init__(self, hot: Hot, n: int, own: int, buckets: int, doc_buckets: int):
-        self.hot, self.own, self.buckets, self.doc_buckets = hot, own, buckets, doc_buckets
-        self.all, self.rows, self.sums = int(_log(float(max(n - own + 1, 1)))), [], []
-
-    def add(self, doc: np.ndarray, value: np.ndarray | int, tokens: int = 0, threes: int = 0) -> None:
-        """Scores in millionths, tokens and threes found elsewhere, an entry for each."""
-        full = lambda v: np.broadcast_to(np.int64(v), doc.shape)
-        self.sums.append((doc, full(value) if np.isscalar(value) else value, full(tokens), full(threes)))
-
-    def send(self, stage: int, kind: int, bucket: np.ndarray, words: list[np.ndarray], others: list[np.ndarray], by: np.ndarray | None = None) -> None:
-        """A row for each bucket: the words' places in its dictionary, the dictionary, and the others; `by` (documents) is
-        put in order and sent as differences."""
-        small = bucket.astype(np.uint32 if self.buckets > 65_535 else np.uint16)
-        order = np.argsort(small, kind="stable") if by is None else np.lexsort((by, small))
-        ends = np.searchsorted(small[order], np.arange(self.buckets + 1))
-        for b in np.flatnonzero(np.diff(ends)):
-            at = order[ends[b] : ends[b + 1]]
-            known, place = np.unique(np.concatenate([w[at] for w in words]), return_inverse=True)
-            place = place.astype(np.uint16 if len(known) <= 65_536 else np.uint32).reshape(len(words), -1)
-            data = [*place, known, *(x[at] for x in others), *([] if by is None else [np.diff(by[at], prepend=0)])]
-            self.rows.append((stage, int(b), kind, _pack(*data)))
-
-    def found(self, c: np.ndarray, followed: np.ndarray) -> np.ndarray:
-        return _log(np.maximum(c - self.own, 1)) - _log(np.maximum(followed - self.own, 1))
-
-    def ask_pairs(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> None:
-        """Scores after one word."""
-        i = _find(self.hot.keys[1], _pair(a, b))
-        if (i > 0).any():  # the first word is as frequent, so it is hot as well
-            c = self.hot.n[1][i[i > 0] - 1]
-            after = self.hot.followed[0][_find(self.hot.keys[0], a[i > 0]) - 1]
-            yes = c > self.own
-            self.add(doc[i > 0][yes], self.found(c, after)[yes])
-            self.ask_words(b[i > 0][~yes], doc[i > 0][~yes], True)
-        a, b, doc = a[i == 0], b[i == 0], doc[i == 0]
-        if len(a):
-            self.send(PAIRS, 1, self.of_pair(a, b), [a, b], [], doc)
-
-    def of_pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The bucket of pairs: all of a first word together unless that is hot."""
-        return np.where(_find(self.hot.keys[0], a) > 0, mix(_pair(a, b)), mix(a)) % np.uint64(self.buckets)
-
-    def ask_words(self, w: np.ndarray, doc: np.ndarray, back: bool) -> None:
-        """Scores of words alone, after backing off or not."""
-        self.add(doc, (int(_log(BACKOFF)) if back else 0) - self.all)
-        i = _find(self.hot.keys[0], w)
-        self.add(doc[i > 0], _log(np.maximum(self.hot.n[0][i[i > 0] - 1] - self.own + 1, 1)))
-        w, doc = w[i == 0], doc[i == 0]
-        if len(w):
-            self.send(WORDS, 1, mix(w) % np.uint64(self.buckets), [w], [], doc)
-
-    def table(self) -> pa.Table:
-        if self.sums:
-            doc = np.concatenate([x[0] for x in self.sums])
-            one, of = np.unique(doc, return_inverse=True)
-            totals = []
-            for k in (1, 2, 3):
-                t = np.zeros(len(one), np.int64)
-                np.add.at(t, of, np.concatenate([x[k] for x in self.sums]))
-                totals.append(t)
-            where = mix(one.view(np.uint64)) % np.uint64(self.doc_buckets)
-            order = np.lexsort((one, where))
-            ends = np.searchsorted(where[order], np.arange(self.doc_buckets + 1))
-            for b in np.flatnonzero(np.diff(ends)):
-                at = order[ends[b] : ends[b + 1]]
-                self.rows.append((SUMS, int(b), 0, _pack(np.diff(one[at], prepend=0), *(t[at] for t in totals))))
-        r = self.rows
-        return pa.table({"stage": pa.array([x[0] for x in r], pa.int32()), "bucket": pa.array([x[1] for x in r], pa.int32()), "kind": pa.array([x[2] for x in r], pa.int32()), "payload": pa.array([x[3] for x in r], pa.binary())})
-
-
-def _rows_of(table: pa.Table, stage: int, kind: int) -> list[bytes]:
-    return [p for s, k, p in zip(table["stage"].to_pylist(), table["kind"].to_pylist(), table["payload"].to_pylist(), strict=True) if (s, k) == (stage, kind)]
-
-
-def _joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+                yield whole()
+                parts, n = [], 0
+    if parts:
+        yield whole()
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """chunk, words, payload: the documents' words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for i, w in enumerate(_blocks(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array([first + i]), pa.array([len(w.h)]), pa.array([w.packed()], pa.binary())], ["chunk", "words", "payload"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "chunk long, words long, payload binary")
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = [("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())]
+    return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds)})
+
+
+def counts(words: DataFrame, kinds: list[int], buckets: int) -> DataFrame:
+    """Answers to blocks (bucket, chunk, kind, payload): the totals of their distinct n-grams of kinds, of those in a bucket in the order
+    of keys; how often they occur, and of words and pairs how often they are followed."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                w, rows = Words.unpacked(payload.as_py()), []
+                for kind in kinds:
+                    key, last = w.keys(kind)
+                    if kind == 2:
+                        distinct, n = np.unique(key, return_counts=True)
+                        sums = [n]
+                    else:
+                        distinct, of, n = np.unique(key, return_inverse=True, return_counts=True)
+                        sums = [n, np.bincount(of[w.followed[last]], minlength=len(distinct))]
+                    bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                    ends = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+                    for b in np.flatnonzero(np.diff(ends)):
+                        at = slice(ends[b], ends[b + 1])
+                        rows.append((int(b), chunk, kind, _pack(np.diff(distinct[at], prepend=np.uint64(0)), *(_small(x[at]) for x in sums))))
+                yield from _table(rows).to_batches(max_chunksize=256)
+
+    def answer(table: pa.Table) -> pa.Table:
+        bucket, rows = table["bucket"][0].as_py(), []
+        for kind in kinds:
+            mine = table.filter(pa.compute.equal(table["kind"], kind))
+            if not mine.num_rows:
+                continue
+            got = [_unpack(p.as_py(), 2 if kind == 2 else 3) for p in mine["payload"]]
+            keys = [np.cumsum(g[0], dtype=np.uint64) for g in got]
+            _, of = np.unique(np.concatenate(keys), return_inverse=True)
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+            totals = [np.bincount(of, np.concatenate([g[i] for g in got]).astype(float)).astype(np.int64)[of] for i in range(1, len(got[0]))]
+            for i, chunk in enumerate(mine["chunk"].to_pylist()):
+                rows.append((bucket, chunk, kind, _pack(*(_small(t[ends[i] : ends[i + 1]]) for t in totals))))
+        return _table(rows)
+
+    # as many partitions as buckets, whatever the session's number of shuffle partitions
+    return words.mapInArrow(ask, ROWS).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, ROWS)
 
 
 def score(docs: DataFrame, own: int = 1) -> DataFrame:
     """doc_id, n_tokens, n_seen (tokens whose three occur elsewhere), score (sum of logarithms)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n, rows, hot = _hot(docs)
-    store = Store(spark, "lm")
-    buckets, doc_buckets = max(LEAST_BUCKETS, -(-n // PER_BUCKET)), max(LEAST_BUCKETS, -(-rows // DOCS_PER_BUCKET))
-    shared = spark.sparkContext.broadcast(hot)
-
-    def step() -> Step:
-        return Step(shared.value, n, own, buckets, doc_buckets)
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, h, first in _chunks(batches):
-            out = step()
-            place, doc = _places(h, first), np.repeat(ids, np.diff(first))
-            out.add(ids, 0)
-            out.add(doc, 0, tokens=1)
-            one, two, three = (np.flatnonzero(place == k) for k in range(3))
-            out.ask_words(h[one], doc[one], False)
-            out.ask_pairs(h[two - 1], h[two], doc[two])
-            pair = _pair(h[three - 2], h[three - 1])
-            key = _three(pair, h[three])
-            i = _find(out.hot.keys[2], key)
-            t, c = three[i > 0], out.hot.n[2][i[i > 0] - 1]  # its pair is hot as well
-            yes = c > own
-            out.add(doc[t][yes], out.found(c, out.hot.followed[1][_find(out.hot.keys[1], pair[i > 0]) - 1])[yes], threes=1)
-            out.add(doc[t][~yes], int(_log(BACKOFF)))
-            out.ask_pairs(h[t - 1][~yes], h[t][~yes], doc[t][~yes])
-            t, pair, key = three[i == 0], pair[i == 0], key[i == 0]
-            if len(t):
-                where = np.where(_find(out.hot.keys[1], pair) > 0, mix(key), mix(pair)) % np.uint64(buckets)
-                out.send(THREES, 0, where, [h[t - 2], h[t - 1], h[t]], [], doc[t])
-            yield from out.table().to_batches(max_chunksize=512)
-
-    def join_threes(table: pa.Table) -> pa.Table:
-        out, got = step(), []
-        rest = table.filter(pa.array([s != THREES for s in table["stage"].to_pylist()], pa.bool_()))
-        for p in _rows_of(table, THREES, 0):
-            a, b, c, known, doc = _unpack(p, None, None, None, np.uint64, np.int64)
-            got.append([known[a], known[b], known[c], np.cumsum(doc)])
-        if not got:
-            return rest
-        a, b, c, doc = _joined(got)
-        pair = _pair(a, b)
-        _, of, times = np.unique(_three(pair, c), return_inverse=True, return_counts=True)
-        _, of_pair, followed = np.unique(pair, return_inverse=True, return_counts=True)  # all of a pair that isn't hot
-        times, followed = times[of], followed[of_pair]
-        i = _find(out.hot.keys[1], pair)
-        followed[i > 0] = out.hot.followed[1][i[i > 0] - 1]
-        yes = times > own
-        out.add(doc[yes], out.found(times, followed)[yes], threes=1)
-        out.add(doc[~yes], int(_log(BACKOFF)))
-        out.ask_pairs(b[~yes], c[~yes], doc[~yes])
-        return pa.concat_tables([rest, out.table()])
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, first in _chunks(batches):
-            out, two = step(), np.flatnonzero(_places(h, first) > 0)
-            key = _pair(h[two - 1], h[two])
-            cold = _find(out.hot.keys[1], key) == 0
-            _, at, c = np.unique(key[cold], return_index=True, return_counts=True)
-            a, b = h[two - 1][cold][at], h[two][cold][at]
-            if len(a):
-                out.send(PAIRS, 0, out.of_pair(a, b), [a, b], [c.astype(np.uint32)])
-            yield from out.table().to_batches(max_chunksize=512)
-
-    def join_pairs(table: pa.Table) -> pa.Table:
-        out, got, asked = step(), [], []
-        for p in _rows_of(table, PAIRS, 0):
-            a, b, known, c = _unpack(p, None, None, np.uint64, None)
-            got.append([known[a], known[b], c.astype(np.int64)])
-        for p in _rows_of(table, PAIRS, 1):
-            a, b, known, doc = _unpack(p, None, None, np.uint64, np.int64)
-            asked.append([known[a], known[b], np.cumsum(doc)])
-        if asked:
-            a, b, c = _joined(got)
-            keys, of = np.unique(_pair(a, b), return_inverse=True)
-            firsts, of_first = np.unique(a, return_inverse=True)
-            times, followed = np.zeros(len(keys), np.int64), np.zeros(len(firsts), np.int64)
-            np.add.at(times, of, c)
-            np.add.at(followed, of_first, c)  # all of a first word that isn't hot
-            a, b, doc = _joined(asked)
-            times, i = times[np.searchsorted(keys, _pair(a, b))], _find(out.hot.keys[0], a)
-            followed = followed[np.searchsorted(firsts, a)]
-            followed[i > 0] = out.hot.followed[0][i[i > 0] - 1]
-            yes = times > own
-            out.add(doc[yes], out.found(times, followed)[yes])
-            out.ask_words(b[~yes], doc[~yes], True)
-        return out.table()
-
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, _ in _chunks(batches):
-            out = step()
-            k, c = np.unique(h[_find(out.hot.keys[0], h) == 0], return_counts=True)
-            if len(k):
-                out.send(WORDS, 0, mix(k) % np.uint64(buckets), [k], [c.astype(np.uint32)])
-            yield from out.table().to_batches(max_chunksize=512)
-
-    def join_words(table: pa.Table) -> pa.Table:
-        out, got, asked = step(), [], []
-        for p in _rows_of(table, WORDS, 0):
-            at, known, c = _unpack(p, None, np.uint64, None)
-            got.append([known[at], c.astype(np.int64)])
-        for p in _rows_of(table, WORDS, 1):
-            at, known, doc = _unpack(p, None, np.uint64, np.int64)
-            asked.append([known[at], np.cumsum(doc)])
-        if asked:
-            w, c = _joined(got)
-            keys, of = np.unique(w, return_inverse=True)
-            times = np.zeros(len(keys), np.int64)
-            np.add.at(times, of, c)
-            w, doc = _joined(asked)
-            out.add(doc, _log(np.maximum(times[np.searchsorted(keys, w)] - own + 1, 1)))
-        return out.table()
-
-    def total(table: pa.Table) -> pa.Table:
-        parts = [_unpack(p, np.int64, np.int64, np.int64, np.int64) for p in table["payload"].to_pylist()]
-        doc, of = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
-        sums = []
-        for k in (1, 2, 3):
-            t = np.zeros(len(doc), np.int64)
-            np.add.at(t, of, np.concatenate([p[k] for p in parts]))
-            sums.append(t)
-        return pa.table({"doc_id": pa.array(doc, mask=doc == NONE), "n_tokens": sums[1], "n_seen": sums[2], "score": sums[0] / 1e6})
-
-    def at_buckets(messages: DataFrame, count: int) -> object:
-        return messages.repartition(count, "bucket").groupBy("bucket")  # as many partitions as buckets, whatever the session's number
-
-    first = store.keep(at_buckets(docs.mapInArrow(explode, ROWS), buckets).applyInArrow(join_threes, ROWS), "threes")
+    store = Store(docs.sparkSession, "lm")
+    words = store.keep(blocks(docs), "words")
+    n = words.agg(F.sum("words")).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, -(-n // PER_BUCKET))
+    threes = store.keep(counts(words.select("chunk", "words", "payload"), [2], buckets), "threes")
     store.release()
-    asked = first.where(F.col("stage") == PAIRS).union(docs.mapInArrow(count_pairs, ROWS))
-    second = store.keep(at_buckets(asked, buckets).applyInArrow(join_pairs, ROWS), "pairs")
+    others = store.keep(counts(words.select("chunk", "words", "payload"), [0, 1], buckets), "others")
     store.release()
-    asked = first.union(second).where(F.col("stage") == WORDS).union(docs.mapInArrow(count_words, ROWS))
-    third = at_buckets(asked, buckets).applyInArrow(join_words, ROWS)
-    sums = first.union(second).union(third).where(F.col("stage") == SUMS)
-    return at_buckets(sums, doc_buckets).applyInArrow(total, "doc_id long, n_tokens long, n_seen long, score double")
+
+    def total(table: pa.Table) -> pa.Table:
+        kinds, at = table["kind"].to_numpy(), table["bucket"].to_numpy()
+        w = Words.unpacked(table["payload"][int(np.flatnonzero(kinds < 0)[0])].as_py())
+        found = []
+        for kind in range(3):
+            own_rows = np.flatnonzero(kinds == kind)
+            parts = [_unpack(table["payload"][int(i)].as_py(), 1 if kind == 2 else 2) for i in own_rows[np.argsort(at[own_rows])]]
+            _, of = np.unique(w.keys(kind)[0], return_inverse=True)
+            found.append([np.concatenate(x).astype(np.int64)[of] if len(of) else of for x in (zip(*parts, strict=True) if parts else [of] * (1 if kind == 2 else 2))])
+        (c1, f1), (c2, f2), (c3,) = found
+        value, seen = np.zeros(len(w.h), np.int64), np.zeros(len(w.h), bool)
+        pairs, first = np.zeros((len(w.h), 2), np.int64), np.ones(len(w.h), bool)
+        pairs[w.second], first[w.second] = np.column_stack([c2, f2]), False
+        less = lambda c, f: _log(np.maximum(c - own, 1)) - _log(np.maximum(f - own, 1))
+        two = w.second[c2 > own]
+        back = np.setdiff1d(w.second, two, assume_unique=True)
+        value[two] = less(pairs[two, 0], f1[two - 1])
+        alone = _log(np.maximum(c1 - own + 1, 1)) - int(_log(float(max(n - own + 1, 1))))
+        value[first] = alone[first]
+        value[back] = alone[back] + int(_log(BACKOFF))
+        three = c3 > own
+        value[w.third[~three]] += int(_log(BACKOFF))
+        seen[w.third[three]] = True
+        value[w.third[three]] = less(c3[three], pairs[w.third[three] - 1, 1])
+        sums = [np.concatenate([[0], np.cumsum(x)])[w.first] for x in (value, seen.astype(np.int64))]
+        return pa.table({"doc_id": pa.array(w.ids, mask=~w.known), "n_tokens": np.diff(w.first), "n_seen": np.diff(sums[1]), "score": np.diff(sums[0])})
+
+    asked = words.select(F.lit(-1).alias("bucket"), "chunk", F.lit(-1).alias("kind"), "payload")
+    each = threes.union(others).union(asked).groupBy("chunk").applyInArrow(total, "doc_id long, n_tokens long, n_seen long, score long")
+    sums = each.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_seen", "score")])
+    return sums.withColumn("score", F.col("score") / F.lit(1e6))
 
 
 SQL = r"""
