@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilstream.llm import decontam, mixing, quality, secretscan
-from veilstream.llm.minhash import near_duplicates
+from veilstream.llm.minhash import one_of_each
 from veilstream.llm.store import Store
 
 LEAST_QUALITY = 0.3
@@ -26,9 +26,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the one of the smallest doc_id.
-    Rows of one doc_id are one document; those without doc_id stay."""
-    gone = near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    Rows of one doc_id with different texts are different documents, rows alike in both are one. Those without words stay."""
+    return one_of_each(docs, k=5, percent=80)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
