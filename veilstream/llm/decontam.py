@@ -10,16 +10,20 @@ verified, by alignment within the band.
 The q-grams of the benchmark are broadcast while they fit `broadcast_bytes`; a larger benchmark is cut into parts of that
 size, each read over all documents. Documents are scanned whole, in one narrow pass per part. Passages shorter than
 `least` normalised bytes count where they stand exactly, between word boundaries (within a few edits they would match by
-chance); they are found by hashes of the stretches of their length. Null and empty texts match nothing; repeated rows
-are each matched; an empty benchmark matches nothing.
+chance); they are found by hashes of the stretches of their length. Null and empty texts match nothing, items without id or
+text are left out; repeated rows of documents are each matched, equal rows of the benchmark once; of several places of an
+item in a document the first found counts. Other columns are ignored, or stay in clean(). An empty table of either gives no
+matches.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +32,8 @@ from veilstream.llm.textnum import _byte_value, _lower, _powers, _space, slices
 Q = 12
 WINDOW, LEAST, ERRORS = 160, 60, 5
 BROADCAST_BYTES = 4 << 20
+#: Shared q-grams looked at together.
+HITS = 2_000_000
 
 _word = np.zeros(256, bool)
 _word[48:58] = _word[65:91] = _word[97:123] = True
@@ -94,6 +100,13 @@ class Index:
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[self.keys >> np.uint64(44)] = True
 
+    def counts(self, g: np.ndarray) -> np.ndarray:
+        """How many places in the items have each q-gram."""
+        n = np.zeros(len(g), np.int64)
+        some = np.flatnonzero(self.bitmap[g >> np.uint64(44)])
+        n[some] = np.searchsorted(self.keys, g[some], "right") - np.searchsorted(self.keys, g[some], "left")
+        return n
+
     def hits(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position in g, item, position in item) of every shared q-gram."""
         some = np.flatnonzero(self.bitmap[g >> np.uint64(44)])
@@ -153,23 +166,39 @@ def exact(index: Index, low: np.ndarray, at: np.ndarray) -> list[tuple[int, int,
 
 
 def find(index: Index, low: np.ndarray, at: np.ndarray, window: int, errors: int) -> list[tuple[int, int, int, int, int]]:
-    """(row, item, start, end, edits) of the first stretch of each row found for each item."""
+    """(row, item, start, end, edits) of the first stretch of each row found for each item.
+
+    Rows are gone through in stretches of text with about HITS shared q-grams, so that a long run of few characters in both
+    sides needs no more memory; a stretch goes on into the next as far as a match can reach."""
     g = grams(low)
     if not len(g) or not len(index.keys):
         return []
+    sums = np.cumsum(index.counts(g))
+    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    begin, reach = 0, 2 * window + 4 * (window * errors // 100 + 1) + Q
+    while begin < len(g):
+        before = int(sums[begin - 1]) if begin else 0
+        end = max(int(np.searchsorted(sums, before + HITS, "right")), begin + reach)
+        _find_in(index, low, at, g[begin : end + reach], begin, window, errors, found)
+        begin = end
+    return [(r, k, *v) for (r, k), v in found.items()]
+
+
+def _find_in(index: Index, low: np.ndarray, at: np.ndarray, g: np.ndarray, begin: int, window: int, errors: int, found: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+    """find() for the q-grams g from position begin on, added to found."""
     pos, item, inner = index.hits(g)
+    pos = pos + begin
     row = np.searchsorted(at, pos, "right") - 1
     inside = pos + Q <= at[row + 1]
     pos, item, inner, row = pos[inside], item[inside], inner[inside], row[inside]
     if not len(pos):
-        return []
+        return
     length = np.array([len(t) for _, t in index.items])
     w = np.minimum(length, window)
     e = w * errors // 100
     need = np.maximum(w + 1 - Q - Q * e, 1)
     # overlapping bands of 2*wide diagonals, and overlapping stretches of 2*window passage positions
     diagonal, wide = pos - inner, np.maximum(e, 1)[item]
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
     ruled: set[tuple[int, int, int, int]] = set()
     for shift in (0, 1):
         band = (diagonal + shift * wide) // (2 * wide)
@@ -218,29 +247,33 @@ def find(index: Index, low: np.ndarray, at: np.ndarray, window: int, errors: int
                         found[key] = (lo + s - int(at[key[0]]), lo + t - int(at[key[0]]), n)
                         break
                     i = int(np.searchsorted(begins, first + n - limit))
-    return [(r, k, *v) for (r, k), v in found.items()]
+
+
+def _normal(text: str | None) -> bytes:
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    return normalise(raw, np.array([0, len(raw)]))[0].tobytes().strip()
+
+
+def _parts(benchmark: DataFrame, broadcast_bytes: int) -> list[Broadcast]:
+    """The normalised items (item_id, text) in broadcasts of about broadcast_bytes; the driver holds one part at a time."""
+    items = benchmark.select("item_id", "text").distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-total // broadcast_bytes)
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(n, 1)))
+    out = []
+    for i in range(n):
+        own = sorted((r.item_id, _normal(r.text)) for r in items.where(part == i).collect() if r.text and r.item_id is not None)
+        own = [x for x in own if x[1]]
+        if own:
+            out.append(benchmark.sparkSession.sparkContext.broadcast(own))
+    return out
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, errors: int = ERRORS, least: int = LEAST, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, item_id, start, end (bytes of the normalised text), edits: one row for each document and passage found in it."""
-    spark = docs.sparkSession
-    parts: list[list[tuple[int, bytes]]] = [[]]
-    size = 0
-    for r in benchmark.select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
-        raw = np.frombuffer((r.text or "").encode(), np.uint8)
-        low, _ = normalise(raw, np.array([0, len(raw)]))
-        text = low.tobytes().strip()
-        if text:
-            if size + len(text) > broadcast_bytes:
-                parts.append([])
-                size = 0
-            parts[-1].append((r.item_id, text))
-            size += len(text)
     schema = "doc_id long, item_id long, start int, end int, edits int"
 
-    def one(items: list[tuple[int, bytes]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(items)
-
+    def one(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value, least)
             for batch in batches:
@@ -252,13 +285,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, errors:
 
         return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
-    out = one(parts[0])
-    for items in parts[1:]:
-        out = out.union(one(items))
-    return out
+    parts = _parts(benchmark, broadcast_bytes)
+    if not parts:
+        return docs.sparkSession.createDataFrame([], schema)
+    return functools.reduce(DataFrame.union, [one(p) for p in parts])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, errors: int = ERRORS, least: int = LEAST, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs without the rows in which a passage was found; columns stay. One narrow pass a part, no join."""
+
+    def without(rows: DataFrame, shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(shared.value, least)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for first, raw, at in slices(batch.column("text")):
+                    low, at2 = normalise(raw, at)
+                    keep[[first + x[0] for x in find(index, low, at2, window, errors) + exact(index, low, at2)]] = False
+                yield batch.filter(pa.array(keep))
 
+        return rows.mapInArrow(run, rows.schema)
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents in which a passage was found. Documents without doc_id can't be named and stay."""
-    bad = matches(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return functools.reduce(without, _parts(benchmark, broadcast_bytes), docs)

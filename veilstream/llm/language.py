@@ -10,7 +10,7 @@ documents and `train_chars` characters evenly, rarest first; what one leaves goe
 come by smallest hash; one longer than what is left of the share is skipped, and the next is tried. A language of which
 no text fits gives its shortest candidate, so each with a text that may be fitted on can be predicted. A text
 that is null or has no letter gives `und` with score 0. Without training documents every text gives `und`. Ties go to the language that sorts first. Repeated
-rows are each labelled. lang, source and doc_id are never inputs of a prediction.
+rows are each labelled. Other columns are ignored; an empty table gives no rows. lang, source and doc_id are never inputs of a prediction.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from veilstream.llm.textnum import slices, word_hashes, words
 TRAIN_DOCS, TRAIN_CHARS = 1200, 1_800_000
 #: So many times a language's share of documents, by hash, are expected to be looked at for the sample.
 SPARE = 4
-BITS = 17
+#: Tables have 2^BITS weights a language each, fewer where all of them would have over WEIGHTS together (64 MB).
+BITS, WEIGHTS = 17, 1 << 24
 TABLES = 5  # bigram, trigram, head, tail, word
 
 _letter = np.zeros(256, bool)
@@ -50,12 +51,18 @@ class Words:
     first: np.ndarray  # first word of each row
 
 
-def _slot(x: np.ndarray, table: int) -> np.ndarray:
-    y = (x + np.uint64(table + 1)) * np.uint64(0x9E3779B97F4A7C15)
-    return (y >> np.uint64(64 - BITS)).astype(np.int64) + (table << BITS)
+def table_bits(languages: int) -> int:
+    bits = BITS
+    while bits > 8 and (TABLES << bits) * languages > WEIGHTS:
+        bits -= 1
+    return bits
 
 
-def look(raw: np.ndarray, at: np.ndarray) -> Words:
+def look(raw: np.ndarray, at: np.ndarray, bits: int = BITS) -> Words:
+    def _slot(x: np.ndarray, table: int) -> np.ndarray:
+        y = (x + np.uint64(table + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        return (y >> np.uint64(64 - bits)).astype(np.int64) + (table << bits)
+
     low, s, e, first = words(raw, at)
     h, _ = word_hashes(raw, at)
     _, one, type_of = np.unique(h, return_index=True, return_inverse=True)
@@ -83,9 +90,13 @@ def look(raw: np.ndarray, at: np.ndarray) -> Words:
 @dataclass
 class Model:
     names: list[str]
-    table: np.ndarray  # (TABLES << BITS, languages)
+    table: np.ndarray  # (TABLES << bits, languages)
     trans: np.ndarray
 
+    @property
+    def bits(self) -> int:
+        return (len(self.table) // TABLES).bit_length() - 1
+
     def emit(self, w: Words) -> np.ndarray:
         """Scores of types."""
         both = self.table[w.grams[:, 0]] + self.table[w.grams[:, 1]]
@@ -93,7 +104,7 @@ class Model:
         return np.add.reduceat(both, begins, 0) + self.table[w.whole].sum(1) if len(begins) else np.zeros((0, len(self.names)))
 
     def predict(self, raw: np.ndarray, at: np.ndarray) -> tuple[list[str], list[float]]:
-        w = look(raw, at)
+        w = look(raw, at, self.bits)
         share = np.zeros((len(at) - 1, len(self.names)))
         if len(w.type_of):
             p = posterior(self.emit(w)[w.type_of].astype(float), w.first, self.trans)[0]
@@ -115,7 +126,7 @@ def fit(w: Words, langs: list[str], steps: int = 30) -> Model:
     """langs: the language of each row."""
     names = sorted(set(langs))
     y = np.repeat([names.index(x) for x in langs], np.diff(w.first))
-    model = Model(names, np.zeros((TABLES << BITS, len(names)), np.float32), np.zeros((len(names), len(names))))
+    model = Model(names, np.zeros((TABLES << table_bits(len(names)), len(names)), np.float32), np.zeros((len(names), len(names))))
     adam, seen, hot = Adam(0.05), true_transitions(y, w.first, len(names)), np.eye(len(names))[y]
     sums, grow = np.zeros_like(model.table, dtype=np.float64), 0.3  # AdaGrad on the sparse tables
     at = np.concatenate([w.grams.ravel(), w.whole.ravel()])
@@ -157,7 +168,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAI
     spark = docs.sparkSession
     usable = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), 4) != 2) & F.col("text").rlike(r"\p{L}"))
     usable = usable.select("lang", "text", F.xxhash64("doc_id", "text").alias("_veil_o"))
-    counts = sorted(((r.lang, r.n) for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()), key=lambda x: (x[1], x[0]))
+    counts = sorted(((r.lang, r.n) for r in usable.groupBy("lang").agg(F.count_distinct("_veil_o").alias("n")).collect()), key=lambda x: (x[1], x[0]))
     if not counts:
         return None
     upto, left = [], train_docs
@@ -177,14 +188,14 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAI
         return None
     raw = np.concatenate([p[0] for p in parts])
     at = np.concatenate([[0], *(p[1][1:] + before for p, before in zip(parts, np.cumsum([0, *(len(p[0]) for p in parts)]), strict=False))]).astype(np.int64)
-    w = look(raw, at)
+    w = look(raw, at, table_bits(len({r.lang for r in rows})))
     return fit(w, [r.lang for r in rows]) if len(w.type_of) else None
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     model = train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # TABLES << BITS rows of one float a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 64 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

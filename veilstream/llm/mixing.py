@@ -6,13 +6,13 @@ log of the number of sources), or the smallest one for which no source is repeat
 are given, the limit wins. Each bisection step is one aggregate over the table of sources, so any number of sources works.
 
 Weights become token budgets of a total. A source is realised as block permutations: its documents are ordered by
-the MD5 of seed and doc_id, whose leading digits name blocks and sub-blocks; a budget takes whole passes, then whole
+the MD5 of seed and doc_id (of the text where there is none), whose leading digits name blocks and sub-blocks; a budget takes whole passes, then whole
 blocks of the last pass in order, then whole sub-blocks of the next block, then documents until the budget is met.
 Only sums per block meet in a window, and documents only within one sub-block, so a source with a third of all rows is
 spread like any other.
 
 Tokens are runs of characters outside space and 0x09-0x0D. A null source is a source of its own. Null and empty texts
-have no tokens and go with the pass or block they are in. Repeated rows each count. An empty table gives no rows.
+have no tokens and go with the pass or block they are in. Repeated rows each count. Other columns are ignored. An empty table gives no rows.
 Sources without tokens get no budget and appear in no pass.
 """
 
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, entropy: float | None = 0.995, repeats: float | None =
     budget: tokens in all, as many as docs has by default.
     """
     store = Store(docs.sparkSession, "mixing")
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce("text", F.lit("")))))))
     d = store.keep(docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), key.alias("key")), "tokens")
     blocks = store.keep(d.groupBy("source", F.substring("key", 1, 3).alias("b1"), F.substring("key", 4, 3).alias("b2")).agg(F.sum("n_tokens").alias("tokens")), "blocks")
     of_source = blocks.groupBy("source").agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
@@ -115,7 +115,7 @@ def sql(docs: str = "documents", entropy: float = 0.995, repeats: float = 3.0, s
     """The same rows in DuckDB, with the documents' own tokens as the budget."""
     return rf"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens, md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM {docs}
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens, md5('{seed}:' || coalesce(doc_id::VARCHAR, '-' || md5(coalesce(text, '')))) AS key FROM {docs}
 ), t AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY source HAVING sum(n_tokens) > 0
 ), s AS (SELECT source, tokens, tokens / sum(tokens) OVER ()::DOUBLE AS share, sum(tokens) OVER () AS total, count(*) OVER () AS n FROM t
 ), e AS (

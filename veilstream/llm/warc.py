@@ -6,8 +6,8 @@ table in the shared folder, since executors share no local folder. `read` takes
 Of records with equal payloads of at least `least` bytes, the one with the smallest id is a response; the others are
 revisits that refer to it and carry no payload. Null payloads are empty. Records are validated on reading: version
 line, mandatory headers, Content-Length against the frame, block and payload digests; a record that fails has its
-reason in `error`. An empty table gives no archives and no records. Ids are taken to be unique; of repeated ids with
-one payload all are responses.
+reason in `error`. An empty table gives no archives and no records. Each row is a record, repeated ids included; of equal
+payloads all with the smallest id are responses. Pages without id are responses, referred to by none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilstream.llm.bitmap import MAYBE, maybe_in
 from veilstream.llm.store import Store
 
 SKIPPABLE = 0x184D2A5D  # fixed by the format: magic number of the dictionary's frame
@@ -34,7 +35,11 @@ URN = "urn:page:"
 
 def train(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of payloads, raw content if there is too little to train on."""
-    rows = pages.select(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("h"), F.xxhash64("page_id").alias("o")).orderBy("o").limit(SAMPLE).collect()
+    order = F.xxhash64("page_id")
+    first = pages.select(order.alias("o")).orderBy("o").limit(SAMPLE).agg(F.max("o")).first()[0]  # hashes only, so little per task
+    if first is None:
+        return b""
+    rows = pages.where(order <= first).select(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("h")).limit(SAMPLE).collect()
     texts = [r.h.encode()[:SAMPLE_BYTES] for r in rows if r.h]
     try:
         return zstandard.train_dictionary(32_768, texts).as_bytes()
@@ -52,10 +57,13 @@ def _b32(data: bytes) -> str:
 
 
 def plan(pages: DataFrame, least: int) -> DataFrame:
-    """page_id, url, html, digest, refers_to."""
+    """page_id, url, html, digest, refers_to. Only pages whose payload may occur again are shuffled."""
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     first = p.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return p.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    marked = maybe_in(p, first, "digest")
+    columns = ["page_id", "url", "html", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to")]
+    again = marked.where(MAYBE).join(first, "digest", "left").select(*columns)
+    return again.union(marked.where(~F.col(MAYBE)).withColumn("first", F.lit(None).cast(first.schema["first"].dataType)).select(*columns))
 
 
 def write(pages: DataFrame, store: Store, least: int = 100) -> DataFrame:
@@ -177,7 +185,8 @@ def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
     """pages written as archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to, error."""
     store = Store(pages.sparkSession, "warc")
     r = store.keep(read(write(pages, store, least)).select("record_id", "record_type", "payload_digest", "refers_to", "error", F.octet_length("payload").cast("long").alias("n")), "records")
-    of = r.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("n").alias("of_n")).join(r.select("refers_to").distinct(), "refers_to", "left_semi").dropDuplicates(["refers_to"])
-    number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).cast("long")
-    joined = r.join(of, "refers_to", "left")
+    # of a repeated id with several payloads, the one referred to has the revisit's digest
+    of = r.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), "payload_digest", F.col("n").alias("of_n")).join(r.select("refers_to", "payload_digest").distinct(), ["refers_to", "payload_digest"], "left_semi").dropDuplicates(["refers_to", "payload_digest"])
+    number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long")
+    joined = r.join(of, ["refers_to", "payload_digest"], "left")
     return joined.select(number("record_id").alias("page_id"), F.coalesce("n", "of_n").alias("payload_bytes"), "payload_digest", "record_type", F.when(F.col("refers_to").isNotNull(), number("refers_to")).alias("refers_to"), "error")
