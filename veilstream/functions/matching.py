@@ -7,6 +7,9 @@ a small part, with the number of matches.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,11 +18,11 @@ from veilstream.functions.folds import let, running
 MATCHES = "array<struct<start:int,end:int,text:string,at:int,upto:int>>"
 
 
-def matches(text: Column, pattern: str, groups: bool = True, needs: str | None = None, group_type: str = MATCHES) -> Column:
+def matches(text: Column, pattern: str, groups: bool = True, needs: str | tuple[str, ...] = (), gate: str | None = None, group_type: str = MATCHES) -> Column:
     """Array of (start, end, text, at, upto): the value's offsets and text, and the offsets of the whole match.
 
     With groups, the pattern has the form (prefix)(value)suffix with no other groups; else the value is the whole
-    match. needs: a literal without which nothing can match. Null text gives an empty array. The pattern must not
+    match. needs, gate: literals and a cheap pattern, without any of which nothing can match. Null text gives an empty array. The pattern must not
     match the empty string.
     """
     p = F.lit(pattern)
@@ -42,5 +45,7 @@ def matches(text: Column, pattern: str, groups: bool = True, needs: str | None =
 
     # the last gap has no match after it
     all_ = let(F.filter(zipped, lambda x: x["m"].isNotNull()), found)
-    able = text.isNotNull() if needs is None else text.contains(needs)
-    return F.when(able & F.rlike(text, p) if needs is None else able, all_).otherwise(F.array().cast(group_type))
+    literals = (needs,) if isinstance(needs, str) else needs
+    tests = [text.contains(x) for x in literals] + ([text.rlike(gate)] if gate else [])
+    able = functools.reduce(operator.or_, tests) if tests else text.isNotNull()
+    return F.when(able & text.rlike(pattern), all_).otherwise(F.array().cast(group_type))

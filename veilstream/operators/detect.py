@@ -14,7 +14,7 @@ from veilstream.operators.rules import PII_RULES, SECRET_RULES, Rule
 
 
 def apply_rule(text: Column, rule: Rule) -> Column:
-    found = matches(text, rule.pattern, needs=rule.needs)
+    found = matches(text, rule.pattern, needs=rule.needs, gate=rule.gate)
     if rule.checked:
         found = F.filter(found, lambda m: valid(rule.kind, m["text"]))
     return F.transform(found, lambda m: span(m["start"], m["end"], m["text"], rule.label, rule.kind, "regex", rule.score, rule.reasons)).cast(SPANS)
