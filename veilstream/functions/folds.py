@@ -62,3 +62,49 @@ def grow(items: Column, kind: str, step: Callable[[Column, Column], Column]) ->
         return F.when(F.size(all_) <= CHUNK, F.aggregate(all_, none, step)).otherwise(long_)
 
     return let(items, whole)
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """Those of spans (structs with start and end) that overlap none of others. Many others are made disjoint and looked up by
+    pieces, so that a long text with many of both does not compare all with all."""
+    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    few = F.filter(spans, lambda s: ~F.exists(others, lambda o: overlap(s, o)))
+    kind = "struct<start:int,end:int>"
+
+    def join(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        shorter = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        return F.when((F.size(acc) > 0) & (x["start"] < last["end"]), F.concat(shorter, F.array(both))).otherwise(F.concat(acc, F.array(x)))
+
+    def many(parts: Column) -> Column:
+        def clear(ends: Column) -> Column:
+            # of the first piece that ends after a span's start, one interval is the first to do so
+            return F.filter(spans, lambda s: ~F.coalesce(F.exists(F.get(parts, F.size(F.filter(ends, lambda e: e <= s["start"]))), lambda o: overlap(s, o)), F.lit(False)))
+
+        return let(F.transform(parts, lambda p: F.get(p, F.size(p) - 1)["end"]), clear)
+
+    plain = F.array_sort(F.transform(others, lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"))).cast(f"array<{kind}>"))
+    return F.when(F.size(others) <= CHUNK, few).otherwise(let(grow(plain, kind, join), lambda merged: let(chunks(merged), many)))
+
+
+def outside(spans: Column, others: Column) -> Column:
+    """Those of spans that lie within none of others, which go by start. Many others are looked up by pieces of those that lie
+    in no other."""
+    within = lambda s, o: (o["start"] <= s["start"]) & (s["end"] <= o["end"])
+    few = F.filter(spans, lambda s: ~F.exists(others, lambda o: within(s, o)))
+    kind = "struct<start:int,end:int>"
+
+    def widest(acc: Column, x: Column) -> Column:
+        return F.when((F.size(acc) == 0) | (x["end"] > F.get(acc, F.size(acc) - 1)["end"]), F.concat(acc, F.array(x))).otherwise(acc)
+
+    def many(parts: Column) -> Column:
+        def clear(starts: Column) -> Column:
+            # both starts and ends rise, so the last that starts before a span reaches furthest
+            return F.filter(spans, lambda s: ~F.coalesce(F.exists(F.get(parts, F.size(F.filter(starts, lambda x: x <= s["start"])) - 1), lambda o: within(s, o)), F.lit(False)))
+
+        return let(F.transform(parts, lambda p: F.get(p, F.lit(0))["start"]), clear)
+
+    plain = F.array_sort(F.transform(others, lambda o: F.struct(o["start"].alias("start"), (-o["end"]).alias("end"))).cast(f"array<{kind}>"))
+    turned = F.transform(plain, lambda o: F.struct(o["start"].alias("start"), (-o["end"]).alias("end"))).cast(f"array<{kind}>")
+    return F.when(F.size(others) <= CHUNK, few).otherwise(let(grow(turned, kind, widest), lambda w: let(chunks(w), many)))
