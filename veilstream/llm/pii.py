@@ -19,6 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilstream.functions.folds import apart
 from veilstream.functions.matching import matches
 from veilstream.llm.secretscan import joined, of_kind
 from veilstream.llm.store import Store
@@ -63,12 +64,12 @@ def _octets(value: Column) -> Column:
 
 
 def base(t: Column) -> dict[str, Column]:
-    digits = matches(t, CARD, groups=False)
+    digits = matches(t, CARD, groups=False, context=True)
     return {
-        "email": matches(t, EMAIL, groups=False, needs="@"),
-        "ip": F.filter(matches(t, IP, groups=False), lambda x: _octets(x["text"])),
+        "email": matches(t, EMAIL, groups=False, context=True, needs="@"),
+        "ip": F.filter(matches(t, IP, groups=False, context=True), lambda x: _octets(x["text"])),
         "card": F.filter(digits, lambda x: _n_digits(x["text"]).between(16, 19) & luhn(x["text"])),
-        "phone": F.filter(matches(t, PHONE, groups=False, needs="+"), lambda x: _n_digits(x["text"]).between(8, 15)),
+        "phone": F.filter(matches(t, PHONE, groups=False, context=True, needs="+"), lambda x: _n_digits(x["text"]).between(8, 15)),
     }
 
 
@@ -80,10 +81,10 @@ def _valid(kind: str, v: Column) -> Column:
     return {"email": _vote(v.rlike(r"\.[A-Za-z]{2,}$"), ~v.contains("@")), "ip": _vote(v.contains(":") | v.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.lit(False)), "card": _vote(luhn(v) & _n_digits(v).between(13, 19), ~luhn(v)), "phone": _vote(_n_digits(v).between(8, 15), ~_n_digits(v).between(7, 15))}[kind]
 
 
-def _voted(t: Column, found: Column, kind: str, is_base: bool) -> Column:
+def _voted(found: Column, kind: str, is_base: bool) -> Column:
     def one(x: Column) -> Column:
         v = x["text"]
-        before, after = F.substring(t, F.greatest(x["start"] - 39, F.lit(1)), F.least(x["start"], F.lit(40))), F.substring(t, x["end"] + 1, 1)
+        before, after = x["before"], x["after"]
         votes = F.array(_vote(v.rlike(STRICT[kind]), ~v.rlike(STRICT[kind])), _valid(kind, v), _vote(v.rlike(GAZETTEER[kind]), F.lit(False)), _vote(before.rlike(CONTEXT), F.lit(False)), _vote(F.lit(False), before.rlike(r"[\w@/=-]$") | after.rlike(r"^[\w@/=-]")))
         return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(is_base).alias("base"), votes.alias("votes"))
 
@@ -95,12 +96,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     t = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select("doc_id", t.alias("text"))
     t = F.col("text")
-    d = d.withColumn("base", F.concat(*[_voted(t, m, k, True) for k, m in base(t).items()]))
+    d = d.withColumn("base", F.concat(*[_voted(m, k, True) for k, m in base(t).items()]))
     none = F.array().cast(STRUCT)
-    wide = F.concat(*[F.when(t.rlike(needs), _voted(t, matches(t, p, groups=False), k, False)).otherwise(none) for k, (p, needs) in WIDE.items()])
+    wide = F.concat(*[F.when(t.rlike(needs), _voted(matches(t, p, groups=False, context=True), k, False)).otherwise(none) for k, (p, needs) in WIDE.items()])
     d = d.withColumn("wide", F.when(t.rlike("|".join(needs for _, needs in WIDE.values())), wide).otherwise(none))
-    clear = F.filter("wide", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return d.select("doc_id", F.concat("base", clear).alias("found"))
+    return d.select("doc_id", F.concat("base", apart(F.col("wide"), F.col("base"))).alias("found"))
 
 
 def estimate(counts: list[tuple[int, list[int], int]], steps: int = 40) -> tuple[dict[tuple, float], list[dict[int, list[float]]]]:

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilstream.functions.folds import let
+from veilstream.functions.folds import let, outside
 from veilstream.functions.matching import matches
 
 KINDS = ["assign", "access", "hex", "entropy"]
@@ -119,8 +119,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     found = F.concat(_spans(assign, "assign"), _spans(access, "access"), _spans(matches(t, HEX, groups=False), "hex"))
     by_start = lambda a: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     out = docs.withColumn(BASE, by_start(found)).withColumn(CANDIDATES, matches(t, CANDIDATE, groups=False))
-    clear = F.filter(CANDIDATES, lambda c: ~F.exists(BASE, lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
-    extra = F.filter(clear, lambda c: is_random(c["text"]))
+    extra = F.filter(outside(F.col(CANDIDATES), F.col(BASE)), lambda c: is_random(c["text"]))
     return out.withColumn(SECRETS, by_start(F.concat(BASE, _spans(extra, "entropy")))).drop(CANDIDATES)
 
 
