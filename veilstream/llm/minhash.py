@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilstream.llm.bitmap import MAYBE, maybe_in
 from veilstream.llm.components import components
 from veilstream.llm.store import Store
 from veilstream.llm.textnum import mix, shingles, slices, word_hashes
@@ -39,12 +40,10 @@ BANDS, ROWS = 28, 5
 #: Over four standard deviations of the share of 140 minima that agree, at the threshold.
 MARGIN = 0.13
 #: Sizes of the pieces in which groups are worked on: pairs of one node, nodes outside a bucket's main component, others.
-PAIRS, REST, OTHERS, SHINGLES = 256, 256, 8192, 400_000
+PAIRS, REST, OTHERS, SHINGLES = 256, 256, 2048, 400_000
 TOP = 2
-#: Bits of the bitmap that keeps texts nobody asks for out of a shuffle: 8 MB.
-SLOTS = 1 << 26
 #: Names of columns added to a caller's table.
-ROW, REPEATED = "_veil_row", "_veil_repeated"
+ROW, ONCE = "_veil_row", "_veil_once"
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -296,17 +295,6 @@ def _contracted(comps: DataFrame, links: DataFrame, store: Store, name: str) ->
     return store.keep(was.union(merged.join(comps, merged.old == comps.node, "left_anti").select("old", "new")), f"comps-{name}")
 
 
-def _among(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """source without most rows whose `at` is not in wanted, so that they need not be shuffled. A bitmap of SLOTS bits at most,
-    whatever the sizes, is all that is broadcast; where wanted outgrows it, more rows pass."""
-    slot = lambda: F.pmod(F.xxhash64("at"), F.lit(SLOTS))
-    held = wanted.select(slot().alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    s = source.withColumn("slot", slot()).withColumn("bit", F.bitmap_bit_position("slot"))
-    j = s.join(F.broadcast(held), F.bitmap_bucket_number(s["slot"]) == F.col("bucket"))
-    byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return j.where(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1).select(*source.columns)
-
-
 def grouped(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> DataFrame:
     """doc_id, at (row_key), n_shingles, component_id, node (of its set; null if empty), group (of its component; null if empty)."""
     store = Store(docs.sparkSession, "minhash")
@@ -329,7 +317,7 @@ def grouped(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> Dat
 
     wanted = store.keep(members.select("node").distinct().join(reps.select("node", "at"), "node"), "wanted")
     source = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("at"), "text")
-    texts = _among(source, wanted).join(wanted, "at").groupBy("at", "node").agg(F.first("text").alias("text")).drop("at")
+    texts = maybe_in(source, wanted, "at").where(MAYBE).drop(MAYBE).join(wanted, "at").groupBy("at", "node").agg(F.first("text").alias("text")).drop("at")
     texts = store.keep(texts, "texts")
     store.release()
     comps = components(store.keep(confirmed(pairs, texts, k, percent), "links-0"), store, "star")
@@ -361,16 +349,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs with one row of each group of near copies, that of the smallest doc_id (of several texts of it any one), and
-    every row without words. Rows alike in doc_id and text are one. Columns stay as they are."""
+    every row without words. Rows alike in doc_id and text are one. Columns stay as they are; only rows that may go are shuffled."""
     store = Store(docs.sparkSession, "keep")
-    found = grouped(docs, k, percent, bands, rows).select("doc_id", "at", "group")
+    found = grouped(docs, k, percent, bands, rows).where("group is not null").select("doc_id", "at", "group")
     found = store.keep(found.groupBy("at").agg(F.first("doc_id").alias("doc_id"), F.first("group").alias("group"), F.count("*").alias("c")), "found")
-    order = F.coalesce("doc_id", F.lit(2**63 - 1))
-    kept = found.where("group is not null").groupBy("group").agg(F.min_by("at", order).alias("at")).select("at")
-    gone = store.keep(found.where("group is not null").select("at").join(kept, "at", "left_anti"), "gone")
-    again = found.where("c > 1").select("at").join(gone, "at", "left_anti")
-    marked = docs.withColumn(ROW, row_key(F.col("doc_id"), F.col("text"))).join(gone.toDF(ROW), ROW, "left_anti")
-    if again.limit(1).count():
-        again = store.keep(again, "again").toDF(ROW)
-        marked = marked.join(again, ROW, "left_anti").unionByName(marked.join(again, ROW, "left_semi").dropDuplicates([ROW]))
-    return marked.select(*docs.columns)
+    kept = found.groupBy("group").agg(F.min_by("at", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("at")).select("at")
+    gone = found.select("at").join(kept, "at", "left_anti").select(F.col("at").alias(ROW), F.lit(False).alias(ONCE))
+    again = found.where("c > 1").select("at").join(kept, "at", "left_semi").select(F.col("at").alias(ROW), F.lit(True).alias(ONCE))
+    some = store.keep(gone.union(again), "some")
+    marked = maybe_in(docs.withColumn(ROW, row_key(F.col("doc_id"), F.col("text"))), some, ROW)
+    looked_at = marked.where(MAYBE).join(some, ROW, "left")
+    out = marked.where(~F.col(MAYBE)).select(*docs.columns).union(looked_at.where(F.col(ONCE).isNull()).select(*docs.columns))
+    if some.where(ONCE).limit(1).count():
+        out = out.union(looked_at.where(ONCE).dropDuplicates([ROW]).select(*docs.columns))
+    return out
