@@ -15,7 +15,39 @@ from veilstream.llm import decontam, language, mixing, pii, quality, secretscan
 
 def texts(spark) -> list[str]:
     rng = random.Random(7)
-    bits = ["a", "Z", "9", "12", "4111 1111 1111 1111", ".", "@", "-", "+", " ", "(", ")", ":", "=", '"', "'", "password", "TOKEN", "api_key", "ApiKey", "AKIA", "AKIAABCDEFGHIJKL", "0123456789abcdef" * 2, "é", "😀", "\n", "255", "256", "_", "/", "%"]
+    bits = [
+        "a",
+        "Z",
+        "9",
+        "12",
+        "4111 1111 1111 1111",
+        ".",
+        "@",
+        "-",
+        "+",
+        " ",
+        "(",
+        ")",
+        ":",
+        "=",
+        '"',
+        "'",
+        "password",
+        "TOKEN",
+        "api_key",
+        "ApiKey",
+        "AKIA",
+        "AKIAABCDEFGHIJKL",
+        "0123456789abcdef" * 2,
+        "é",
+        "😀",
+        "\n",
+        "255",
+        "256",
+        "_",
+        "/",
+        "%",
+    ]
     made = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(400)]
     return made + [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
 
@@ -78,11 +110,29 @@ def folder(spark, tmp_path_factory):
     prose = lambda n: "\n".join(" ".join(rng.choice(vocabulary) for _ in range(12)).capitalize() + "." for _ in range(n))
     junk = lambda: "\n".join("".join(rng.choice("*%$#!| 019") for _ in range(60)) for _ in range(8))
     rows = [(i, prose(6 + i % 9)) for i in range(60)] + [(100 + i, junk()) for i in range(40)]
-    rows += [(200, rows[0][1]), (201, rows[0][1]), (202, rows[1][1] + " more"), (203, rows[2][1].replace(" ", " zz ", 1)), (204, prose(4) + "\n" + ITEM + "\n" + prose(3)), (205, prose(5) + '\ntoken = "q8Zt3LmX9aVw2RkP7dYc5"\n' + prose(2)), (206, None), (207, ""), (208, "two words"), (209, "two words"), (None, prose(5))]
+    rows += [
+        (200, rows[0][1]),
+        (201, rows[0][1]),
+        (202, rows[1][1] + " more"),
+        (203, rows[2][1].replace(" ", " zz ", 1)),
+        (204, prose(4) + "\n" + ITEM + "\n" + prose(3)),
+        (205, prose(5) + '\ntoken = "q8Zt3LmX9aVw2RkP7dYc5"\n' + prose(2)),
+        (206, None),
+        (207, ""),
+        (208, "two words"),
+        (209, "two words"),
+        (None, prose(5)),
+    ]
     path = str(tmp_path_factory.mktemp("pipeline"))
     docs = [(i, t, "en", None if i == 3 else "big" if (i or 0) % 3 else "small", None if t is None else len(t)) for i, t in rows]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{path}/documents.parquet")
-    spark.createDataFrame([(i, int(i < 100), 0) for i, _ in rows if i is not None and i < 140], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(
+        docs,
+        "doc_id long, text string, lang string, source string, n_chars long",
+    ).repartition(4).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(
+        [(i, int(i < 100), 0) for i, _ in rows if i is not None and i < 140],
+        "doc_id long, quality int, toxic int",
+    ).write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(1, ITEM), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return path
 
@@ -124,7 +174,10 @@ def test_pipeline_by_stage(spark, folder):
 
     before, after = seen["secrets"]
     redacted = {r.doc_id: r for r in after.collect()}
-    assert redacted[205].text == text(before)[205].replace('token = "q8Zt3LmX9aVw2RkP7dYc5', "<SECRET>") and redacted[205].n_chars == len(redacted[205].text)
+    assert redacted[205].text == text(before)[205].replace(
+        'token = "q8Zt3LmX9aVw2RkP7dYc5',
+        "<SECRET>",
+    ) and redacted[205].n_chars == len(redacted[205].text)
     assert all(redacted[i].text == t for i, t in text(before).items() if i != 205)
 
     before, after = seen["mixing"]
@@ -132,7 +185,9 @@ def test_pipeline_by_stage(spark, folder):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/secrets/*.parquet'")
     want = sorted(repr((r[0], r[1], r[2], r[4])) for r in con.execute(mixing.sql()).fetchall())
     assert sorted(repr((r.doc_id, r.source, r.n_tokens, r["pass"])) for r in after.collect()) == want
-    assert sorted(repr(tuple(r)) for r in corpus_pipeline.run(spark, folder).drop("weight").collect()) == sorted(repr(tuple(r)) for r in after.drop("weight").collect())
+    assert sorted(
+        repr(tuple(r)) for r in corpus_pipeline.run(spark, folder).drop("weight").collect()
+    ) == sorted(repr(tuple(r)) for r in after.drop("weight").collect())
 
 
 # --- added spans ------------------------------------------------------------------------------------------------------
@@ -169,10 +224,21 @@ def is_random(v: str) -> bool:
 
 def test_added_spans_of_secrets(spark):
     rng = random.Random(3)
-    alphabets = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", "ab1", "0123456789-/"]
+    alphabets = [
+        "0123456789abcdef",
+        "abcdefghijklmnopqrstuvwxyz",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-",
+        "ab1",
+        "0123456789-/",
+    ]
     every = [" ".join("".join(rng.choice(a) for _ in range(rng.randint(15, 70))) for a in rng.choices(alphabets, k=5)) for _ in range(150)]
     every += ["see test" + "q8Zt3LmX9aVw2RkP7dYc5", "src/main/java/org/x-1", "name_of_thing=1234", "x-_12 aaaaaaaaaaaaaaaaaaaaaaaa1", *texts(spark)]
-    got = {r.doc_id: r.spans for r in secretscan.digest(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string").repartition(8)).collect()}
+    got = {
+        r.doc_id: r.spans for r in secretscan.digest(
+            spark.createDataFrame(list(enumerate(every)), "doc_id long, text string").repartition(8)
+        ).collect()
+    }
     n = 0
     for i, t in enumerate(every):
         base = {tuple(map(int, s.split(":")[1:])) for s in got[i].split(",") if s and not s.startswith("entropy")}
@@ -198,7 +264,20 @@ def test_entropy_of_a_long_candidate_is_quick(spark):
 
 def test_added_spans_of_personal_data(spark):
     rng = random.Random(5)
-    made = ["Jane.O'Neil+x@mail-host.example", "write (jane [at] example.org)", "fe80:0:0:0:1:2:3:abcd", "4111-1111-1111-1111", "4111.1111.1111.1111", "(988) 555-2485", "0049 30 1234567", "12345678901234567890", "no data here", "a@b", "id 123 456 7890 x", "card: 5500 0000 0000 0004"]
+    made = [
+        "Jane.O'Neil+x@mail-host.example",
+        "write (jane [at] example.org)",
+        "fe80:0:0:0:1:2:3:abcd",
+        "4111-1111-1111-1111",
+        "4111.1111.1111.1111",
+        "(988) 555-2485",
+        "0049 30 1234567",
+        "12345678901234567890",
+        "no data here",
+        "a@b",
+        "id 123 456 7890 x",
+        "card: 5500 0000 0000 0004",
+    ]
     every = [" ".join(rng.choices(made, k=4)) for _ in range(120)] + texts(spark)
     d = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string").repartition(8)
     found = {r.doc_id: r.found for r in pii.candidates(d).collect()}
@@ -247,7 +326,10 @@ def test_quality_by_document(spark):
         x, n, _ = quality.lines(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
         plain = [y for y in raw.split(b"\n") if y]
         assert n.tolist() == [len(y) for y in plain]
-        assert np.allclose(x[:, 0] * n, [sum(65 <= c <= 90 for c in y) for y in plain]) and np.allclose(x[:, 2] * n, [sum(48 <= c <= 57 for c in y) for y in plain])
+        assert np.allclose(
+            x[:, 0] * n,
+            [sum(65 <= c <= 90 for c in y) for y in plain],
+        ) and np.allclose(x[:, 2] * n, [sum(48 <= c <= 57 for c in y) for y in plain])
         share = model.empty
         if len(x):
             zero = np.zeros_like(x[:1])
@@ -308,10 +390,17 @@ def test_decontamination_against_plain_edit_distance(spark):
     docs = []
     for i, x in items:
         for k in range(0, 14):
-            docs.append(" ".join(word() for _ in range(6)) + " " + damaged(x, k).upper().replace(" ", "  ", 1) + " " + " ".join(word() for _ in range(6)))
+            docs.append(
+                " ".join(word() for _ in range(6)) + " " + damaged(x, k).upper().replace(" ", "  ", 1) + " " + " ".join(word() for _ in range(6))
+            )
     docs += [" ".join(word() for _ in range(40)) for _ in range(20)] + ["=" * 5000, x[:100]]
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
-    got = {(r.doc_id, r.item_id): r.edits for r in decontam.matches(d, spark.createDataFrame([*items, (99, "=" * 900)], "item_id long, text string")).collect()}
+    got = {
+        (r.doc_id, r.item_id): r.edits for r in decontam.matches(
+            d,
+            spark.createDataFrame([*items, (99, "=" * 900)], "item_id long, text string"),
+        ).collect()
+    }
     assert (len(docs) - 2, 99) in got
     for j, t in enumerate(docs[:-2]):
         low = re.sub(r"[\x20\x09-\x0D]+", " ", t.lower())

@@ -25,7 +25,28 @@ ROWS = [
     (None, "a row without a number, which has some words of its own as well", "fr", "d"),
     (None, None, "fr", None),
 ]
-CLASHES = ["score", "n_tokens", "base", "spans", "key", "node", "component", "group", "at", "n", "kept", "pass", "weight", "label", "quality", "item_id", "u", "v", "error", "bucket"]
+CLASHES = [
+    "score",
+    "n_tokens",
+    "base",
+    "spans",
+    "key",
+    "node",
+    "component",
+    "group",
+    "at",
+    "n",
+    "kept",
+    "pass",
+    "weight",
+    "label",
+    "quality",
+    "item_id",
+    "u",
+    "v",
+    "error",
+    "bucket",
+]
 
 
 @pytest.fixture(scope="module")
@@ -85,9 +106,19 @@ def test_empty_tables(docs, labels, benchmark, name):
 
 def test_near_duplicates_of_repeated_numbers(spark):
     a, b = PROSE, " ".join(f"other{i}" for i in range(30))
-    d = spark.createDataFrame([(7, a), (7, b), (3, b), (None, a), (None, "alone in the world with nobody like it"), (9, a + " x")], "doc_id long, text string")
+    d = spark.createDataFrame(
+        [(7, a), (7, b), (3, b), (None, a), (None, "alone in the world with nobody like it"), (9, a + " x")],
+        "doc_id long, text string",
+    )
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_duplicates(d, 3, 85).collect())
-    assert got == [("3", 28, "3", True), ("7", 18, "7", True), ("7", 28, "3", False), ("9", 19, "7", False), ("None", 6, "None", True), ("None", 18, "7", False)]
+    assert got == [
+        ("3", 28, "3", True),
+        ("7", 18, "7", True),
+        ("7", 28, "3", False),
+        ("9", 19, "7", False),
+        ("None", 6, "None", True),
+        ("None", 18, "7", False),
+    ]
     left = one_of_each(d.withColumn("at", F.lit(1)), 3, 85)
     assert sorted((str(r.doc_id), r.text) for r in left.collect()) == [("3", b), ("7", a), ("None", "alone in the world with nobody like it")]
 
@@ -121,7 +152,16 @@ def test_decontamination_of_rows_without_number(spark, benchmark):
 
 def test_warc_edges(spark):
     big = "é" * 200_000
-    rows_ = [(1, "u", big, 9), (2, None, big, 9), (2, None, big, 9), (3, "a\r\nb c", "", 9), (4, "u", None, 9), (None, "u", "no number", 9), (5, "u", "x" * 100, 9), (6, "u", "x" * 100, 9)]
+    rows_ = [
+        (1, "u", big, 9),
+        (2, None, big, 9),
+        (2, None, big, 9),
+        (3, "a\r\nb c", "", 9),
+        (4, "u", None, 9),
+        (None, "u", "no number", 9),
+        (5, "u", "x" * 100, 9),
+        (6, "u", "x" * 100, 9),
+    ]
     pages = spark.createDataFrame(rows_, "page_id long, url string, html string, digest int").repartition(3)
     got = sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to), r.error) for r in warc.round_trip(pages).collect())
     assert got == [
@@ -142,7 +182,9 @@ def test_ann_edges(spark):
     rows_ += [(i, [1.0, 0.0, 0.0, 0.0]) for i in range(100, 140)]  # copies, hence ties
     rows_ += [(i, [float(i), 2.0]) for i in range(200, 206)]  # another length
     rows_ += [(300, [1.0, None, 0.0, 0.0]), (301, None), (302, []), (303, [float("inf")] * 4), (None, [1.0] * 4), (0, [9.0, 9.0, 9.0, 9.0])]
-    table = spark.createDataFrame(rows_, "vec_id long, embedding array<double>").withColumns({"id": F.lit(1), "score": F.lit(2), "v": F.lit(3)}).repartition(3)
+    table = spark.createDataFrame(rows_, "vec_id long, embedding array<double>").withColumns(
+        {"id": F.lit(1), "score": F.lit(2), "v": F.lit(3)}
+    ).repartition(3)
     got = {}
     for r in sorted(ann.nearest(table, every=20, k=5).collect(), key=lambda r: r.rank):
         got.setdefault(r.query_id, []).append(r.vec_id)
@@ -151,7 +193,9 @@ def test_ann_edges(spark):
         if i is not None and v and all(a is not None and np.isfinite(a) for a in v):
             vectors[i] = min(vectors.get(i, v), v)
     for q in (i for i in vectors if i % 20 == 0):
-        near = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=True)), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q]))
+        near = sorted(
+            (-sum(a * b for a, b in zip(vectors[q], v, strict=True)), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q])
+        )
         assert got[q] == [i for _, i in near[:5]]
     assert ann.nearest(table.limit(0)).count() == 0 and ann.nearest(table.where("vec_id = 20")).count() == 0
 

@@ -15,7 +15,9 @@ def maybe_in(source: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """source with MAYBE: false where no row of wanted has its `key`; true where one has, and for a few others. The more keys
     wanted has beyond the bitmap's size, the more others."""
     slot: Column = F.pmod(F.xxhash64(key), F.lit(SLOTS))
-    held = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
+    held = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits")
+    )
     j = source.withColumn("_slot", slot)
     j = j.join(F.broadcast(held), F.bitmap_bucket_number("_slot") == F.col("_bucket"), "left")
     bit = F.bitmap_bit_position("_slot")

@@ -78,7 +78,14 @@ def posterior(emit: np.ndarray, at: np.ndarray, trans: np.ndarray) -> tuple[np.n
     return _unit(alpha * beta), alpha, beta
 
 
-def _first_message(total: np.ndarray, rows: np.ndarray, score: np.ndarray, begin: np.ndarray, head: np.ndarray | None, step: np.ndarray) -> np.ndarray:
+def _first_message(
+    total: np.ndarray,
+    rows: np.ndarray,
+    score: np.ndarray,
+    begin: np.ndarray,
+    head: np.ndarray | None,
+    step: np.ndarray,
+) -> np.ndarray:
     """The message out of a sequence's first chunk: its product begins with a step that the sequence doesn't have."""
     if head is not None:
         out = np.einsum("i,cij->cj", head, total[rows])

@@ -184,7 +184,16 @@ def find(index: Index, low: np.ndarray, at: np.ndarray, window: int, errors: int
     return [(r, k, *v) for (r, k), v in found.items()]
 
 
-def _find_in(index: Index, low: np.ndarray, at: np.ndarray, g: np.ndarray, begin: int, window: int, errors: int, found: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+def _find_in(
+    index: Index,
+    low: np.ndarray,
+    at: np.ndarray,
+    g: np.ndarray,
+    begin: int,
+    window: int,
+    errors: int,
+    found: dict[tuple[int, int], tuple[int, int, int]],
+) -> None:
     """find() for the q-grams g from position begin on, added to found."""
     pos, item, inner = index.hits(g)
     pos = pos + begin
@@ -269,7 +278,14 @@ def _parts(benchmark: DataFrame, broadcast_bytes: int) -> list[Broadcast]:
     return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, errors: int = ERRORS, least: int = LEAST, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def matches(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    errors: int = ERRORS,
+    least: int = LEAST,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """doc_id, item_id, start, end (bytes of the normalised text), edits: one row for each document and passage found in it."""
     schema = "doc_id long, item_id long, start int, end int, edits int"
 
@@ -280,8 +296,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, errors:
                 ids, out = batch.column(0), []
                 for first, raw, at in slices(batch.column(1)):
                     low, at2 = normalise(raw, at)
-                    out += [(ids[first + r].as_py(), index.items[k][0], s, e, d) for r, k, s, e, d in find(index, low, at2, window, errors) + exact(index, low, at2)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64() if i < 2 else pa.int32()) for i in range(5)], ["doc_id", "item_id", "start", "end", "edits"])
+                    out += [
+                        (
+                            ids[first + r].as_py(),
+                            index.items[k][0],
+                            s,
+                            e,
+                            d,
+                        ) for r, k, s, e, d in find(index, low, at2, window, errors) + exact(index, low, at2)
+                    ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([o[i] for o in out], pa.int64() if i < 2 else pa.int32()) for i in range(5)],
+                    ["doc_id", "item_id", "start", "end", "edits"],
+                )
 
         return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -291,7 +318,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, errors:
     return functools.reduce(DataFrame.union, [one(p) for p in parts])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, errors: int = ERRORS, least: int = LEAST, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    errors: int = ERRORS,
+    least: int = LEAST,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """docs without the rows in which a passage was found; columns stay. One narrow pass a part, no join."""
 
     def without(rows: DataFrame, shared: Broadcast) -> DataFrame:

@@ -134,7 +134,11 @@ def fit(w: Words, langs: list[str], steps: int = 30) -> Model:
     for _ in range(steps):
         emit = model.emit(w)[w.type_of].astype(float)
         p, a, b = posterior(emit, w.first, model.trans)
-        model.trans = np.clip(adam.step("t", model.trans, (transition_counts(a, b, emit, w.first, model.trans) - seen) / max(len(y), 1) + 1e-2 * model.trans), -2.5, 2.5)
+        model.trans = np.clip(
+            adam.step("t", model.trans, (transition_counts(a, b, emit, w.first, model.trans) - seen) / max(len(y), 1) + 1e-2 * model.trans),
+            -2.5,
+            2.5,
+        )
         adam.k += 1
         for c in range(len(names)):
             by_type = np.bincount(w.type_of, (p - hot)[:, c], len(w.whole))
@@ -181,13 +185,18 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAI
     some = usable.join(limits, "lang").where(F.col("_veil_o") <= F.col("_veil_upto"))
     sizes = [tuple(r) for r in some.select("lang", "_veil_o", F.length("text").alias("n")).distinct().collect()]
     chosen = F.broadcast(spark.createDataFrame([x[:2] for x in choose(sizes, train_docs, train_chars)], "lang string, _veil_o long"))
-    rows = sorted(usable.join(chosen, ["lang", "_veil_o"]).groupBy("lang", "_veil_o").agg(F.first("text").alias("text")).collect(), key=lambda r: (r._veil_o, r.lang))
+    rows = sorted(
+        usable.join(chosen, ["lang", "_veil_o"]).groupBy("lang", "_veil_o").agg(F.first("text").alias("text")).collect(),
+        key=lambda r: (r._veil_o, r.lang),
+    )
     texts = pa.array([r.text for r in rows], pa.large_string())
     parts = [(raw, at) for _, raw, at in slices(texts)]
     if not parts:
         return None
     raw = np.concatenate([p[0] for p in parts])
-    at = np.concatenate([[0], *(p[1][1:] + before for p, before in zip(parts, np.cumsum([0, *(len(p[0]) for p in parts)]), strict=False))]).astype(np.int64)
+    at = np.concatenate(
+        [[0], *(p[1][1:] + before for p, before in zip(parts, np.cumsum([0, *(len(p[0]) for p in parts)]), strict=False))]
+    ).astype(np.int64)
     w = look(raw, at, table_bits(len({r.lang for r in rows})))
     return fit(w, [r.lang for r in rows]) if len(w.type_of) else None
 
@@ -205,7 +214,10 @@ def identify(docs: DataFrame) -> DataFrame:
                 a, b = m.predict(raw, at) if m else (["und"] * (len(at) - 1), [0.0] * (len(at) - 1))
                 names += a
                 scores += b
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                ["doc_id", "held_out", "lang_pred", "score"],
+            )
 
     rows = docs.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")

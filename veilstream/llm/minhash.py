@@ -91,7 +91,10 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) ->
             m = np.stack(sigs) if sigs else np.zeros((0, bands * rows), np.uint32)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * bands, pa.int32()), pa.array(band_keys(m, bands).ravel().view(np.int64)))
             packed = pa.array([x.tobytes() if c else None for x, c in zip(m.astype(np.uint8), ns, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array(digests, pa.binary()), keys, packed], ["doc_id", "at", "n_shingles", "digest", "keys", "sig"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), n, pa.array(digests, pa.binary()), keys, packed],
+                ["doc_id", "at", "n_shingles", "digest", "keys", "sig"],
+            )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("at"), "text")
     return source.mapInArrow(run, "doc_id long, at binary, n_shingles long, digest binary, keys array<long>, sig binary")
@@ -156,7 +159,9 @@ class Block:
                 self.group, self.node, self.comp, self.n, self.sig = group[a].copy(), node[:0], comp[:0], n[:0], sig[:0]
             own = slice(a, b)
             if role[a] == 0:
-                self.node, self.comp, self.n, self.sig = (np.concatenate(x) for x in ((self.node, node[own]), (self.comp, comp[own]), (self.n, n[own]), (self.sig, sig[own])))
+                self.node, self.comp, self.n, self.sig = (
+                    np.concatenate(x) for x in ((self.node, node[own]), (self.comp, comp[own]), (self.n, n[own]), (self.sig, sig[own]))
+                )
             yield new, int(role[a]), own, (node[own], comp[own], n[own], sig[own], int(band[a]))
 
     def like(self, i: int, node: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, band: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -179,16 +184,35 @@ def _open_buckets(members: DataFrame, comps: DataFrame, signed: DataFrame) -> Da
     at = members.join(comps, "node", "left").select("key", "band", "node", "n", F.coalesce("component", "node").alias("comp"))
     sums = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in (0, 1)]
     by_comp = at.groupBy("key", "band", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"), *sums)
-    buckets = by_comp.groupBy("key", "band").agg(F.max_by("comp", "c").alias("main"), F.max("c").alias("m"), F.sum("c").alias("all"), F.sum("n").alias("n"), *[F.sum(f"h{i}").alias(f"h{i}") for i in (0, 1)], F.count("*").alias("comps")).where("comps > 1")
+    buckets = by_comp.groupBy("key", "band").agg(
+        F.max_by("comp", "c").alias("main"),
+        F.max("c").alias("m"),
+        F.sum("c").alias("all"),
+        F.sum("n").alias("n"),
+        *[F.sum(f"h{i}").alias(f"h{i}") for i in (0, 1)],
+        F.count("*").alias("comps"),
+    ).where("comps > 1")
     # of buckets with the same nodes the one of the first band is enough
     buckets = buckets.groupBy("all", "h0", "h1").agg(*[F.min_by(c, "band").alias(c) for c in ("key", "main", "m", "n")])
     share = (F.col("all") - F.col("m")) / F.col("all")
     blocks = F.ceil(F.greatest((F.col("all") - F.col("m")) / REST, F.col("n") * share / SHINGLES))
     buckets = buckets.select("key", "main", blocks.alias("blocks"), F.ceil(F.col("all") / OTHERS).alias("parts"))
-    rows = at.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), "parts"))
+    rows = at.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn(
+        "part",
+        F.pmod(F.xxhash64("node", F.lit(2)), "parts"),
+    )
     zero = F.lit(0).cast("long")
     others = F.when(F.col("comp") == F.col("main"), F.col("blocks") - 1).otherwise(F.col("block"))
-    own = rows.where("comp <> main").select("key", "block", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "band", "node", "comp", "n")
+    own = rows.where("comp <> main").select(
+        "key",
+        "block",
+        F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"),
+        F.lit(0).alias("role"),
+        "band",
+        "node",
+        "comp",
+        "n",
+    )
     met = rows.select("key", F.explode(F.sequence(zero, others)).alias("block"), "part", F.lit(1).alias("role"), "band", "node", "comp", "n")
     return _together(own.union(met).join(signed, "node").select(*GROUP, "band", "node", "comp", "n", "sig"))
 
@@ -301,14 +325,21 @@ def grouped(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> Dat
     signed = store.keep(signatures(docs, k, bands, rows).withColumn("row", F.monotonically_increasing_id()), "signed")
     every = store.keep(signed.select("doc_id", "at", "n_shingles", "digest"), "rows")
     order = F.coalesce("doc_id", F.lit(2**63 - 1))
-    classes = store.keep(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.min_by("row", order).alias("node")), "classes")
+    classes = store.keep(
+        signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.min_by("row", order).alias("node")),
+        "classes",
+    )
     reps = signed.withColumnRenamed("row", "node").join(classes.select("node"), "node").select("node", "at", "n_shingles", "keys", "sig")
     reps = store.keep(reps, "reps")
     store.drop("signed")
     store.release()
 
     banded = reps.select("node", F.col("n_shingles").alias("n"), F.posexplode("keys").alias("band", "key"))
-    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.min_by("n", "node").alias("hub_n"), F.max("node").alias("last")).where("hub <> last").drop("last")
+    hubs = banded.groupBy("key").agg(
+        F.min("node").alias("hub"),
+        F.min_by("n", "node").alias("hub_n"),
+        F.max("node").alias("last"),
+    ).where("hub <> last").drop("last")
     members = store.keep(banded.join(hubs, "key"), "members")
     store.release()
     near = (F.col("node") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
@@ -339,12 +370,24 @@ def grouped(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> Dat
     least = of_node.groupBy("group").agg(F.min("first").alias("component_id"))
     of_class = of_node.select("digest", "node", "group").join(least, "group")
     out = every.join(of_class, "digest", "left")
-    return out.select("doc_id", "at", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", "group")
+    return out.select(
+        "doc_id",
+        "at",
+        "n_shingles",
+        F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "node",
+        "group",
+    )
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text, ...)."""
-    return grouped(docs, k, percent, bands, rows).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return grouped(docs, k, percent, bands, rows).select(
+        "doc_id",
+        "n_shingles",
+        "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

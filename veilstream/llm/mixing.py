@@ -71,7 +71,10 @@ def mix(docs: DataFrame, entropy: float | None = 0.995, repeats: float | None =
     store = Store(docs.sparkSession, "mixing")
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce("text", F.lit("")))))))
     d = store.keep(docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), key.alias("key")), "tokens")
-    blocks = store.keep(d.groupBy("source", F.substring("key", 1, 3).alias("b1"), F.substring("key", 4, 3).alias("b2")).agg(F.sum("n_tokens").alias("tokens")), "blocks")
+    blocks = store.keep(
+        d.groupBy("source", F.substring("key", 1, 3).alias("b1"), F.substring("key", 4, 3).alias("b2")).agg(F.sum("n_tokens").alias("tokens")),
+        "blocks",
+    )
     of_source = blocks.groupBy("source").agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
     total = of_source.agg(F.sum("tokens")).first()[0] or 0
     budget = total if budget is None else budget
@@ -81,8 +84,16 @@ def mix(docs: DataFrame, entropy: float | None = 0.995, repeats: float | None =
     a = exponent(sources, entropy, repeats, total, budget)
     p = F.pow("share", F.lit(a))
     z = sources.agg(F.sum(p)).first()[0] or 1.0
-    plan = sources.select("source", "tokens", (p / F.lit(z)).alias("weight")).withColumn("budget", F.floor(F.col("weight") * budget + 0.5).cast("long"))
-    plan = plan.select("source", "weight", F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("passes"), (F.col("budget") % F.col("tokens")).alias("rest"))
+    plan = sources.select("source", "tokens", (p / F.lit(z)).alias("weight")).withColumn(
+        "budget",
+        F.floor(F.col("weight") * budget + 0.5).cast("long"),
+    )
+    plan = plan.select(
+        "source",
+        "weight",
+        F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("passes"),
+        (F.col("budget") % F.col("tokens")).alias("rest"),
+    )
     plan = F.broadcast(plan) if sources.count() <= 10_000 else plan  # a few dozen bytes a source
 
     def same(left: DataFrame, right: DataFrame, names: list[str]) -> list[Column]:
@@ -92,10 +103,15 @@ def mix(docs: DataFrame, entropy: float | None = 0.995, repeats: float | None =
     before = F.sum("tokens").over(Window.partitionBy("source").orderBy("b1").rowsBetween(Window.unboundedPreceding, -1))
     one = blocks.groupBy("source", "b1").agg(F.sum("tokens").alias("tokens")).withColumn("before", F.coalesce(before, F.lit(0)))
     plan_ = plan.select(F.col("source").alias("_s"), "rest")
-    one = one.join(plan_, one.source.eqNullSafe(F.col("_s"))).where("before < rest and before + tokens >= rest").select("source", "b1", "rest", "before")
+    one = one.join(plan_, one.source.eqNullSafe(F.col("_s"))).where(
+        "before < rest and before + tokens >= rest"
+    ).select("source", "b1", "rest", "before")
     edge = store.keep(one, "edge")
     edge_ = edge.select(F.col("source").alias("_s"), F.col("b1").alias("e1"), "rest", F.col("before").alias("first"))
-    inner = blocks.join(edge_, blocks.source.eqNullSafe(F.col("_s")) & (F.col("b1") == F.col("e1"))).select("source", "b1", "b2", "tokens", "rest", "first")
+    inner = blocks.join(
+        edge_,
+        blocks.source.eqNullSafe(F.col("_s")) & (F.col("b1") == F.col("e1")),
+    ).select("source", "b1", "b2", "tokens", "rest", "first")
     before = F.sum("tokens").over(Window.partitionBy("source").orderBy("b2").rowsBetween(Window.unboundedPreceding, -1))
     inner = inner.withColumn("before", F.col("first") + F.coalesce(before, F.lit(0))).where("before < rest and before + tokens >= rest")
     edges = store.keep(inner.select(F.col("source").alias("_s"), F.concat("b1", "b2").alias("edge"), F.col("before").alias("edge_before")), "edges")

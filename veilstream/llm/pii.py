@@ -43,7 +43,12 @@ GAZETTEER = {
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)",
     "phone": r"^(?:\+|00|\(?[2-9][0-9]{2}\)?)",
 }
-STRICT = {"email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$", "ip": r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9A-Fa-f:]{15,39})$", "card": r"^[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}$", "phone": r"^(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}$"}
+STRICT = {
+    "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$",
+    "ip": r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9A-Fa-f:]{15,39})$",
+    "card": r"^[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}$",
+    "phone": r"^(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}$",
+}
 CONTEXT = r"(?i)(?:e-?mail|contact|correo|courriel|tel|phone|call|fax|mobil|card|visa|karte|carte|tarjeta|\bip\b|host|server|address)[^\n]{0,20}$"
 LABELERS = 5
 STRUCT = "array<struct<kind:int,start:int,end:int,base:boolean,votes:array<int>>>"
@@ -51,7 +56,17 @@ STRUCT = "array<struct<kind:int,start:int,end:int,base:boolean,votes:array<int>>
 
 def luhn(value: Column) -> Column:
     digits = F.reverse(F.regexp_replace(value, "[^0-9]", ""))
-    total = F.aggregate(F.split(digits, ""), F.struct(F.lit(0).alias("i"), F.lit(0).alias("s")), lambda acc, c: F.struct((acc["i"] + 1).alias("i"), (acc["s"] + F.when(acc["i"] % 2 == 0, c.cast("int")).otherwise(F.floor(c.cast("int") * 2 / 10).cast("int") + c.cast("int") * 2 % 10)).alias("s")), lambda acc: acc["s"])
+    total = F.aggregate(
+        F.split(digits, ""),
+        F.struct(F.lit(0).alias("i"), F.lit(0).alias("s")),
+        lambda acc, c: F.struct(
+            (acc["i"] + 1).alias("i"),
+            (
+                acc["s"] + F.when(acc["i"] % 2 == 0, c.cast("int")).otherwise(F.floor(c.cast("int") * 2 / 10).cast("int") + c.cast("int") * 2 % 10)
+            ).alias("s"),
+        ),
+        lambda acc: acc["s"],
+    )
     return (F.length(digits) > 0) & (total % 10 == 0)
 
 
@@ -60,7 +75,10 @@ def _n_digits(value: Column) -> Column:
 
 
 def _octets(value: Column) -> Column:
-    return F.forall(F.split(value, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+(?=.)", "")) <= 3) & (F.substring(F.regexp_replace(p, "^0+(?=.)", ""), 1, 3).cast("int") <= 255))
+    return F.forall(
+        F.split(value, r"\."),
+        lambda p: (F.length(F.regexp_replace(p, "^0+(?=.)", "")) <= 3) & (F.substring(F.regexp_replace(p, "^0+(?=.)", ""), 1, 3).cast("int") <= 255),
+    )
 
 
 def base(t: Column) -> dict[str, Column]:
@@ -78,15 +96,32 @@ def _vote(yes: Column, no: Column) -> Column:
 
 
 def _valid(kind: str, v: Column) -> Column:
-    return {"email": _vote(v.rlike(r"\.[A-Za-z]{2,}$"), ~v.contains("@")), "ip": _vote(v.contains(":") | v.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.lit(False)), "card": _vote(luhn(v) & _n_digits(v).between(13, 19), ~luhn(v)), "phone": _vote(_n_digits(v).between(8, 15), ~_n_digits(v).between(7, 15))}[kind]
+    return {
+        "email": _vote(v.rlike(r"\.[A-Za-z]{2,}$"), ~v.contains("@")),
+        "ip": _vote(v.contains(":") | v.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.lit(False)),
+        "card": _vote(luhn(v) & _n_digits(v).between(13, 19), ~luhn(v)),
+        "phone": _vote(_n_digits(v).between(8, 15), ~_n_digits(v).between(7, 15)),
+    }[kind]
 
 
 def _voted(found: Column, kind: str, is_base: bool) -> Column:
     def one(x: Column) -> Column:
         v = x["text"]
         before, after = x["before"], x["after"]
-        votes = F.array(_vote(v.rlike(STRICT[kind]), ~v.rlike(STRICT[kind])), _valid(kind, v), _vote(v.rlike(GAZETTEER[kind]), F.lit(False)), _vote(before.rlike(CONTEXT), F.lit(False)), _vote(F.lit(False), before.rlike(r"[\w@/=-]$") | after.rlike(r"^[\w@/=-]")))
-        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(is_base).alias("base"), votes.alias("votes"))
+        votes = F.array(
+            _vote(v.rlike(STRICT[kind]), ~v.rlike(STRICT[kind])),
+            _valid(kind, v),
+            _vote(v.rlike(GAZETTEER[kind]), F.lit(False)),
+            _vote(before.rlike(CONTEXT), F.lit(False)),
+            _vote(F.lit(False), before.rlike(r"[\w@/=-]$") | after.rlike(r"^[\w@/=-]")),
+        )
+        return F.struct(
+            F.lit(KINDS.index(kind)).alias("kind"),
+            x["start"].alias("start"),
+            x["end"].alias("end"),
+            F.lit(is_base).alias("base"),
+            votes.alias("votes"),
+        )
 
     return F.transform(found, one).cast(STRUCT)
 
@@ -98,7 +133,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     t = F.col("text")
     d = d.withColumn("base", F.concat(*[_voted(m, k, True) for k, m in base(t).items()]))
     none = F.array().cast(STRUCT)
-    wide = F.concat(*[F.when(t.rlike(needs), _voted(matches(t, p, groups=False, context=True), k, False)).otherwise(none) for k, (p, needs) in WIDE.items()])
+    wide = F.concat(
+        *[F.when(t.rlike(needs), _voted(matches(t, p, groups=False, context=True), k, False)).otherwise(none) for k, (p, needs) in WIDE.items()]
+    )
     d = d.withColumn("wide", F.when(t.rlike("|".join(needs for _, needs in WIDE.values())), wide).otherwise(none))
     return d.select("doc_id", F.concat("base", apart(F.col("wide"), F.col("base"))).alias("found"))
 
@@ -117,7 +154,9 @@ def estimate(counts: list[tuple[int, list[int], int]], steps: int = 40) -> tuple
             prior[k] = min(0.95, max(0.05, (sum(p * n for p, n in own) + 1) / (sum(n for _, n in own) + 2)))
         for i, c in enumerate(chance):
             for right in (0, 1):
-                mass = {v: 2.0 * (0.2 if v == 0 else 0.5 if (v == 1) == bool(right) else 0.3) for v in (0, 1, 2)}  # a weak belief that labelers are better than chance
+                mass = {
+                    v: 2.0 * (0.2 if v == 0 else 0.5 if (v == 1) == bool(right) else 0.3) for v in (0, 1, 2)
+                }  # a weak belief that labelers are better than chance
                 for k, votes, n in counts:
                     p = post[k, tuple(votes)]
                     mass[votes[i]] += n * (p if right else 1 - p)
@@ -145,7 +184,9 @@ def fit(counts: list[tuple[int, list[int], int]], post: dict[tuple, float], step
 def find(docs: DataFrame, least: float = 0.6) -> DataFrame:
     """doc_id, base and spans: arrays of (kind, start, end, ...) by kind, then start."""
     found = Store(docs.sparkSession, "pii").keep(candidates(docs), "found")
-    counts = [(r.kind, r.votes, r.n) for r in found.select(F.explode("found").alias("x")).groupBy("x.kind", "x.votes").agg(F.count("*").alias("n")).collect()]
+    counts = [
+        (r.kind, r.votes, r.n) for r in found.select(F.explode("found").alias("x")).groupBy("x.kind", "x.votes").agg(F.count("*").alias("n")).collect()
+    ]
     w = fit(sorted(counts), estimate(sorted(counts))[0]) if counts else [0.0] * (3 * LABELERS + len(KINDS))
     weights = F.array(*[F.lit(x) for x in w])
 
@@ -155,11 +196,18 @@ def find(docs: DataFrame, least: float = 0.6) -> DataFrame:
             z = z + F.get(weights, F.get(x["votes"], F.lit(i)) + 3 * i)
         return x["base"] | (1 / (1 + F.exp(-z)) >= least)
 
-    order = lambda a: F.array_sort(F.transform(a, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
+    order = lambda a: F.array_sort(
+        F.transform(a, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    )
     return found.select("doc_id", order(F.filter("found", lambda x: x["base"])).alias("base"), order(F.filter("found", accepted)).alias("spans"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     s = find(docs)
     counts = [of_kind(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return s.select("doc_id", *counts, F.sha2(joined(F.col("base"), KINDS).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans"), KINDS).alias("spans"))
+    return s.select(
+        "doc_id",
+        *counts,
+        F.sha2(joined(F.col("base"), KINDS).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans"), KINDS).alias("spans"),
+    )

@@ -28,7 +28,12 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"  # a maximal run, as [0-9a-f]+ of 32 or more
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 
 #: class -> (pattern of the class, window, least entropy in bits)
-CLASSES = {"hex": (r"^[0-9a-fA-F]+$", 24, 3.0), "lower": (r"^[a-z0-9]+$", 20, 3.6), "upper": (r"^[A-Z0-9]+$", 20, 3.6), "mixed": (r"[A-Z].*[a-z]|[a-z].*[A-Z]", 20, 3.7)}
+CLASSES = {
+    "hex": (r"^[0-9a-fA-F]+$", 24, 3.0),
+    "lower": (r"^[a-z0-9]+$", 20, 3.6),
+    "upper": (r"^[A-Z0-9]+$", 20, 3.6),
+    "mixed": (r"[A-Z].*[a-z]|[a-z].*[A-Z]", 20, 3.7),
+}
 #: The same for candidates without a digit; stricter, as words are among them.
 LETTERS = {"case": (r"^(?:[a-z]++|[A-Z]++)$", 20, 3.7), "letters": (r"[A-Z].*[a-z]|[a-z].*[A-Z]", 20, 3.8)}
 #: Pieces of words joined by separators or capitals (paths, identifiers); where they make up the whole, it is allowed.
@@ -66,24 +71,48 @@ def window_entropy(value: Column, width: int) -> Column:
 
     def step(acc: Column, x: Column, w: Column) -> Column:
         def leave(n: Column) -> Column:
-            return F.struct(with_count(acc["counts"], x["old"], n - 1).alias("counts"), (acc["total"] - F.get(gain, n - 1)).alias("total"), acc["size"].alias("size"))
+            return F.struct(
+                with_count(acc["counts"], x["old"], n - 1).alias("counts"),
+                (acc["total"] - F.get(gain, n - 1)).alias("total"),
+                acc["size"].alias("size"),
+            )
 
         def enter(left: Column) -> Column:
             def add(n: Column) -> Column:
                 total = left["total"] + F.get(gain, n)
                 least = F.when(left["size"] + 1 == w, F.least(acc["least"], total)).otherwise(acc["least"])
-                return F.struct(with_count(left["counts"], x["new"], n + 1).alias("counts"), total.alias("total"), (left["size"] + 1).alias("size"), least.alias("least"))
+                return F.struct(
+                    with_count(left["counts"], x["new"], n + 1).alias("counts"),
+                    total.alias("total"),
+                    (left["size"] + 1).alias("size"),
+                    least.alias("least"),
+                )
 
             return let(count(left["counts"], x["new"]), add)
 
         same = F.struct(acc["counts"].alias("counts"), acc["total"].alias("total"), acc["size"].alias("size"))
         gone = let(count(acc["counts"], x["old"]), leave)
-        return let(F.when(x["old"].isNull(), same).otherwise(F.struct(gone["counts"].alias("counts"), gone["total"].alias("total"), (gone["size"] - 1).alias("size"))), enter)
+        return let(
+            F.when(x["old"].isNull(), same).otherwise(
+                F.struct(gone["counts"].alias("counts"), gone["total"].alias("total"), (gone["size"] - 1).alias("size"))
+            ),
+            enter,
+        )
 
     def fold(chars: Column, w: Column) -> Column:
         old = F.concat(F.array_repeat(F.lit(None).cast("string"), w), F.slice(chars, F.lit(1), F.greatest(F.size(chars) - w, F.lit(0))))
-        start = F.struct(F.lit(chr(NONE) * (HIGHEST - LOWEST + 1)).alias("counts"), F.lit(0).cast("long").alias("total"), F.lit(0).alias("size"), F.lit(2**62).alias("least"))
-        return F.aggregate(F.arrays_zip(chars.alias("new"), old.alias("old")), start, lambda acc, x: step(acc, x, w), lambda acc: F.log2(w.cast("double")) - acc["least"] / F.lit(2.0**40) / w)
+        start = F.struct(
+            F.lit(chr(NONE) * (HIGHEST - LOWEST + 1)).alias("counts"),
+            F.lit(0).cast("long").alias("total"),
+            F.lit(0).alias("size"),
+            F.lit(2**62).alias("least"),
+        )
+        return F.aggregate(
+            F.arrays_zip(chars.alias("new"), old.alias("old")),
+            start,
+            lambda acc, x: step(acc, x, w),
+            lambda acc: F.log2(w.cast("double")) - acc["least"] / F.lit(2.0**40) / w,
+        )
 
     whole = let(F.least(F.length(value), F.lit(width)), lambda w: let(F.split(value, ""), lambda chars: fold(chars, w)))
     return F.when(F.length(value) > 0, whole).otherwise(0.0)
@@ -117,7 +146,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     assign = F.filter(matches(t, ASSIGN), lambda x: F.length(x["text"]) >= 8)
     access = F.filter(matches(t, ACCESS, groups=False, needs="AKIA"), lambda x: F.length(x["text"]) >= 16)
     found = F.concat(_spans(assign, "assign"), _spans(access, "access"), _spans(matches(t, HEX, groups=False), "hex"))
-    by_start = lambda a: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    by_start = lambda a: F.transform(
+        F.array_sort(F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))),
+        lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")),
+    )
     out = docs.withColumn(BASE, by_start(found)).withColumn(CANDIDATES, matches(t, CANDIDATE, groups=False))
     extra = F.filter(outside(F.col(CANDIDATES), F.col(BASE)), lambda c: is_random(c["text"]))
     return out.withColumn(SECRETS, by_start(F.concat(BASE, _spans(extra, "entropy")))).drop(CANDIDATES)
@@ -126,7 +158,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 def joined(spans: Column, kinds: list[str]) -> Column:
     """kind:start:end, joined by commas."""
     names = F.array(*[F.lit(k) for k in kinds])
-    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return F.array_join(
+        F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))),
+        ",",
+    )
 
 
 def of_kind(spans: Column, kind: int) -> Column:
@@ -142,7 +177,12 @@ def redact(text: Column, spans: Column, with_: str) -> Column:
         gap = F.when(x["start"] >= acc["pos"], F.concat(F.substring(t, acc["pos"] + 1, x["start"] - acc["pos"]), F.lit(with_))).otherwise("")
         return F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), F.concat(acc["out"], gap).alias("out"))
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["pos"] + 1, F.length(t))))
+    done = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
+        step,
+        lambda acc: F.concat(acc["out"], F.substring(t, acc["pos"] + 1, F.length(t))),
+    )
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
@@ -150,4 +190,9 @@ def digest(docs: DataFrame) -> DataFrame:
     """The scan's columns of one document a row: counts, the base spans' SHA-256 and all spans."""
     s = scan(docs.select(F.col("doc_id"), "text"))
     counts = [of_kind(F.col(BASE), i).alias(f"n_{KINDS[i]}") for i in range(3)]
-    return s.select("doc_id", *counts, F.sha2(joined(F.col(BASE), KINDS).cast("binary"), 256).alias("base_sha256"), joined(F.col(SECRETS), KINDS).alias("spans"))
+    return s.select(
+        "doc_id",
+        *counts,
+        F.sha2(joined(F.col(BASE), KINDS).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col(SECRETS), KINDS).alias("spans"),
+    )

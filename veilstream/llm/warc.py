@@ -59,7 +59,10 @@ def _b32(data: bytes) -> str:
 def plan(pages: DataFrame, least: int) -> DataFrame:
     """page_id, url, html, digest, refers_to. Only pages whose payload may occur again are shuffled."""
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    first = p.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    first = p.where(F.octet_length("html") >= least).groupBy("digest").agg(
+        F.min("page_id").alias("first"),
+        F.count("*").alias("c"),
+    ).where("c > 1").drop("c")
     marked = maybe_in(p, first, "digest")
     columns = ["page_id", "url", "html", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to")]
     again = marked.where(MAYBE).join(first, "digest", "left").select(*columns)
@@ -73,12 +76,20 @@ def write(pages: DataFrame, store: Store, least: int = 100) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary
         # without a trained dictionary's header the bytes serve as raw content
-        packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True, write_content_size=True) if dictionary else zstandard.ZstdCompressor(level=3, write_checksum=True)
+        packer = zstandard.ZstdCompressor(
+            level=3,
+            dict_data=zstandard.ZstdCompressionDict(dictionary),
+            write_checksum=True,
+            write_content_size=True,
+        ) if dictionary else zstandard.ZstdCompressor(level=3, write_checksum=True)
         frames, size = [], 0
 
         def archive() -> pa.RecordBatch:
             content = (lead if dictionary else b"") + b"".join(frames)
-            return pa.RecordBatch.from_arrays([pa.array([f"{hashlib.sha256(content).hexdigest()[:16]}.warc.zst"]), pa.array([content], pa.binary())], ["name", "content"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([f"{hashlib.sha256(content).hexdigest()[:16]}.warc.zst"]), pa.array([content], pa.binary())],
+                ["name", "content"],
+            )
 
         for batch in batches:
             for page_id, url, html, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -86,9 +97,19 @@ def write(pages: DataFrame, store: Store, least: int = 100) -> DataFrame:
                 kind = "response" if refers is None else "revisit"
                 head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
                 block = head + payload if refers is None else head
-                fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<{URN}{page_id}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("Content-Type", "application/http; msgtype=response"), ("WARC-Block-Digest", _b32(block)), ("WARC-Payload-Digest", f"sha256:{digest}")]
+                fields = [
+                    ("WARC-Type", kind),
+                    ("WARC-Record-ID", f"<{URN}{page_id}>"),
+                    ("WARC-Date", "1970-01-01T00:00:00Z"),
+                    ("Content-Type", "application/http; msgtype=response"),
+                    ("WARC-Block-Digest", _b32(block)),
+                    ("WARC-Payload-Digest", f"sha256:{digest}"),
+                ]
                 fields += [("WARC-Target-URI", "".join(url.split()))] if url else []
-                fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{URN}{refers}>")] if refers is not None else []
+                fields += [
+                    ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+                    ("WARC-Refers-To", f"<{URN}{refers}>"),
+                ] if refers is not None else []
                 frames.append(packer.compress(header(fields, block)))
                 size += len(frames[-1])
                 if size >= SEGMENT:
@@ -170,7 +191,17 @@ def read(archives: DataFrame) -> DataFrame:
                         payload = None
                     elif digest and not error and hashlib.sha256(payload).hexdigest() != digest:
                         error = "payload digest"
-                    rows.append((f.get("warc-record-id", "").strip("<>") or None, kind, f.get("warc-target-uri"), payload, digest, f.get("warc-refers-to", "").strip("<>") or None, error))
+                    rows.append(
+                        (
+                            f.get("warc-record-id", "").strip("<>") or None,
+                            kind,
+                            f.get("warc-target-uri"),
+                            payload,
+                            digest,
+                            f.get("warc-refers-to", "").strip("<>") or None,
+                            error,
+                        )
+                    )
                     size += len(payload or b"")
                     if size > 4 << 20:
                         yield out(rows)
@@ -184,9 +215,30 @@ def read(archives: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
     """pages written as archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to, error."""
     store = Store(pages.sparkSession, "warc")
-    r = store.keep(read(write(pages, store, least)).select("record_id", "record_type", "payload_digest", "refers_to", "error", F.octet_length("payload").cast("long").alias("n")), "records")
+    r = store.keep(
+        read(write(pages, store, least)).select(
+            "record_id",
+            "record_type",
+            "payload_digest",
+            "refers_to",
+            "error",
+            F.octet_length("payload").cast("long").alias("n"),
+        ),
+        "records",
+    )
     # of a repeated id with several payloads, the one referred to has the revisit's digest
-    of = r.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), "payload_digest", F.col("n").alias("of_n")).join(r.select("refers_to", "payload_digest").distinct(), ["refers_to", "payload_digest"], "left_semi").dropDuplicates(["refers_to", "payload_digest"])
+    of = r.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), "payload_digest", F.col("n").alias("of_n")).join(
+        r.select("refers_to", "payload_digest").distinct(),
+        ["refers_to", "payload_digest"],
+        "left_semi",
+    ).dropDuplicates(["refers_to", "payload_digest"])
     number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long")
     joined = r.join(of, ["refers_to", "payload_digest"], "left")
-    return joined.select(number("record_id").alias("page_id"), F.coalesce("n", "of_n").alias("payload_bytes"), "payload_digest", "record_type", F.when(F.col("refers_to").isNotNull(), number("refers_to")).alias("refers_to"), "error")
+    return joined.select(
+        number("record_id").alias("page_id"),
+        F.coalesce("n", "of_n").alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        F.when(F.col("refers_to").isNotNull(), number("refers_to")).alias("refers_to"),
+        "error",
+    )
