@@ -40,7 +40,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     found = secretscan.scan(docs)
     out = found.withColumn("text", secretscan.redact(F.col("text"), F.col(secretscan.SECRETS), "<SECRET>"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size(secretscan.SECRETS) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn(
+            "n_chars",
+            F.when(F.size(secretscan.SECRETS) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType),
+        )
     return out.select(*docs.columns)
 
 

@@ -26,7 +26,9 @@ COOKIE, JSON, SENTENCE = "Cookie: sessionid=abc123def456ghi789; theme=dark", '{"
 
 def test_fragments(spark):
     texts = [t for t, *_ in LINES] + [COOKIE, JSON, SENTENCE]
-    got = {r.t: r.f for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select("t", fragments(F.col("t")).alias("f")).collect()}
+    got = {
+        r.t: r.f for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select("t", fragments(F.col("t")).alias("f")).collect()
+    }
     for text, kind, start, end in LINES:
         f = got[text][0]
         assert (f.structure_kind, f.value_span.start, f.value_span.end) == (kind, start, end)
@@ -36,7 +38,10 @@ def test_fragments(spark):
 
 
 def test_layout(spark):
-    words = spark.createDataFrame([("f", 0, "姓名", 10.0, 10.0, 40.0, 20.0), ("f", 0, "孙禄毅", 120.0, 11.0, 160.0, 21.0), ("f", 0, "next", 10.0, 40.0, 40.0, 50.0)], "file_id string, page_index int, text string, x0 double, y0 double, x1 double, y1 double")
+    words = spark.createDataFrame(
+        [("f", 0, "姓名", 10.0, 10.0, 40.0, 20.0), ("f", 0, "孙禄毅", 120.0, 11.0, 160.0, 21.0), ("f", 0, "next", 10.0, 40.0, 40.0, 50.0)],
+        "file_id string, page_index int, text string, x0 double, y0 double, x1 double, y1 double",
+    )
     r = layout_pages(words).first()
     assert r.text == "姓名 | 孙禄毅\nnext" and len(r.char_boxes) == len(r.text) and r.char_boxes[2] is None
     flags = spark.range(1).select(quality_flags(F.lit(" "), F.lit(True), F.lit(1.0)).alias("f")).first().f
@@ -45,7 +50,9 @@ def test_layout(spark):
 
 def test_bbox_and_ocr(spark):
     x = '<doc><page><word xMin="1" yMin="2" xMax="3" yMax="4">hi</word><word xMin="a">no</word></page></doc>'
-    assert [(w.text, w.x1) for w in bbox_words(spark.createDataFrame([("f", x), ("g", "<bad")], "file_id string, xhtml string")).collect()] == [("hi", 3.0)]
+    assert [
+        (w.text, w.x1) for w in bbox_words(spark.createDataFrame([("f", x), ("g", "<bad")], "file_id string, xhtml string")).collect()
+    ] == [("hi", 3.0)]
     def line(text, y1, chars=()):
         return {"text": text, "bbox": {"x0": 0, "y0": y1 - 0.1, "x1": 1, "y1": y1}, "chars": list(chars)}
 
@@ -54,7 +61,14 @@ def test_bbox_and_ocr(spark):
     rows = [
         ("a", page(line("low", 0.2), line(" top ", 0.9))),
         ("b", '" plain "'),
-        ("c", page(line("", 0.3, [char("l", 0.0), {"text": "ow"}]), line("", 0.9, [char(" ", 0.0), char("T", 0.1), char(" ", 0.2)]), line("", 0.1, [char(" ", 0.0)]))),
+        (
+            "c",
+            page(
+                line("", 0.3, [char("l", 0.0), {"text": "ow"}]),
+                line("", 0.9, [char(" ", 0.0), char("T", 0.1), char(" ", 0.2)]),
+                line("", 0.1, [char(" ", 0.0)]),
+            ),
+        ),
         ("d", "[1]"),
         ("e", "{broken"),
         ("f", json.dumps({"lines": "x"})),
@@ -62,7 +76,9 @@ def test_bbox_and_ocr(spark):
     payloads = spark.createDataFrame([(i, 0, p) for i, p in rows], "file_id string, page_index int, payload string")
     assert [r.text for r in ocr_text(payloads).orderBy("file_id").collect()[:2]] == ["low\ntop", "plain"]
     got = {r.file_id: r for r in ocr_pages(payloads).collect()}
-    assert got["c"].text == "T\nlow\n" and [b and (round(b.x0), round(b.y0)) for b in got["c"].char_boxes] == [(10, 20), None, (0, 20), None, None, None]
+    assert got["c"].text == "T\nlow\n" and [
+        b and (round(b.x0), round(b.y0)) for b in got["c"].char_boxes
+    ] == [(10, 20), None, (0, 20), None, None, None]
     assert got["b"].text == "plain" and got["b"].char_boxes == [] and got["a"].text == "" == got["f"].text
     assert [bool(got[i].error) for i in "abcdef"] == [False, False, False, True, True, False]
 
@@ -86,7 +102,9 @@ def test_model(spark):
     long = "email==user@example.com" + " " * 600
     df = spark.createDataFrame([(1, long), (2, long), (3, "short")], "id int, text string")
     r = {x.id: x for x in model_spans(df, provider).collect()}
-    assert [(s.start, s.end, s.text, s.source) for s in r[1].spans_model] == [(7, 23, "user@example.com", "opf")] == [(s.start, s.end, s.text, s.source) for s in r[2].spans_model]
+    assert [
+        (s.start, s.end, s.text, s.source) for s in r[1].spans_model
+    ] == [(7, 23, "user@example.com", "opf")] == [(s.start, s.end, s.text, s.source) for s in r[2].spans_model]
     assert r[3].spans_model == []
     bad = model_spans(spark.createDataFrame([("boom" * 200,)], "text string"), provider).first()
     assert bad.spans_model == [] and "boom" in bad.spans_model_error
@@ -94,10 +112,15 @@ def test_model(spark):
 
 def test_metrics(spark):
     rows = [(i, "scan", 100 * i, 0.0, 0.0, 0.0, 0.0, 0.5, 1, i % 2, 0) for i in range(30)]
-    t = spark.createDataFrame(rows, "seq long, endpoint string, text_length int, opf_seconds double, parser_seconds double, regex_seconds double, merge_seconds double, total_seconds double, span_count int, secret_count int, pii_count int")
+    t = spark.createDataFrame(
+        rows,
+        "seq long, endpoint string, text_length int, opf_seconds double, parser_seconds double, regex_seconds double, merge_seconds double, total_seconds double, span_count int, secret_count int, pii_count int",
+    )
     r = metrics.record(t)
     assert metrics.recent(r).count() == 20 and metrics.last(r).first().seq == 29
-    assert {x.bucket: x["count"] for x in metrics.by_bucket(r).where("dimension = 'length_bucket'").collect()} == {"0-255": 3, "256-1023": 8, "1024-4095": 19}
+    assert {
+        x.bucket: x["count"] for x in metrics.by_bucket(r).where("dimension = 'length_bucket'").collect()
+    } == {"0-255": 3, "256-1023": 8, "1024-4095": 19}
     assert metrics.snapshot(r).first().total_requests == 30
 
 

@@ -30,14 +30,22 @@ def test_apart_and_outside(spark):
     some = lambda n, size: sorted((s, s + rng.randint(1, size)) for s in (rng.randint(0, 20 * n + 5) for _ in range(n)))
     rows = [(some(n, 12), some(m, 30)) for n, m in ((0, 5), (5, 0), (20, 20), (300, 128), (300, 129), (400, 900), (900, 300))]
     kind = "array<struct<start:int,end:int>>"
-    for r in spark.createDataFrame(rows, f"a {kind}, b {kind}").coalesce(1).select("a", "b", apart(F.col("a"), F.col("b")).alias("apart"), outside(F.col("a"), F.col("b")).alias("outside")).collect():
+    for r in spark.createDataFrame(rows, f"a {kind}, b {kind}").coalesce(1).select(
+        "a",
+        "b",
+        apart(F.col("a"), F.col("b")).alias("apart"),
+        outside(F.col("a"), F.col("b")).alias("outside"),
+    ).collect():
         assert r["apart"] == [x for x in r.a if not any(y.start < x.end and x.start < y.end for y in r.b)]
         assert r.outside == [x for x in r.a if not any(y.start <= x.start and x.end <= y.end for y in r.b)]
 
 
 def test_context_of_matches(spark):
     texts = ["", "12", "ab12cd345é", "1" * 3 + "x" * 60 + "2 3", "no digits"]
-    d = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select("t", matches(F.col("t"), "[0-9]+", groups=False, context=True).alias("m"))
+    d = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(
+        "t",
+        matches(F.col("t"), "[0-9]+", groups=False, context=True).alias("m"),
+    )
     got = {r.t: [(m.text, m.start, m.before, m.after) for m in r.m] for r in d.collect()}
     assert got["ab12cd345é"] == [("12", 2, "ab", "c"), ("345", 6, "12cd", "é")]
     assert got["12"] == [("12", 0, "", "")] and got[""] == got["no digits"] == []
@@ -58,7 +66,14 @@ def test_many_matches_take_little_time(spark):
 
 def test_merge_of_many_spans(spark):
     rng = random.Random(3)
-    spans = [(s, s + rng.randint(1, 9), rng.choice(["secret", "pii"]), rng.choice(["regex", "parser_rule", "opf"])) for s in (rng.randint(0, 3000) for _ in range(600))]
+    spans = [
+        (
+            s,
+            s + rng.randint(1, 9),
+            rng.choice(["secret", "pii"]),
+            rng.choice(["regex", "parser_rule", "opf"]),
+        ) for s in (rng.randint(0, 3000) for _ in range(600))
+    ]
     kind = "start:int,end:int,label:string,kind:string,source:string,score:double,reason_codes:array<string>,text:string,placeholder:string"
     row = [(s, e, label, "k", source, 0.5, [], None, None) for s, e, label, source in spans]
     got = spark.createDataFrame([(row,)], f"s array<struct<{kind}>>").select(merge(F.col("s")).alias("m")).first().m

@@ -154,7 +154,10 @@ def test_made_texts(spark):
     ]
     seps = ["\n", "\r\n", "\r", "\x0b", " ", "\u2028", "\n\n"]
     texts = [seps[i % 7].join(pieces[(i * 7 + j * (1 + i % 5)) % len(pieces)] for j in range(1 + i % 9)) for i in range(140)]
-    d = spark.createDataFrame([(i, t, "ai_model", "warn") for i, t in enumerate(texts)], "i long, text string, target string, mode string").repartition(4)
+    d = spark.createDataFrame(
+        [(i, t, "ai_model", "warn") for i, t in enumerate(texts)],
+        "i long, text string, target string, mode string",
+    ).repartition(4)
     for r in redact_requests(d).collect():
         spans = scan(r.text)
         assert [(s.start, s.end, s.label) for s in r.spans] == spans, r.text

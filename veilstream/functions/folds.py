@@ -22,7 +22,10 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 def chunks(items: Column) -> Column:
     """items (a column or variable, evaluated for each piece) as an array of arrays of at most CHUNK elements."""
     n = F.ceil(F.size(items) / F.lit(CHUNK)).cast("int")
-    return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))
+    return F.transform(
+        F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)),
+    )
 
 
 def _sums(lengths: Column, first: Column) -> Column:
@@ -80,7 +83,13 @@ def apart(spans: Column, others: Column) -> Column:
     def many(parts: Column) -> Column:
         def clear(ends: Column) -> Column:
             # of the first piece that ends after a span's start, one interval is the first to do so
-            return F.filter(spans, lambda s: ~F.coalesce(F.exists(F.get(parts, F.size(F.filter(ends, lambda e: e <= s["start"]))), lambda o: overlap(s, o)), F.lit(False)))
+            return F.filter(
+                spans,
+                lambda s: ~F.coalesce(
+                    F.exists(F.get(parts, F.size(F.filter(ends, lambda e: e <= s["start"]))), lambda o: overlap(s, o)),
+                    F.lit(False),
+                ),
+            )
 
         return let(F.transform(parts, lambda p: F.get(p, F.size(p) - 1)["end"]), clear)
 
@@ -101,7 +110,13 @@ def outside(spans: Column, others: Column) -> Column:
     def many(parts: Column) -> Column:
         def clear(starts: Column) -> Column:
             # both starts and ends rise, so the last that starts before a span reaches furthest
-            return F.filter(spans, lambda s: ~F.coalesce(F.exists(F.get(parts, F.size(F.filter(starts, lambda x: x <= s["start"])) - 1), lambda o: within(s, o)), F.lit(False)))
+            return F.filter(
+                spans,
+                lambda s: ~F.coalesce(
+                    F.exists(F.get(parts, F.size(F.filter(starts, lambda x: x <= s["start"])) - 1), lambda o: within(s, o)),
+                    F.lit(False),
+                ),
+            )
 
         return let(F.transform(parts, lambda p: F.get(p, F.lit(0))["start"]), clear)
 

@@ -21,7 +21,14 @@ MATCH_IN_CONTEXT = "struct<start:int,end:int,text:string,at:int,upto:int,before:
 BEFORE = 40
 
 
-def matches(text: Column, pattern: str, groups: bool = True, needs: str | tuple[str, ...] = (), gate: str | None = None, context: bool = False) -> Column:
+def matches(
+    text: Column,
+    pattern: str,
+    groups: bool = True,
+    needs: str | tuple[str, ...] = (),
+    gate: str | None = None,
+    context: bool = False,
+) -> Column:
     """Array of (start, end, text, at, upto): the value's offsets and text, and the offsets of the whole match.
 
     With groups, the pattern has the form (prefix)(value)suffix with no other groups; else the value is the whole
@@ -33,7 +40,12 @@ def matches(text: Column, pattern: str, groups: bool = True, needs: str | tuple[
     p = F.lit(pattern)
     whole, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern, -1)
     if groups:
-        zipped = F.arrays_zip(whole.alias("m"), F.regexp_extract_all(text, p, F.lit(1)).alias("p"), F.regexp_extract_all(text, p, F.lit(2)).alias("v"), gaps.alias("g"))
+        zipped = F.arrays_zip(
+            whole.alias("m"),
+            F.regexp_extract_all(text, p, F.lit(1)).alias("p"),
+            F.regexp_extract_all(text, p, F.lit(2)).alias("v"),
+            gaps.alias("g"),
+        )
     else:
         zipped = F.arrays_zip(whole.alias("m"), gaps.alias("g"))
 
@@ -48,7 +60,13 @@ def matches(text: Column, pattern: str, groups: bool = True, needs: str | tuple[
             at = before + F.length(x["g"])
             start = at + F.length(x["p"]) if groups else at
             value = x["v"] if groups else x["m"]
-            fields = [start.alias("start"), (start + F.length(value)).alias("end"), value.alias("text"), at.alias("at"), (at + F.length(x["m"])).alias("upto")]
+            fields = [
+                start.alias("start"),
+                (start + F.length(value)).alias("end"),
+                value.alias("text"),
+                at.alias("at"),
+                (at + F.length(x["m"])).alias("upto"),
+            ]
             return F.struct(*fields, x["before"].alias("before"), x["after"].alias("after")) if context else F.struct(*fields)
 
         return F.zip_with(beside(pieces, all_) if context else pieces, starts, one).cast(f"array<{kind}>")

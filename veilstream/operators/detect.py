@@ -27,7 +27,9 @@ def secret_spans(text: Column, mode: str | Column = "balanced", rules: Iterable[
         parts = [apply_rule(text, r) for r in rules if mode in r.modes]
     else:
         now = normalize_mode(mode)
-        parts = [apply_rule(text, r) if len(r.modes) == len(MODES) else F.when(now.isin(*r.modes), apply_rule(text, r)).otherwise(empty()) for r in rules]
+        parts = [
+            apply_rule(text, r) if len(r.modes) == len(MODES) else F.when(now.isin(*r.modes), apply_rule(text, r)).otherwise(empty()) for r in rules
+        ]
     return F.concat(*parts)
 
 

@@ -56,22 +56,91 @@ SECRET_RULES = [
     Rule("R18", "oauth_code", r"(?iuUd)([?&]code=)([A-Za-z0-9_-]{20,200})", 0.8, reasons=_url, needs="="),
     Rule("R19", "aws_signature", r"(?iuUd)(X-Amz-Signature=)([a-f0-9]{64})", 0.85, reasons=_url, needs="="),
     Rule("R20", "aws_signature", r"(?iuUd)([?&]Signature=)([A-Za-z0-9%+/]{40,})", 0.85, reasons=_url, needs="="),
-    Rule("R21", "webhook_url", r"(?iuUd)(https://hooks\.slack\.com/services/T[a-zA-Z0-9_]{8}/B[a-zA-Z0-9_]{8,12}/)([a-zA-Z0-9_]{24})", 0.85, needs="://"),
+    Rule(
+        "R21",
+        "webhook_url",
+        r"(?iuUd)(https://hooks\.slack\.com/services/T[a-zA-Z0-9_]{8}/B[a-zA-Z0-9_]{8,12}/)([a-zA-Z0-9_]{24})",
+        0.85,
+        needs="://",
+    ),
     Rule("R22", "session", rf"(?iuUd)((?:Set-Cookie:{S}*)?(?:sessionid|session|connect\.sid|sid)=)([^;{NOT_S}]{{8,}})", 0.8, needs="="),
-    Rule("R23", "db_connection", rf"(?iuUd)(\b(?:postgres|postgresql|mysql|mongodb(?:\+srv)?)://[^:{NOT_S}]+:)([^@{NOT_S}]+)@[^/{NOT_S}]+/[^{NOT_S}]+", 0.9, needs="://"),
-    Rule("R24", "private_key", r"(?Ud)()(-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]+?-----END [A-Z ]*PRIVATE KEY-----)", 0.95, needs="PRIVATE KEY", reasons=["regex_pattern_match", "pem_block_match"]),
-    Rule("R25", "webhook_secret", rf"(?iuUd)(\b(?:webhook_secret|signing_secret|client_secret|app_secret){S}*[:=]{S}*)([A-Za-z0-9._-]{{8,}})", 0.9, gate="(?iu)_secret"),
-    Rule("R26", "token", rf"(?iuUd)(\b(?:token|api[_-]?key|access[_-]?token|refresh[_-]?token){S}*[:=]{S}*)([A-Za-z0-9._-]{{10,}})", 0.75, modes=("high_recall", "balanced"), gate="(?iu)token|key"),
-    Rule("R27", "verification_code", f"(?iuUd)({_otp % '|code'})([A-Za-z0-9-]{{4,10}})", 0.65, reasons=["regex_pattern_match", "context_match"], modes=("high_recall",), checked=False, needs=_otp_words, gate="(?iu)code|otp"),
-    Rule("R28", "verification_code", f"(?iuUd)({_otp % ''})([A-Za-z0-9-]{{4,10}})", 0.65, reasons=["regex_pattern_match", "context_match"], modes=("balanced",), checked=False, needs=_otp_words, gate="(?iu)code|otp"),
+    Rule(
+        "R23",
+        "db_connection",
+        rf"(?iuUd)(\b(?:postgres|postgresql|mysql|mongodb(?:\+srv)?)://[^:{NOT_S}]+:)([^@{NOT_S}]+)@[^/{NOT_S}]+/[^{NOT_S}]+",
+        0.9,
+        needs="://",
+    ),
+    Rule(
+        "R24",
+        "private_key",
+        r"(?Ud)()(-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]+?-----END [A-Z ]*PRIVATE KEY-----)",
+        0.95,
+        needs="PRIVATE KEY",
+        reasons=["regex_pattern_match", "pem_block_match"],
+    ),
+    Rule(
+        "R25",
+        "webhook_secret",
+        rf"(?iuUd)(\b(?:webhook_secret|signing_secret|client_secret|app_secret){S}*[:=]{S}*)([A-Za-z0-9._-]{{8,}})",
+        0.9,
+        gate="(?iu)_secret",
+    ),
+    Rule(
+        "R26",
+        "token",
+        rf"(?iuUd)(\b(?:token|api[_-]?key|access[_-]?token|refresh[_-]?token){S}*[:=]{S}*)([A-Za-z0-9._-]{{10,}})",
+        0.75,
+        modes=("high_recall", "balanced"),
+        gate="(?iu)token|key",
+    ),
+    Rule(
+        "R27",
+        "verification_code",
+        f"(?iuUd)({_otp % '|code'})([A-Za-z0-9-]{{4,10}})",
+        0.65,
+        reasons=["regex_pattern_match", "context_match"],
+        modes=("high_recall",),
+        checked=False,
+        needs=_otp_words,
+        gate="(?iu)code|otp",
+    ),
+    Rule(
+        "R28",
+        "verification_code",
+        f"(?iuUd)({_otp % ''})([A-Za-z0-9-]{{4,10}})",
+        0.65,
+        reasons=["regex_pattern_match", "context_match"],
+        modes=("balanced",),
+        checked=False,
+        needs=_otp_words,
+        gate="(?iu)code|otp",
+    ),
 ]
 
 # Personal data.
 PII_RULES = [
-    Rule("P1", "cn_id_number", r"(?Ud)()(\b[1-9]\d{5}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx]\b)", 0.9, "pii", checked=False, needs=("19", "20")),
+    Rule(
+        "P1",
+        "cn_id_number",
+        r"(?Ud)()(\b[1-9]\d{5}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx]\b)",
+        0.9,
+        "pii",
+        checked=False,
+        needs=("19", "20"),
+    ),
     Rule("P2", "cn_passport", r"(?Ud)()(\b[EeGgDdSsPpHh]\d{8}\b)", 0.85, "pii", checked=False, gate=r"\p{Nd}{8}"),
     Rule("P3", "cn_phone", r"(?Ud)()((?<!\d)1[3-9]\d{9}(?!\d))", 0.8, "pii", checked=False, gate=r"\p{Nd}{9}"),
     Rule("P4", "email", r"(?Ud)()([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})", 0.85, "pii", needs="@", checked=False),
     Rule("P5", "housing_fund_account", r"(?Ud)((?:公积金账号|公积金帐号|公积金账户|公积金帐户)\D{0,40}?)(\d{10,14})", 0.85, "pii", needs="公积金", checked=False),
-    Rule("P6", "cn_person_field", rf"(?Ud)((?:姓名|联系人|收件人|客户姓名|户名){S}*(?:[:：]{S}*|{S}*[|｜]{S}*|{S}+))([\x{{4e00}}-\x{{9fff}}]{{2,4}})(?=$|[{NOT_S}|｜，,。；;])", 0.72, "private_person", reasons=["regex_pattern_match", "field_context_match"], checked=False, needs=("姓名", "联系人", "收件人", "户名")),
+    Rule(
+        "P6",
+        "cn_person_field",
+        rf"(?Ud)((?:姓名|联系人|收件人|客户姓名|户名){S}*(?:[:：]{S}*|{S}*[|｜]{S}*|{S}+))([\x{{4e00}}-\x{{9fff}}]{{2,4}})(?=$|[{NOT_S}|｜，,。；;])",
+        0.72,
+        "private_person",
+        reasons=["regex_pattern_match", "field_context_match"],
+        checked=False,
+        needs=("姓名", "联系人", "收件人", "户名"),
+    ),
 ]

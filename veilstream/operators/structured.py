@@ -71,23 +71,64 @@ def _after(at: Column, *parts: Column) -> Column:
 def _assignment(line: Column, at: Column) -> Column:
     mark, export, key, sep, quote, value = _parts(line, ASSIGNMENT, 6)
     start = _after(at, mark, export, key, sep, quote)
-    return F.array(_fragment("assignment", line, at, prefix=export, key=key, separator=sep, value=value, quote_char=quote, line_span=_pair(at, at + F.length(line)), value_span=_pair(start, start + F.length(value))))
+    return F.array(
+        _fragment(
+            "assignment",
+            line,
+            at,
+            prefix=export,
+            key=key,
+            separator=sep,
+            value=value,
+            quote_char=quote,
+            line_span=_pair(at, at + F.length(line)),
+            value_span=_pair(start, start + F.length(value)),
+        )
+    )
 
 
 def _header(line: Column, at: Column) -> Column:
     name, sep, scheme, gap, value = _parts(line, BEARER, 5)
     start = _after(at, name, sep, scheme, gap)
-    bearer = _fragment("http_header", line, at, header_name=name, auth_scheme=scheme, separator=sep, value=value, value_span=_pair(start, start + F.length(value)))
+    bearer = _fragment(
+        "http_header",
+        line,
+        at,
+        header_name=name,
+        auth_scheme=scheme,
+        separator=sep,
+        value=value,
+        value_span=_pair(start, start + F.length(value)),
+    )
     name, sep, value = _parts(line, API_HEADER, 3)
     start = _after(at, name, sep)
-    other = _fragment("http_header", line, at, header_name=name, auth_scheme=F.lit(""), separator=sep, value=value, value_span=_pair(start, start + F.length(value)))
+    other = _fragment(
+        "http_header",
+        line,
+        at,
+        header_name=name,
+        auth_scheme=F.lit(""),
+        separator=sep,
+        value=value,
+        value_span=_pair(start, start + F.length(value)),
+    )
     return F.array(F.when(line.rlike(BEARER), bearer).otherwise(other))
 
 
 def _sentence(line: Column, at: Column) -> Column:
     phrase, gap, value = _parts(line, SENTENCE, 3)
     start = _after(at, phrase, gap)
-    return F.array(_fragment("log_sentence", line, at, context_phrase=phrase, candidate_value=value, candidate_span=_pair(start, start + F.length(value)), context_span=_pair(at, at + F.length(phrase))))
+    return F.array(
+        _fragment(
+            "log_sentence",
+            line,
+            at,
+            context_phrase=phrase,
+            candidate_value=value,
+            candidate_span=_pair(start, start + F.length(value)),
+            context_span=_pair(at, at + F.length(phrase)),
+        )
+    )
 
 
 def _cookies(line: Column, at: Column) -> Column:
@@ -98,7 +139,16 @@ def _cookies(line: Column, at: Column) -> Column:
     def one(m: Column) -> Column:
         key = F.substring(rest, m["at"] + 1, m["start"] - m["at"] - 1)
         start = at + head + m["start"]
-        return _fragment("cookie_pair", line, at, header_name=name, cookie_name=key, separator=F.lit("="), value=m["text"], value_span=_pair(start, start + F.length(m["text"])))
+        return _fragment(
+            "cookie_pair",
+            line,
+            at,
+            header_name=name,
+            cookie_name=key,
+            separator=F.lit("="),
+            value=m["text"],
+            value_span=_pair(start, start + F.length(m["text"])),
+        )
 
     return F.transform(matches(rest, COOKIE_PAIR, needs="="), one)
 
@@ -117,7 +167,17 @@ def _json(line: Column, at: Column) -> Column:
         head = F.substring(line, m["at"] + 1, m["start"] - m["at"])
         key = F.regexp_extract(head, r'^"([^"]*)"', 1)
         quote, value, where = _scalar(m["text"], at + m["start"])
-        return _fragment("json_yaml_pair", line, at, container_kind=F.lit("json"), key=key, separator=F.substring(head, F.length(key) + 3, F.length(head)), value=value, quote_char=quote, value_span=where)
+        return _fragment(
+            "json_yaml_pair",
+            line,
+            at,
+            container_kind=F.lit("json"),
+            key=key,
+            separator=F.substring(head, F.length(key) + 3, F.length(head)),
+            value=value,
+            quote_char=quote,
+            value_span=where,
+        )
 
     return F.transform(matches(line, JSON_PAIR, needs='"'), one)
 
@@ -125,7 +185,9 @@ def _json(line: Column, at: Column) -> Column:
 def _yaml(line: Column, at: Column) -> Column:
     key, sep, raw = _parts(line, YAML_PAIR, 3)
     quote, value, where = _scalar(raw, _after(at, key, sep))
-    return F.array(_fragment("json_yaml_pair", line, at, container_kind=F.lit("yaml"), key=key, separator=sep, value=value, quote_char=quote, value_span=where))
+    return F.array(
+        _fragment("json_yaml_pair", line, at, container_kind=F.lit("yaml"), key=key, separator=sep, value=value, quote_char=quote, value_span=where)
+    )
 
 
 def parse_line(x: Column) -> Column:
@@ -149,4 +211,7 @@ def parse_line(x: Column) -> Column:
 def fragments(text: Column) -> Column:
     """All fragments of a text, in line order. Lines without '=' or ':' or a quote can hold none and are passed over."""
     able = F.filter(lines(text), lambda x: x["line"].rlike("[=:\"：]") | x["line"].rlike(SENTENCE))
-    return F.when(text.rlike("[=:\"：]") | text.rlike("(?i)verification code is"), F.flatten(F.transform(able, parse_line))).otherwise(F.array().cast(FRAGMENTS))
+    return F.when(
+        text.rlike("[=:\"：]") | text.rlike("(?i)verification code is"),
+        F.flatten(F.transform(able, parse_line)),
+    ).otherwise(F.array().cast(FRAGMENTS))

@@ -53,7 +53,14 @@ def _case(options: list[str | None]) -> Column:
 
 def _span(start: Column | int, end: Column | int, label: Column | str, text: Column | str | None = None, source: Column | str = "regex") -> Column:
     col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    given = {"start": col(start).cast("int"), "end": col(end).cast("int"), "label": col(label), "kind": F.lit("k"), "source": col(source), "score": F.lit(0.5)}
+    given = {
+        "start": col(start).cast("int"),
+        "end": col(end).cast("int"),
+        "label": col(label),
+        "kind": F.lit("k"),
+        "source": col(source),
+        "score": F.lit(0.5),
+    }
     given |= {"reason_codes": F.array().cast("array<string>"), "text": col(text).cast("string"), "placeholder": F.lit(None).cast("string")}
     return F.struct(*[v.alias(k) for k, v in given.items()])
 
@@ -77,7 +84,11 @@ SELECT o_orderkey, substring(t, 1, 4) || p1
 def redact_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three spans, of which the second may begin within the first."""
     text = F.expr(f"'pay ' || {H} || ' to ' || substring({H}, 1, 8)")
-    spans = _spans(_span(40, 48, "account_number"), _span(4, 4 + _key() % 20, _case(["secret", "private_email", "pii"])), _span(10 + _key() % 7, 30, "private_url"))
+    spans = _spans(
+        _span(40, 48, "account_number"),
+        _span(4, 4 + _key() % 20, _case(["secret", "private_email", "pii"])),
+        _span(10 + _key() % 7, 30, "private_url"),
+    )
     return orders(spark, sf_dir).select("o_orderkey", merge.redact(text, spans).alias("redacted"))
 
 
@@ -142,12 +153,23 @@ SELECT o_orderkey, 5 + (o_orderkey % 3 = 0 AND o_orderkey % 2 = 0)::INT AS span_
 def normal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.when(_key() % 2 == 0, "=").otherwise(""), F.substring(F.expr(H), 1, 4))
     spans = normalize(_spans(_span(5, 9, _case(["private_email", "secret", "pii"]), text, F.when(_key() % 5 == 0, "regex"))))
-    return orders(spark, sf_dir).select("o_orderkey", F.explode(spans).alias("s")).select("o_orderkey", F.col("s.start").alias("span_start"), F.col("s.text").alias("value"), "s.source")
+    return orders(spark, sf_dir).select("o_orderkey", F.explode(spans).alias("s")).select(
+        "o_orderkey",
+        F.col("s.start").alias("span_start"),
+        F.col("s.text").alias("value"),
+        "s.source",
+    )
 
 
 # --- requests --------------------------------------------------------------------------------------------------------
 
-SHAPES = ["'token = sk-' || {h}", "'mail ' || substring({h}, 1, 5) || '@x.org, sk-' || {h}", "'DATABASE_URL=postgres://app:' || {h} || '@db.x/app'", "'nothing ' || {h}", "'X-API-Key: ' || {h}"]
+SHAPES = [
+    "'token = sk-' || {h}",
+    "'mail ' || substring({h}, 1, 5) || '@x.org, sk-' || {h}",
+    "'DATABASE_URL=postgres://app:' || {h} || '@db.x/app'",
+    "'nothing ' || {h}",
+    "'X-API-Key: ' || {h}",
+]
 
 
 def _text() -> Column:
@@ -179,7 +201,9 @@ SELECT o.o_orderkey, CASE WHEN bool_or(s.label = 'secret') THEN '{"decision":"wa
   ELSE '{"decision":"' || CASE o.o_orderkey % 2 WHEN 0 THEN 'redact' ELSE 'allow' END || '","risk_level":"low","reason":"no match"}' END AS response FROM orders o LEFT JOIN s USING (o_orderkey) GROUP BY o.o_orderkey
 """)
 def decide_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = redact_requests(orders(spark, sf_dir).select("o_orderkey", _text().alias("text"), F.lit("ai_model").alias("target"), _case(["redact", "block"]).alias("mode")))
+    r = redact_requests(
+        orders(spark, sf_dir).select("o_orderkey", _text().alias("text"), F.lit("ai_model").alias("target"), _case(["redact", "block"]).alias("mode"))
+    )
     return as_json(r, "decide", "o_orderkey")
 
 
@@ -193,7 +217,10 @@ def candidates_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.expr(f"concat('token = ', {H}, chr(10), 'k: sk-', {H})")
     modes = F.array(*[F.lit(x) for x in ("high_recall", "balanced", "high_precision", "other")])
     o = orders(spark, sf_dir).select(text.alias("t"), F.explode(modes).alias("mode"))
-    return o.select("mode", F.explode(candidates(fragments(F.col("t")), F.col("mode"))).alias("s")).groupBy("mode", "s.kind").agg(F.count("*").alias("spans"))
+    return o.select(
+        "mode",
+        F.explode(candidates(fragments(F.col("t")), F.col("mode"))).alias("s"),
+    ).groupBy("mode", "s.kind").agg(F.count("*").alias("spans"))
 
 
 @query("""
@@ -231,7 +258,9 @@ def _fails(texts: list[str]) -> list:
     return [[] if t.startswith("none") else [{"start": 0, "end": 1, "label": "secret", "text": t[:1]}] for t in texts]
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN 1 ELSE 0 END::INTEGER AS spans, CASE o_orderkey % 3 WHEN 0 THEN 'ValueError: bad text' END AS error FROM orders")
+@query(
+    "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN 1 ELSE 0 END::INTEGER AS spans, CASE o_orderkey % 3 WHEN 0 THEN 'ValueError: bad text' END AS error FROM orders"
+)
 def model_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text on which the model fails costs no other its spans."""
     o = orders(spark, sf_dir).where("true").withColumn("text", F.concat(_case(["bad", "none", "good"]), F.expr(H)))
@@ -259,10 +288,20 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = [((k * (i + 3)) % 1000 / 1024).alias(c) for i, c in enumerate(metrics.SECONDS)]
     counts = [(k % n).cast("int").alias(c) for n, c in ((5, "span_count"), (3, "secret_count"), (2, "pii_count"))]
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return metrics.record(e.select(k.alias("seq"), F.when(k % 7 > 0, F.col("event_type")).alias("endpoint"), (k * 37 % 6000).cast("int").alias("text_length"), *seconds, *counts))
-
-
-_seconds = ", ".join(f"round(round_even(avg(round_even(((event_id * {i + 3}) % 1000) / 1024.0::DOUBLE, 6)), 6), 4) AS avg_{c}" for i, c in enumerate(metrics.SECONDS))
+    return metrics.record(
+        e.select(
+            k.alias("seq"),
+            F.when(k % 7 > 0, F.col("event_type")).alias("endpoint"),
+            (k * 37 % 6000).cast("int").alias("text_length"),
+            *seconds,
+            *counts,
+        )
+    )
+
+
+_seconds = ", ".join(
+    f"round(round_even(avg(round_even(((event_id * {i + 3}) % 1000) / 1024.0::DOUBLE, 6)), 6), 4) AS avg_{c}" for i, c in enumerate(metrics.SECONDS)
+)
 
 
 @query(f"SELECT {_seconds} FROM events")
@@ -270,7 +309,9 @@ def metric_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.averages(_records(spark, sf_dir)).select(*[F.round(f"avg_{c}", 4).alias(f"avg_{c}") for c in metrics.SECONDS])
 
 
-@query("SELECT event_id AS seq, CASE WHEN event_id % 7 > 0 THEN event_type ELSE 'collect_spans' END AS endpoint, (event_id * 37 % 6000)::INTEGER AS text_length FROM events ORDER BY event_id DESC LIMIT 1")
+@query(
+    "SELECT event_id AS seq, CASE WHEN event_id % 7 > 0 THEN event_type ELSE 'collect_spans' END AS endpoint, (event_id * 37 % 6000)::INTEGER AS text_length FROM events ORDER BY event_id DESC LIMIT 1"
+)
 def metric_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.last(_records(spark, sf_dir)).select("seq", "endpoint", "text_length")
 
@@ -282,7 +323,11 @@ SELECT (SELECT count(*) FROM events) AS total_requests, endpoint, count(*) AS re
 def metric_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The snapshot's nested map, flat again: requests of each endpoint among the last twenty."""
     s = metrics.snapshot(_records(spark, sf_dir)).select("total_requests", F.explode("by_endpoint").alias("endpoint", "buckets"))
-    n = F.aggregate(F.map_entries("buckets"), F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["key"].isin("mixed", "secret_only", "pii_only", "no_hit"), x["value"]["count"]).otherwise(0))
+    n = F.aggregate(
+        F.map_entries("buckets"),
+        F.lit(0).cast("long"),
+        lambda acc, x: acc + F.when(x["key"].isin("mixed", "secret_only", "pii_only", "no_hit"), x["value"]["count"]).otherwise(0),
+    )
     return s.select("total_requests", "endpoint", n.alias("requests"))
 
 
@@ -313,11 +358,25 @@ WITH w AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_or
 def _grid_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as words, three in a line, with gaps of several widths."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    one = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.concat((F.col("l_partkey") % 1000).cast("string"), "l_returnflag").alias("t"))
+    one = F.struct(
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        "l_extendedprice",
+        F.concat((F.col("l_partkey") % 1000).cast("string"), "l_returnflag").alias("t"),
+    )
     w = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one)).alias("ws")).select("l_orderkey", F.posexplode("ws").alias("i", "w"))
     x0 = 100.0 * (F.col("i") % 3)
     y0 = 20.0 * F.floor(F.col("i") / 3) + F.col("i") % 3  # not quite level, yet within the tolerance
-    return w.select(F.col("l_orderkey").cast("string").alias("file_id"), F.lit(0).alias("page_index"), F.col("w.t").alias("text"), x0.alias("x0"), y0.alias("y0"), (x0 + 20 + 10 * (F.col("i") % 8)).alias("x1"), (y0 + 10).alias("y1"))
+    return w.select(
+        F.col("l_orderkey").cast("string").alias("file_id"),
+        F.lit(0).alias("page_index"),
+        F.col("w.t").alias("text"),
+        x0.alias("x0"),
+        y0.alias("y0"),
+        (x0 + 20 + 10 * (F.col("i") % 8)).alias("x1"),
+        (y0 + 10).alias("y1"),
+    )
 
 
 @query(_grid + """
@@ -338,7 +397,15 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = li.select("*", F.posexplode(F.split(word, "")).alias("k", "c"))
     seq = F.struct("l_partkey", "l_suppkey", "l_extendedprice", "k")
     box = [F.lit(float(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
-    chars = c.select(F.col("l_orderkey").cast("string").alias("file_id"), F.lit(0).alias("page_index"), (F.col("l_linenumber") % 2).alias("block"), F.col("l_linenumber").alias("line"), seq.alias("seq"), "c", *box)
+    chars = c.select(
+        F.col("l_orderkey").cast("string").alias("file_id"),
+        F.lit(0).alias("page_index"),
+        (F.col("l_linenumber") % 2).alias("block"),
+        F.col("l_linenumber").alias("line"),
+        seq.alias("seq"),
+        "c",
+        *box,
+    )
     return layout.raw_page(chars).select("file_id", "text", F.size("char_boxes").alias("boxes"))
 
 
@@ -347,7 +414,13 @@ def _payload() -> Column:
 
     def line(chars: Column, y1: Column) -> Column:
         bbox = F.struct(F.lit(0.0).alias("x0"), (y1 - 0.1).alias("y0"), F.lit(1.0).alias("x1"), y1.alias("y1"))
-        c = F.transform(chars, lambda x, i: F.struct(x.alias("text"), F.struct((i / 10).alias("x0"), (y1 - 0.1).alias("y0"), ((i + 1) / 10).alias("x1"), y1.alias("y1")).alias("bbox")))
+        c = F.transform(
+            chars,
+            lambda x, i: F.struct(
+                x.alias("text"),
+                F.struct((i / 10).alias("x0"), (y1 - 0.1).alias("y0"), ((i + 1) / 10).alias("x1"), y1.alias("y1")).alias("bbox"),
+            ),
+        )
         return F.struct(F.concat(F.lit(" "), F.array_join(chars, ""), F.lit(" ")).alias("text"), bbox.alias("bbox"), c.alias("chars"))
 
     letters = lambda a, n: F.split(F.substring(F.expr(H), a, n), "")
@@ -368,7 +441,14 @@ SELECT o_orderkey::VARCHAR AS file_id, CASE o_orderkey % 5 WHEN 0 THEN {H} WHEN
 """)
 def ocr_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.get("char_boxes", F.lit(0))
-    return ocr_pages(_ocr(spark, sf_dir)).select("file_id", "text", F.size("char_boxes").alias("boxes"), F.round(first["x0"]).cast("int").alias("first_x0"), F.round(first["y0"]).cast("int").alias("first_y0"), F.col("error").isNotNull().alias("failed"))
+    return ocr_pages(_ocr(spark, sf_dir)).select(
+        "file_id",
+        "text",
+        F.size("char_boxes").alias("boxes"),
+        F.round(first["x0"]).cast("int").alias("first_x0"),
+        F.round(first["y0"]).cast("int").alias("first_y0"),
+        F.col("error").isNotNull().alias("failed"),
+    )
 
 
 @query("""
@@ -378,11 +458,23 @@ def ocr_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr_text(_ocr(spark, sf_dir)).select("file_id", "text")
 
 
-@query("SELECT l_orderkey::VARCHAR AS file_id, count(*)::BIGINT AS words, sum(length((l_partkey % 1000)::VARCHAR || l_returnflag))::BIGINT AS chars FROM lineitem GROUP BY l_orderkey")
+@query(
+    "SELECT l_orderkey::VARCHAR AS file_id, count(*)::BIGINT AS words, sum(length((l_partkey % 1000)::VARCHAR || l_returnflag))::BIGINT AS chars FROM lineitem GROUP BY l_orderkey"
+)
 def bounding_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words written as bounding-box XHTML, with one that lacks a number on each page, and read again."""
     w = _grid_words(spark, sf_dir)
-    attributes = F.concat_ws(" ", *[F.concat(F.lit(f'{a}="'), F.col(c).cast("string"), F.lit('"')) for a, c in (("xMin", "x0"), ("yMin", "y0"), ("xMax", "x1"), ("yMax", "y1"))])
+    attributes = F.concat_ws(
+        " ",
+        *[
+            F.concat(F.lit(f'{a}="'), F.col(c).cast("string"), F.lit('"')) for a, c in (
+                ("xMin", "x0"),
+                ("yMin", "y0"),
+                ("xMax", "x1"),
+                ("yMax", "y1"),
+            )
+        ],
+    )
     word = F.concat(F.lit("<word "), attributes, F.lit("> "), F.col("text"), F.lit("</word>"))
     body = w.groupBy("file_id").agg(F.array_join(F.collect_list(word), "").alias("b"))
     pages = body.select("file_id", F.concat(F.lit('<html><page><word xMin="1">lost</word>'), "b", F.lit("</page></html>")).alias("xhtml"))
@@ -396,8 +488,17 @@ def _pdf(spark: SparkSession, sf_dir: str) -> file_plan.PdfTables:
     raw = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("raw "), F.substring("h", 1, 4)))
     each = F.explode(F.array(page(0, F.col("h")), page(1, raw), page(2, F.lit(" "))))
     pages = o.select("file_id", each.alias("p")).select("file_id", "p.*", F.lit(False).alias("has_images"), F.lit(9.0).alias("min_font"))
-    words = o.select("file_id", F.lit(0).alias("page_index"), F.col("h").alias("text"), *[F.lit(float(x)).alias(c) for c, x in (("x0", 0), ("y0", 0), ("x1", 64), ("y1", 8))])
-    ocr = o.where("o_orderkey % 3 > 0").select("file_id", F.lit(2).alias("page_index"), F.when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit('"ocr '), F.substring("h", 5, 4), F.lit('"'))).otherwise(F.lit('" "')).alias("payload"))
+    words = o.select(
+        "file_id",
+        F.lit(0).alias("page_index"),
+        F.col("h").alias("text"),
+        *[F.lit(float(x)).alias(c) for c, x in (("x0", 0), ("y0", 0), ("x1", 64), ("y1", 8))],
+    )
+    ocr = o.where("o_orderkey % 3 > 0").select(
+        "file_id",
+        F.lit(2).alias("page_index"),
+        F.when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit('"ocr '), F.substring("h", 5, 4), F.lit('"'))).otherwise(F.lit('" "')).alias("payload"),
+    )
     return file_plan.PdfTables(pages, words, None, ocr)
 
 
@@ -408,7 +509,16 @@ SELECT o_orderkey::VARCHAR AS file_id, h || chr(10) || chr(12) || chr(10) || raw
 """)
 def pdf_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = file_plan.pdf_texts(_pdf(spark, sf_dir))
-    return t.select("file_id", "text", F.col("text_layer_char_count").alias("layer"), F.col("ocr_char_count").alias("ocr"), "used_ocr", F.array_join("page_providers", ",").alias("providers"), F.col("pdf_provider").alias("provider"), F.array_join("quality_flags", ",").alias("flags"))
+    return t.select(
+        "file_id",
+        "text",
+        F.col("text_layer_char_count").alias("layer"),
+        F.col("ocr_char_count").alias("ocr"),
+        "used_ocr",
+        F.array_join("page_providers", ",").alias("providers"),
+        F.col("pdf_provider").alias("provider"),
+        F.array_join("quality_flags", ",").alias("flags"),
+    )
 
 
 @query("""
@@ -418,9 +528,17 @@ def pdf_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One span with boxes, and on every second file one in raw text without them."""
     t = file_plan.pdf_texts(_pdf(spark, sf_dir)).withColumn("k", F.col("file_id").cast("long"))
     boxed, plain = _span(F.col("k") % 7, F.col("k") % 7 + 3, "secret", "x"), _span(35, 38, "secret", "raw")
-    r = layout.redaction_rects(t.select("file_id", "char_boxes", F.when(F.col("k") % 2 == 0, _spans(boxed, plain)).otherwise(_spans(boxed)).alias("spans")))
+    r = layout.redaction_rects(
+        t.select("file_id", "char_boxes", F.when(F.col("k") % 2 == 0, _spans(boxed, plain)).otherwise(_spans(boxed)).alias("spans"))
+    )
     first = F.get("rects", F.lit(0))
-    return r.select("file_id", F.size("rects").alias("rects"), first["x0"].alias("x0"), first["x1"].alias("x1"), F.array_join("search", ",").alias("search"))
+    return r.select(
+        "file_id",
+        F.size("rects").alias("rects"),
+        first["x0"].alias("x0"),
+        first["x1"].alias("x1"),
+        F.array_join("search", ",").alias("search"),
+    )
 
 
 # --- files -----------------------------------------------------------------------------------------------------------
@@ -444,7 +562,9 @@ def _as_docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.expr(f"' a ' || {L} || chr(10) || '  ' || chr(10) || 'mail ' || substring({L}, 1, 6) || '@x.org'")
     made = orders(spark, sf_dir).withColumn("text", text).mapInPandas(_as_docx, "o_orderkey long, content binary")
-    return made.withColumns({"path": _key().cast("string"), "filename": F.concat(F.lit("f."), _key().cast("string"), _case([".docx", ".DOCX", ".txt"]))})
+    return made.withColumns(
+        {"path": _key().cast("string"), "filename": F.concat(F.lit("f."), _key().cast("string"), _case([".docx", ".DOCX", ".txt"]))}
+    )
 
 
 _docx_text = "'a ' || {L} || chr(10) || 'mail ' || substring({L}, 1, 6) || '@x.org'"

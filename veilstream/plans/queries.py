@@ -59,7 +59,11 @@ SQL["email_spans"] = _email_sql + "SELECT doc_id, s AS span_start, (s + length(v
 @query
 def pii_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("lang", F.size(apply_rule(F.col("text"), EMAIL)).alias("n"))
-    return d.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").cast("long").alias("emails"), F.sum((F.col("n") > 0).cast("int")).cast("long").alias("docs_with_email"))
+    return d.groupBy("lang").agg(
+        F.count("*").alias("docs"),
+        F.sum("n").cast("long").alias("emails"),
+        F.sum((F.col("n") > 0).cast("int")).cast("long").alias("docs_with_email"),
+    )
 
 
 SQL["pii_counts_by_lang"] = r"""
@@ -69,13 +73,24 @@ FROM (SELECT lang, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]
 
 
 def _as_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").withColumns({"target": F.when(F.col("doc_id") % 2 == 0, "ai_model").otherwise("local_review"), "mode": F.when(F.col("doc_id") % 3 == 0, "redact").when(F.col("doc_id") % 3 == 1, "warn").otherwise("block")})
+    return table(spark, sf_dir, "documents").withColumns(
+        {
+            "target": F.when(F.col("doc_id") % 2 == 0, "ai_model").otherwise("local_review"),
+            "mode": F.when(F.col("doc_id") % 3 == 0, "redact").when(F.col("doc_id") % 3 == 1, "warn").otherwise("block"),
+        }
+    )
 
 
 @query
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = redact_requests(_as_requests(spark, sf_dir))
-    return r.select("doc_id", "decision.*", "summary.*", F.md5("redacted_text").alias("redacted_md5"), F.length("redacted_text").alias("redacted_length"))
+    return r.select(
+        "doc_id",
+        "decision.*",
+        "summary.*",
+        F.md5("redacted_text").alias("redacted_md5"),
+        F.length("redacted_text").alias("redacted_length"),
+    )
 
 
 @query
@@ -100,7 +115,10 @@ SQL["length_buckets"] = "SELECT CASE WHEN length(text) <= 255 THEN '0-255' WHEN
 
 @query
 def dedup_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(cache_key(F.col("text")).alias("cache_key")).agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
+    return table(spark, sf_dir, "documents").groupBy(cache_key(F.col("text")).alias("cache_key")).agg(
+        F.count("*").alias("docs"),
+        F.min("doc_id").alias("first_doc"),
+    )
 
 
 SQL["dedup_cache_key"] = "SELECT length(text) || ':' || sha256(text) AS cache_key, count(*) AS docs, min(doc_id) AS first_doc FROM documents GROUP BY 1"
@@ -123,13 +141,37 @@ LINES = {
     "bearer": (f"concat('Authorization: Bearer ', {H})", r"(?i)Bearer\s+([A-Za-z0-9._=-]{12,})", 3.5),
     "oauth_code": (f"concat('GET /cb?code=', {H}, '&x=1')", r"(?i)[?&]code=([A-Za-z0-9_-]{20,200})", 3.0),
     "aws_signature": (f"concat('/f?X-Amz-Signature=', {H}, {H})", r"(?i)X-Amz-Signature=([a-f0-9]{64})", 3.5),
-    "webhook_url": (f"concat('https://hooks.slack.com/services/T', substring({H},1,8), '/B', substring({H},1,9), '/', substring({H},1,24))", r"(?i)https://hooks\.slack\.com/services/T[a-zA-Z0-9_]{8}/B[a-zA-Z0-9_]{8,12}/([a-zA-Z0-9_]{24})", 0.0),
+    "webhook_url": (
+        f"concat('https://hooks.slack.com/services/T', substring({H},1,8), '/B', substring({H},1,9), '/', substring({H},1,24))",
+        r"(?i)https://hooks\.slack\.com/services/T[a-zA-Z0-9_]{8}/B[a-zA-Z0-9_]{8,12}/([a-zA-Z0-9_]{24})",
+        0.0,
+    ),
     "session": (f"concat('Cookie: sid=', substring({H},1,12), '; theme=dark')", r"(?i)(?:sessionid|session|connect\.sid|sid)=([^;\s]{8,})", 3.0),
-    "db_connection": (f"concat('postgres://app:', {H}, '@db.internal:5432/app')", r"(?i)\b(?:postgres|postgresql|mysql|mongodb(?:\+srv)?)://[^:\s]+:([^@\s]+)@[^/\s]+/[^\s]+", 2.5),
-    "private_key": (f"concat('x -----BEGIN RSA PRIVATE KEY-----', {H}, '-----END RSA PRIVATE KEY----- y')", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]+?-----END [A-Z ]*PRIVATE KEY-----)", 0.0),
-    "webhook_secret": (f"concat('client_secret = ', {H})", r"(?i)\b(?:webhook_secret|signing_secret|client_secret|app_secret)\s*[:=]\s*([A-Za-z0-9._-]{8,})", 3.2),
-    "token": (f"concat('access-token: ', substring({H},1,14), ' ok')", r"(?i)\b(?:token|api[_-]?key|access[_-]?token|refresh[_-]?token)\s*[:=]\s*([A-Za-z0-9._-]{10,})", 3.2),
-    "verification_code": (f"concat('Your verification code is ', substring({H},1,6), '.')", r"(?i)(?:OTP|MFA code|verification code|passcode)\s*(?:is|are|for|=)?\s*:?\s*([A-Za-z0-9-]{4,10})", 0.0),
+    "db_connection": (
+        f"concat('postgres://app:', {H}, '@db.internal:5432/app')",
+        r"(?i)\b(?:postgres|postgresql|mysql|mongodb(?:\+srv)?)://[^:\s]+:([^@\s]+)@[^/\s]+/[^\s]+",
+        2.5,
+    ),
+    "private_key": (
+        f"concat('x -----BEGIN RSA PRIVATE KEY-----', {H}, '-----END RSA PRIVATE KEY----- y')",
+        r"(-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]+?-----END [A-Z ]*PRIVATE KEY-----)",
+        0.0,
+    ),
+    "webhook_secret": (
+        f"concat('client_secret = ', {H})",
+        r"(?i)\b(?:webhook_secret|signing_secret|client_secret|app_secret)\s*[:=]\s*([A-Za-z0-9._-]{8,})",
+        3.2,
+    ),
+    "token": (
+        f"concat('access-token: ', substring({H},1,14), ' ok')",
+        r"(?i)\b(?:token|api[_-]?key|access[_-]?token|refresh[_-]?token)\s*[:=]\s*([A-Za-z0-9._-]{10,})",
+        3.2,
+    ),
+    "verification_code": (
+        f"concat('Your verification code is ', substring({H},1,6), '.')",
+        r"(?i)(?:OTP|MFA code|verification code|passcode)\s*(?:is|are|for|=)?\s*:?\s*([A-Za-z0-9-]{4,10})",
+        0.0,
+    ),
 }
 _entropy_sql = "round(-list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: (length(v) - length(replace(v, c, ''))) / length(v)::DOUBLE * log2((length(v) - length(replace(v, c, ''))) / length(v)::DOUBLE))), 9)"
 
@@ -140,7 +182,13 @@ def _rule_query(kind: str, line: str) -> Callable[[SparkSession, str], DataFrame
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(line).alias("line"))
         s = o.select("o_orderkey", F.explode(secret_spans(F.col("line"), "balanced", rules)).alias("s"))
-        return s.select("o_orderkey", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.text").alias("value"), F.col("s.score").alias("score"))
+        return s.select(
+            "o_orderkey",
+            F.col("s.start").alias("span_start"),
+            F.col("s.end").alias("span_end"),
+            F.col("s.text").alias("value"),
+            F.col("s.score").alias("score"),
+        )
 
     return run
 
@@ -159,7 +207,16 @@ SELECT o_orderkey, s AS span_start, (s + length(v))::INTEGER AS span_end, v AS v
 def mode_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = f"concat('code ', substring({H},1,5), ' token=', substring({H},1,16), ' hf_', {H})"
     o = table(spark, sf_dir, "orders").select(F.expr(line).alias("line"))
-    o = o.select(F.array(*[F.struct(F.lit(k).alias("mode"), F.size(secret_spans(F.col("line"), k)).alias("n")) for k in ("high_recall", "balanced", "high_precision", "other")]).alias("x"))
+    o = o.select(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(k).alias("mode"),
+                    F.size(secret_spans(F.col("line"), k)).alias("n"),
+                ) for k in ("high_recall", "balanced", "high_precision", "other")
+            ]
+        ).alias("x")
+    )
     return o.select(F.explode("x").alias("x")).groupBy("x.mode").agg(F.sum("x.n").cast("long").alias("spans"))
 
 
@@ -231,7 +288,13 @@ def _structure_query(text: str, field: str) -> Callable[[SparkSession, str], Dat
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         o = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(fragments(F.expr(text.replace("\n", "\\n")))).alias("f"))
         where = "value_span" if field == "value" else "candidate_span"
-        return o.select("o_orderkey", F.col("f.structure_kind").alias("kind"), F.col(f"f.{field}").alias("value"), F.col(f"f.{where}.start").alias("value_start"), F.col(f"f.{where}.end").alias("value_end"))
+        return o.select(
+            "o_orderkey",
+            F.col("f.structure_kind").alias("kind"),
+            F.col(f"f.{field}").alias("value"),
+            F.col(f"f.{where}.start").alias("value_start"),
+            F.col(f"f.{where}.end").alias("value_end"),
+        )
 
     return run
 
@@ -260,9 +323,22 @@ UNION ALL SELECT 'db_connection', 0.9, count(*) FROM orders UNION ALL SELECT 'ap
 
 def _made_spans(key: Column) -> Column:
     """Two overlapping spans whose kinds and widths follow the key."""
-    span = lambda s, e, label, source: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), label.alias("label"), F.lit("k").alias("kind"), source.alias("source"), F.lit(0.5).alias("score"), F.array().cast("array<string>").alias("reason_codes"), F.lit("").alias("text"), F.lit(None).cast("string").alias("placeholder"))
+    span = lambda s, e, label, source: F.struct(
+        s.cast("int").alias("start"),
+        e.cast("int").alias("end"),
+        label.alias("label"),
+        F.lit("k").alias("kind"),
+        source.alias("source"),
+        F.lit(0.5).alias("score"),
+        F.array().cast("array<string>").alias("reason_codes"),
+        F.lit("").alias("text"),
+        F.lit(None).cast("string").alias("placeholder"),
+    )
     label = lambda k: F.when(k % 2 == 0, "secret").otherwise("pii")
-    return F.array(span(F.lit(0), 4 + key % 5, label(key), F.lit("regex")), span(F.lit(3), 8 + key % 7, label(F.floor(key / 2)), F.lit("parser_rule")))
+    return F.array(
+        span(F.lit(0), 4 + key % 5, label(key), F.lit("regex")),
+        span(F.lit(3), 8 + key % 7, label(F.floor(key / 2)), F.lit("parser_rule")),
+    )
 
 
 @query
@@ -305,7 +381,17 @@ SELECT target, decision, risk_level, reason, count(*) AS requests FROM (
 def _timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.col("event_id")
-    return m.record(e.select(k.alias("seq"), F.col("event_type").alias("endpoint"), (k * 37 % 6000).cast("int").alias("text_length"), *[((k * (i + 3)) % 1000 / 1024).alias(c) for i, c in enumerate(m.SECONDS)], (k % 5).cast("int").alias("span_count"), (k % 3).cast("int").alias("secret_count"), (k % 2).cast("int").alias("pii_count")))
+    return m.record(
+        e.select(
+            k.alias("seq"),
+            F.col("event_type").alias("endpoint"),
+            (k * 37 % 6000).cast("int").alias("text_length"),
+            *[((k * (i + 3)) % 1000 / 1024).alias(c) for i, c in enumerate(m.SECONDS)],
+            (k % 5).cast("int").alias("span_count"),
+            (k % 3).cast("int").alias("secret_count"),
+            (k % 2).cast("int").alias("pii_count"),
+        )
+    )
 
 
 _timing_sql = """
@@ -347,7 +433,16 @@ SQL["hit_types"] = _timing_sql + "SELECT ht AS hit_type, count(*) AS requests FR
 @query
 def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order is a page of one line: its priority and, far to the right, its status."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("file_id"), F.explode(F.array(F.struct(F.lit("Order").alias("text"), F.lit(0.0).alias("x0"), F.lit(30.0).alias("x1")), F.struct(F.substring(F.expr(H), 1, 8).alias("text"), F.lit(33.0).alias("x0"), F.lit(80.0).alias("x1")), F.struct(F.col("o_orderstatus").alias("text"), F.lit(150.0).alias("x0"), F.lit(160.0).alias("x1")))).alias("w"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("file_id"),
+        F.explode(
+            F.array(
+                F.struct(F.lit("Order").alias("text"), F.lit(0.0).alias("x0"), F.lit(30.0).alias("x1")),
+                F.struct(F.substring(F.expr(H), 1, 8).alias("text"), F.lit(33.0).alias("x0"), F.lit(80.0).alias("x1")),
+                F.struct(F.col("o_orderstatus").alias("text"), F.lit(150.0).alias("x0"), F.lit(160.0).alias("x1")),
+            )
+        ).alias("w"),
+    )
     words = o.select("file_id", F.lit(0).alias("page_index"), "w.text", "w.x0", F.lit(10.0).alias("y0"), "w.x1", F.lit(20.0).alias("y1"))
     return layout_pages(words).select("file_id", "text", F.size("char_boxes").alias("boxes"))
 
@@ -358,7 +453,13 @@ SQL["layout_lines"] = "SELECT o_orderkey::VARCHAR AS file_id, 'Order ' || substr
 @query
 def rect_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three boxes in a row of which the third stands apart by the key."""
-    box = lambda x, w: F.struct(F.lit(0).alias("page_index"), x.cast("double").alias("x0"), F.lit(0.0).alias("y0"), (x + w).cast("double").alias("x1"), F.lit(10.0).alias("y1"))
+    box = lambda x, w: F.struct(
+        F.lit(0).alias("page_index"),
+        x.cast("double").alias("x0"),
+        F.lit(0.0).alias("y0"),
+        (x + w).cast("double").alias("x1"),
+        F.lit(10.0).alias("y1"),
+    )
     gap = (F.col("o_orderkey") % 10).cast("double")
     rects = merge_rects(F.array(box(F.lit(0.0), 5), box(F.lit(6.0), 5), box(11.0 + gap, 5)))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.size(rects).alias("rects"), F.get(rects, F.lit(0))["x1"].alias("first_x1"))

@@ -50,10 +50,18 @@ LINES = {
     "R18": ["GET /cb?code={h}&x=1", "?code={h19}", "/a?b=1&CODE={u20}", "barcode={h}"],
     "R19": ["/f?X-Amz-Signature={h}{h}", "x-amz-signature={h}{h31}", "&X-Amz-Signature={u}{u}&"],
     "R20": ["/f?Signature={h}%2F{h5}", "&signature={h}+{h7}", "?Signature={h}{h7}", "XSignature={h}{h}"],
-    "R21": ["https://hooks.slack.com/services/T{h8}/B{h9}/{h24}", "https://hooks.slack.com/services/T{h8}/B{h7}/{h24}", "HTTPS://HOOKS.SLACK.COM/services/T{u8}/B{u12}/{u24}."],
+    "R21": [
+        "https://hooks.slack.com/services/T{h8}/B{h9}/{h24}",
+        "https://hooks.slack.com/services/T{h8}/B{h7}/{h24}",
+        "HTTPS://HOOKS.SLACK.COM/services/T{u8}/B{u12}/{u24}.",
+    ],
     "R22": ["Cookie: sid={h12}; theme=dark", "Set-Cookie: session={h7}; x", "connect.sid={u}", "SessionID={h}{n}sid={h9}"],
     "R23": ["postgres://app:{h}@db.internal:5432/app", "mysql://u:{h}@h", "x mongodb+srv://a:{u20}@c.net/p?x=1 y", "mypostgres://a:{h}@b/c"],
-    "R24": ["x -----BEGIN RSA PRIVATE KEY-----{n}{h}{n}-----END RSA PRIVATE KEY----- y", "-----BEGIN PUBLIC KEY-----{h}-----END PUBLIC KEY-----", "-----BEGIN PRIVATE KEY-----{h}"],
+    "R24": [
+        "x -----BEGIN RSA PRIVATE KEY-----{n}{h}{n}-----END RSA PRIVATE KEY----- y",
+        "-----BEGIN PUBLIC KEY-----{h}-----END PUBLIC KEY-----",
+        "-----BEGIN PRIVATE KEY-----{h}",
+    ],
     "R25": ["client_secret = {h}", "SIGNING_SECRET:{u}", "my_app_secret={h}", "webhook_secret={h7}", "app_secret{tab}={tab}{h8}"],
     "R26": ["access-token: {h14} ok", "api_key={h9}", "TOKEN = {u}", "refreshtoken={h10}", "xtoken={h}"],
     "R27": ["your code is {h6}.", "OTP: {h4}", "MFA code {u10}x", "验证码为：{d}。", "passcode={h3}"],
@@ -130,7 +138,13 @@ def _query(rule: Rule) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.expr(line_sql(rule.id)).alias("line"))
         s = lines.select("o_orderkey", F.explode(apply_rule(F.col("line"), rule)).alias("s"))
-        return s.select("o_orderkey", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.text").alias("value"), "s.score")
+        return s.select(
+            "o_orderkey",
+            F.col("s.start").alias("span_start"),
+            F.col("s.end").alias("span_end"),
+            F.col("s.text").alias("value"),
+            "s.score",
+        )
 
     return run
 

@@ -31,4 +31,10 @@ def running_metrics(records: DataFrame, size: int = LAST) -> DataFrame:
         state.update((count, [int(s) for s, _ in held], [float(x) for _, x in held]))
         yield pd.DataFrame({"endpoint": [key[0]], "total_requests": [count], "avg_total": [round(sum(x for _, x in held) / len(held), 6)]})
 
-    return records.groupBy("endpoint").applyInPandasWithState(run, "endpoint string, total_requests long, avg_total double", "count long, seqs array<long>, seconds array<double>", "update", GroupStateTimeout.NoTimeout)
+    return records.groupBy("endpoint").applyInPandasWithState(
+        run,
+        "endpoint string, total_requests long, avg_total double",
+        "count long, seqs array<long>, seconds array<double>",
+        "update",
+        GroupStateTimeout.NoTimeout,
+    )
