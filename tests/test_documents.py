@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from veilstream.operators import metrics
 from veilstream.operators.layout import layout_pages, quality_flags
-from veilstream.operators.model import model_spans
+from veilstream.operators.model import cache_stats, lru_replay, model_spans
 from veilstream.operators.structured import fragments
-from veilstream.sources.docx import redacted, text_of
+from veilstream.sources.docx import read_docx, redact_docx, redacted, text_of
 from veilstream.sources.files import bbox_words, ocr_pages, ocr_text
-from veilstream.streaming.stream import redact_stream
+from veilstream.streaming.stream import redact_stream, running_metrics
 
 
 LINES = [
@@ -132,3 +132,76 @@ def test_stream_is_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.redacted_text for r in spark.sql("select * from redacted").collect()] == ["token=<SECRET>"]
+
+
+def test_running_metrics(spark, tmp_path):
+    """A state of bounded size: the count so far and the mean of the last 20 by seq, also for records that come late."""
+    rows = [("scan" if i % 3 else "decide", i, i / 4) for i in range(70)]
+    schema = "endpoint string, seq long, total_seconds double"
+    for k, part in enumerate((rows[:30], rows[45:], rows[30:45])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = running_metrics(stream).writeStream.outputMode("update").format("memory").queryName("running").option("checkpointLocation", f"{tmp_path}/c").start()
+    q.processAllAvailable()
+    q.stop()
+    last = {}
+    for r in spark.sql("select * from running").collect():
+        if r.total_requests >= last.get(r.endpoint, (0, 0))[0]:
+            last[r.endpoint] = r.total_requests, r.avg_total
+    for name in ("scan", "decide"):
+        own = [x for e, _, x in rows if e == name]
+        assert last[name] == (len(own), round(sum(own[-20:]) / 20, 6))
+
+
+def test_lru_replay(spark):
+    texts = [str((i * i + i // 3) % 9) for i in range(200)]
+    d = spark.createDataFrame([("s" if i % 2 else "t", i, x) for i, x in enumerate(texts)], "stream string, o int, text string").repartition(3)
+    got = {r.stream: (r.hits, r.misses, r.entries) for r in lru_replay(d, "stream", "o", size=4).collect()}
+    for name, odd in (("s", 1), ("t", 0)):
+        held, hits = [], 0
+        for x in texts[odd::2]:
+            hits += x in held
+            held = ([y for y in held if y != x] + [x])[-4:]
+        assert got[name] == (hits, 100 - hits, len(held))
+
+
+def test_runtime(spark):
+    r = metrics.Runtime()
+    assert r.status == "warming" and r.readiness()[0] == 503 and r.health()["status"] == "ok"
+    r.prewarm(lambda texts: texts, flag="off")
+    r.prewarm(lambda texts: texts, testing=True)
+    r.prewarm(None)
+    assert not r.warmed
+    r.prewarm(lambda texts: 1 / 0)
+    assert (r.status, r.warmed) == ("failed", True) and "division" in r.error
+    r.prewarm(lambda texts: texts, flag="1")
+    assert r.status == "ready" and r.readiness()[0] == 200 and r.seconds >= 0
+    records = metrics.record(spark.createDataFrame([(1, None, 10, 0.1, 0.0, 0.0, 0.0, 0.25, 1, 1, 0)], RECORD))
+    s = r.stats(cache_stats(spark.createDataFrame([("a",), ("a",)], "text string")), records)
+    assert s["cache"]["hit_rate"] == 0.5 and s["requests"]["total_requests"] == 1 and s["runtime"]["status"] == "ready"
+    empty = metrics.snapshot(records.limit(0)).first()
+    assert empty.total_requests == 0 and empty.avg_total_seconds == 0.0 and metrics.last(records.limit(0)).count() == 0
+
+
+RECORD = (
+    "seq long, endpoint string, text_length int, opf_seconds double, parser_seconds double, regex_seconds double, "
+    "merge_seconds double, total_seconds double, span_count int, secret_count int, pii_count int"
+)
+
+
+def test_a_bad_text_costs_no_other_its_spans(spark):
+    def provider(texts):
+        if any(t.startswith("boom") for t in texts):
+            raise RuntimeError("boom")
+        return [[{"start": 0, "end": 1, "label": "secret", "text": t[0]}] for t in texts]
+
+    rows = [(i, ("boom" if i == 3 else "fine") + str(i) * 600) for i in range(6)] + [(6, None), (7, "short")]
+    r = {x.id: x for x in model_spans(spark.createDataFrame(rows, "id int, text string").coalesce(1), provider).collect()}
+    assert [len(r[i].spans_model) for i in range(8)] == [1, 1, 1, 0, 1, 1, 0, 0]
+    assert [bool(r[i].spans_model_error) for i in range(8)] == [i == 3 for i in range(8)]
+
+
+def test_corrupt_docx(spark):
+    files = spark.createDataFrame([("a", b"no zip", ["x"]), ("b", None, ["x"]), ("c", b"PK" + b"\0" * 40, [])], "path string, content binary, redact_values array<string>")
+    assert all(r.text is None and r.error for r in read_docx(files).collect())
+    assert all(r.content is None and r.error for r in redact_docx(files).collect())
