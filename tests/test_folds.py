@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilstream.functions.folds import apart, grow, outside, running
 from veilstream.functions.matching import matches
-from veilstream.operators.merge import merge
+from veilstream.operators.merge import merge, redact
 
 
 def test_running_and_grow(spark):
@@ -89,3 +89,20 @@ def test_merge_of_many_spans(spark):
         elif rank(x) > rank(kept[-1]):
             kept[-1] = x
     assert [(m.start, m.end, m.label) for m in got] == [x[:3] for x in kept]
+
+
+def test_redaction_of_many_spans(spark):
+    rng = random.Random(4)
+    kind = "start:int,end:int,label:string,kind:string,source:string,score:double,reason_codes:array<string>,text:string,placeholder:string"
+    rows = []
+    for n in (0, 1, 128, 129, 500):
+        text = "".join(rng.choice("ab é😀") for _ in range(3000))
+        spans = [(s, s + rng.randint(1, 9), rng.choice(["secret", "pii"])) for s in (rng.randint(0, 2980) for _ in range(n))]
+        rows.append((text, [(s, e, label, "k", "regex", 0.5, [], None, None) for s, e, label in spans]))
+    d = spark.createDataFrame(rows, f"t string, s array<struct<{kind}>>").coalesce(1)
+    for r in d.select("t", "s", redact(F.col("t"), F.col("s")).alias("r")).collect():
+        out, pos = "", 0
+        for x in sorted(r.s, key=lambda x: x.start):
+            if x.start >= pos:
+                out, pos = out + r.t[pos : x.start] + ("<SECRET>" if x.label == "secret" else "<REDACTED>"), x.end
+        assert r.r == out + r.t[pos:]

@@ -123,3 +123,17 @@ def outside(spans: Column, others: Column) -> Column:
     plain = F.array_sort(F.transform(others, lambda o: F.struct(o["start"].alias("start"), (-o["end"]).alias("end"))).cast(f"array<{kind}>"))
     turned = F.transform(plain, lambda o: F.struct(o["start"].alias("start"), (-o["end"]).alias("end"))).cast(f"array<{kind}>")
     return F.when(F.size(others) <= CHUNK, few).otherwise(let(grow(turned, kind, widest), lambda w: let(chunks(w), many)))
+
+
+def replaced(text: Column, cuts: Column, put: Callable[[Column], Column]) -> Column:
+    """text with put(cut) in place of each of cuts (structs with start and end, disjoint, by start). Each substring() reads from
+    the text's begin, so for many cuts the text is taken apart once."""
+
+    def whole(all_: Column, between: Callable[[Column, Column], Column]) -> Column:
+        end = lambda i: F.coalesce(F.get(all_, i)["end"], F.lit(0))
+        pieces = F.transform(all_, lambda x, i: F.concat(between(F.when(i > 0, end(i - 1)).otherwise(0), x["start"]), put(x)))
+        return F.concat(F.array_join(pieces, ""), between(end(F.size(all_) - 1), F.length(text)))
+
+    few = lambda all_: whole(all_, lambda a, b: F.substring(text, a + 1, b - a))
+    many = lambda all_: let(F.split(text, ""), lambda c: whole(all_, lambda a, b: F.array_join(F.slice(c, a + 1, F.greatest(b - a, F.lit(0))), "")))
+    return let(cuts, lambda all_: F.when(F.size(all_) <= CHUNK, few(all_)).otherwise(many(all_)))
