@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilstream.functions.folds import let, outside
+from veilstream.functions.folds import grow, let, outside, replaced
 from veilstream.functions.matching import matches
 
 KINDS = ["assign", "access", "hex", "entropy"]
@@ -171,18 +171,16 @@ def of_kind(spans: Column, kind: int) -> Column:
 
 def redact(text: Column, spans: Column, with_: str) -> Column:
     """text with each span replaced; overlapping spans by one replacement. spans are sorted by start."""
-    t = F.coalesce(text, F.lit(""))
+    kind = "struct<start:int,end:int>"
 
     def step(acc: Column, x: Column) -> Column:
-        gap = F.when(x["start"] >= acc["pos"], F.concat(F.substring(t, acc["pos"] + 1, x["start"] - acc["pos"]), F.lit(with_))).otherwise("")
-        return F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), F.concat(acc["out"], gap).alias("out"))
-
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
-        step,
-        lambda acc: F.concat(acc["out"], F.substring(t, acc["pos"] + 1, F.length(t))),
-    )
+        last = F.get(acc, F.size(acc) - 1)
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        shorter = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        return F.when((F.size(acc) > 0) & (x["start"] < last["end"]), F.concat(shorter, F.array(both))).otherwise(F.concat(acc, F.array(x)))
+
+    plain = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).cast(f"array<{kind}>")
+    done = replaced(F.coalesce(text, F.lit("")), grow(plain, kind, step), lambda _: F.lit(with_))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
