@@ -9,7 +9,7 @@ At most `train_docs` labelled documents (smallest hash of doc_id first) are fitt
 most `train_lines` lines together: a document longer than what is left of these is skipped whole and the next is tried,
 but a label none of whose documents fits gives its shortest. Every line of every text is scored. Null texts and texts without characters get the score of an empty document,
 the curve at the mean share. An id with several labels takes its largest. Repeated rows are scored each. With no labels
-the score is 1. Labels, lang, source and doc_id are never inputs of a score.
+the score is 1. Equal scores stay equal; other columns are ignored. An empty table gives no rows. Labels, lang, source and doc_id are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from veilstream.llm.crf import Adam, posterior, transition_counts, true_transiti
 from veilstream.llm.textnum import slices, word_hashes, words
 
 TRAIN_DOCS, TRAIN_LINES = 6000, 384_000
+SPARE = 4
 WIDTH = 16
 
 _class = np.full(256, 9, np.uint8)  # 9: other
@@ -68,7 +69,17 @@ def lines(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     w0, w1 = np.searchsorted(s, start), np.searchsorted(s, end)
     nw = np.maximum(w1 - w0, 1)
     letters = np.maximum(counts[:, 0] + counts[:, 1] + counts[:, 8], 1)
-    x = np.column_stack([counts / n[:, None], counts[:, 0] / letters, (same[w1] - same[w0]) / nw, np.minimum(nw, 40) / 40, np.minimum(n / nw, 20) / 20, (counts[:, 5] + counts[:, 6] + counts[:, 7]) / nw, np.ones(len(n))])
+    x = np.column_stack(
+        [
+            counts / n[:, None],
+            counts[:, 0] / letters,
+            (same[w1] - same[w0]) / nw,
+            np.minimum(nw, 40) / 40,
+            np.minimum(n / nw, 20) / 20,
+            (counts[:, 5] + counts[:, 6] + counts[:, 7]) / nw,
+            np.ones(len(n)),
+        ]
+    )
     return x, n, np.searchsorted(start, at)
 
 
@@ -148,8 +159,13 @@ def choose(sizes: list[tuple], total: int) -> list[tuple]:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Model | None:
-    usable = labels.where(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    usable = labels.where(
+        F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), 5) != 0)
+    ).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    # only documents of small hashes are put in order: some SPARE times as many as are taken
+    n = usable.count()
+    small = F.xxhash64("doc_id") <= F.lit(min(int(2**64 * (SPARE * (train_docs + 16) / max(n, 1))), 2**64 - 1) - 2**63)
+    chosen = usable.where(small).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x != ""))
     sizes = docs.select("doc_id", n_lines.alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.sum("n").alias("n"))
     sizes = [tuple(r) for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]  # train_docs rows at most
@@ -166,7 +182,10 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
                 for i in range(len(at) - 1):
                     own = slice(first[i], first[i + 1])
                     out.append((x[own].astype(np.float32).tobytes(), n[own].astype(np.float32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), batch.column(1)], ["x", "n", "quality"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), batch.column(1)],
+                ["x", "n", "quality"],
+            )
 
     got = rows.mapInArrow(run, "x binary, n binary, quality int").collect()
     if not got:
@@ -196,4 +215,9 @@ def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFram
 def classify(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     s = score(docs.select("doc_id", "text"), train(docs, labels))
-    return s.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    return s.select(
+        "doc_id",
+        (remainder(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= least).cast("int").alias("predicted"),
+    )
