@@ -34,8 +34,8 @@ from veilstream.llm.store import Store
 from veilstream.llm.textnum import mix, slices, word_hashes
 
 BACKOFF = 0.4
-CHUNK = 1_500_000  # words of a block
-PER_BUCKET, LEAST_BUCKETS = 2_000_000, 32
+CHUNK = 400_000  # words of a block
+PER_BUCKET, LEAST_BUCKETS = 800_000, 32
 ROWS = "bucket int, chunk long, kind int, payload binary"
 
 
@@ -85,12 +85,23 @@ class Words:
 
     def packed(self) -> bytes:
         distinct, place = np.unique(self.h, return_inverse=True)
-        return _pack(self.ids.view(np.uint64), self.known.view(np.uint8), _small(np.diff(self.first)), np.diff(distinct, prepend=np.uint64(0)), _small(place))
+        return _pack(
+            self.ids.view(np.uint64),
+            self.known.view(np.uint8),
+            _small(np.diff(self.first)),
+            np.diff(distinct, prepend=np.uint64(0)),
+            _small(place),
+        )
 
     @staticmethod
     def unpacked(data: bytes) -> Words:
         ids, known, sizes, gaps, place = _unpack(data, 5)
-        return Words(ids.view(np.int64), known.view(bool), np.cumsum(gaps.astype(np.uint64), dtype=np.uint64)[place], np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
+        return Words(
+            ids.view(np.int64),
+            known.view(bool),
+            np.cumsum(gaps.astype(np.uint64), dtype=np.uint64)[place],
+            np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]),
+        )
 
     def __post_init__(self) -> None:
         before = np.full(len(self.h) + 2, 2, np.int8)  # the number of words before each one in its row, up to 2
@@ -136,7 +147,10 @@ def blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for i, w in enumerate(_blocks(batches)):
-            yield pa.RecordBatch.from_arrays([pa.array([first + i]), pa.array([len(w.h)]), pa.array([w.packed()], pa.binary())], ["chunk", "words", "payload"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([first + i]), pa.array([len(w.h)]), pa.array([w.packed()], pa.binary())],
+                ["chunk", "words", "payload"],
+            )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "chunk long, words long, payload binary")
 
@@ -192,7 +206,7 @@ def score(docs: DataFrame, own: int = 1) -> DataFrame:
     """doc_id, n_tokens, n_seen (tokens whose three occur elsewhere), score (sum of logarithms)."""
     store = Store(docs.sparkSession, "lm")
     words = store.keep(blocks(docs), "words")
-    n = words.agg(F.sum("words")).first()[0] or 0
+    n, chunks = words.agg(F.coalesce(F.sum("words"), F.lit(0)), F.count("*")).first()
     buckets = max(LEAST_BUCKETS, -(-n // PER_BUCKET))
     threes = store.keep(counts(words.select("chunk", "words", "payload"), [2], buckets), "threes")
     store.release()
@@ -207,7 +221,13 @@ def score(docs: DataFrame, own: int = 1) -> DataFrame:
             own_rows = np.flatnonzero(kinds == kind)
             parts = [_unpack(table["payload"][int(i)].as_py(), 1 if kind == 2 else 2) for i in own_rows[np.argsort(at[own_rows])]]
             _, of = np.unique(w.keys(kind)[0], return_inverse=True)
-            found.append([np.concatenate(x).astype(np.int64)[of] if len(of) else of for x in (zip(*parts, strict=True) if parts else [of] * (1 if kind == 2 else 2))])
+            found.append(
+                [
+                    np.concatenate(x).astype(np.int64)[of] if len(of) else of for x in (
+                        zip(*parts, strict=True) if parts else [of] * (1 if kind == 2 else 2)
+                    )
+                ]
+            )
         (c1, f1), (c2, f2), (c3,) = found
         value, seen = np.zeros(len(w.h), np.int64), np.zeros(len(w.h), bool)
         pairs, first = np.zeros((len(w.h), 2), np.int64), np.ones(len(w.h), bool)
@@ -224,10 +244,13 @@ def score(docs: DataFrame, own: int = 1) -> DataFrame:
         seen[w.third[three]] = True
         value[w.third[three]] = less(c3[three], pairs[w.third[three] - 1, 1])
         sums = [np.concatenate([[0], np.cumsum(x)])[w.first] for x in (value, seen.astype(np.int64))]
-        return pa.table({"doc_id": pa.array(w.ids, mask=~w.known), "n_tokens": np.diff(w.first), "n_seen": np.diff(sums[1]), "score": np.diff(sums[0])})
+        return pa.table(
+            {"doc_id": pa.array(w.ids, mask=~w.known), "n_tokens": np.diff(w.first), "n_seen": np.diff(sums[1]), "score": np.diff(sums[0])}
+        )
 
     asked = words.select(F.lit(-1).alias("bucket"), "chunk", F.lit(-1).alias("kind"), "payload")
-    each = threes.union(others).union(asked).groupBy("chunk").applyInArrow(total, "doc_id long, n_tokens long, n_seen long, score long")
+    met = threes.union(others).union(asked).repartition(max(chunks, 1), "chunk")
+    each = met.groupBy("chunk").applyInArrow(total, "doc_id long, n_tokens long, n_seen long, score long")
     sums = each.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_seen", "score")])
     return sums.withColumn("score", F.col("score") / F.lit(1e6))
 

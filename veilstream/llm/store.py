@@ -53,5 +53,6 @@ class Store:
 
     def release(self) -> None:
         """Let Spark remove the shuffle files of finished steps now rather than at some later garbage collection."""
+        self.spark.range(1).count()  # Spark holds on to its last job
         gc.collect()
         self.spark._jvm.System.gc()
