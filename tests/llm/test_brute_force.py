@@ -409,3 +409,30 @@ def test_decontamination_against_plain_edit_distance(spark):
             n = nearest(x.strip(), low)
             assert ((j, i) in got) == (n <= limit), (j, i, n, limit)
             assert (j, i) not in got or got[j, i] == n
+
+
+def test_decontamination_with_runs(spark):
+    """Runs of one character of several lengths, in passages and documents, beside other text."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    line = lambda n: f"{word()} {word()} " + rng.choice("=-") * n
+    items = [(i, " ".join(line(rng.choice([0, 11, 12, 13, 30, 60])) for _ in range(3))[:150]) for i in range(12)]
+    items = [(i, re.sub(" +", " ", x).strip()) for i, x in items]
+    items = [(i, x) for i, x in items if len(x) >= 60]
+    docs = []
+    for _, x in items:
+        for k in range(0, 12, 3):
+            t = x
+            for _ in range(k):
+                j = rng.randrange(len(t))
+                t = t[:j] + rng.choice(["", "z", t[j] * 2]) + t[j + 1 :]
+            docs.append(f"{line(70)} {t} {line(25)}")
+    docs += ["=" * 130_000, "-" * 50 + " " + "=" * 59]
+    items += [(90, "=" * 32_000), (91, "=" * 60)]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(2)
+    got = {(r.doc_id, r.item_id): r.edits for r in decontam.matches(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(len(docs) - 2, 90), (len(docs) - 2, 91), (len(docs) - 1, 91)} <= set(got)
+    for j, t in enumerate(docs[:-2]):
+        for i, x in items[:-2]:
+            n = nearest(x, re.sub(" +", " ", t))
+            assert ((j, i) in got) == (n <= len(x) * decontam.ERRORS // 100), (j, i, n)

@@ -64,6 +64,27 @@ def grams(low: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xD6E8FEB86659FD93)
 
 
+def runs(low: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the first and last q-gram of each stretch of one repeated byte within a row."""
+    n = len(low) - Q + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    equal = np.concatenate([[0], np.cumsum(low[1:] == low[:-1])])
+    where = np.flatnonzero(equal[Q - 1 :] - equal[:n] == Q - 1)
+    row = np.searchsorted(at, where, "right") - 1
+    inside = where + Q <= at[row + 1]
+    where, row = where[inside], row[inside]
+    cut = np.flatnonzero((np.diff(where) != 1) | (np.diff(row) != 0))
+    edges = np.concatenate([[0], cut + 1, [len(where)]])
+    return (where[edges[:-1]], where[edges[1:] - 1]) if len(where) else (where, where)
+
+
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, .. of n each."""
+    n = np.maximum(n, 0)
+    return np.repeat(start - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
+
+
 def prefixes(low: np.ndarray) -> np.ndarray:
     """Sums modulo 2^64 that give the hash of any stretch: see hashed()."""
     sums = np.zeros(len(low) + 1, np.uint64)
@@ -76,27 +97,39 @@ def hashed(sums: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
 
 
 class Index:
-    """The q-grams of some passages, and a bitmap that tells most others apart; of short ones, the hashes by length."""
+    """The q-grams of some passages, and a bitmap that tells most others apart; of short ones, the hashes by length.
+
+    The q-grams of a run of one byte are all the same, and would meet all of such a run elsewhere. Runs meet as wholes, with their
+    begins and their ends on one diagonal: an alignment of few edits that holds no more of one run than of the other has one of these,
+    and one that holds parts of both alone has either."""
 
     def __init__(self, items: list[tuple[int, bytes]], least: int = Q):
         self.items = items
-        keys, item, pos = [], [], []
+        keys, item, pos, same = [], [], [], [(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))]
         short: dict[int, list[tuple[int, int]]] = {}
         for k, (_, text) in enumerate(items):
             if len(text) < max(least, Q):
                 own = hashed(prefixes(np.frombuffer(text, np.uint8)), np.array([0]), len(text))
                 short.setdefault(len(text), []).append((int(own[0]), k))
                 continue
-            g = grams(np.frombuffer(text, np.uint8))
-            keys.append(g)
-            item.append(np.full(len(g), k))
-            pos.append(np.arange(len(g)))
+            low = np.frombuffer(text, np.uint8)
+            g, (first, last) = grams(low), runs(low, np.array([0, len(low)]))
+            same.append((g[first], np.full(len(first), k), first, last))
+            plain = np.ones(len(g), bool)
+            plain[_spread(first, last - first + 1)] = False
+            keys.append(g[plain])
+            item.append(np.full(plain.sum(), k))
+            pos.append(np.flatnonzero(plain))
         keys_ = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(keys_, kind="stable")
         self.keys = keys_[order]
         self.item = np.concatenate(item)[order] if item else np.zeros(0, int)
         self.pos = np.concatenate(pos)[order] if pos else np.zeros(0, int)
         self.short = {n: (np.array([h for h, _ in sorted(x)], np.uint64), np.array([k for _, k in sorted(x)])) for n, x in short.items()}
+        # stretches of one repeated byte: q-gram, item, positions of the first and the last
+        self.runs = [np.concatenate(x) for x in zip(*same, strict=True)]
+        order = np.argsort(self.runs[0], kind="stable")
+        self.runs = [x[order] for x in self.runs]
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[self.keys >> np.uint64(44)] = True
 
@@ -107,8 +140,23 @@ class Index:
         n[some] = np.searchsorted(self.keys, g[some], "right") - np.searchsorted(self.keys, g[some], "left")
         return n
 
+    def meet(self, g: np.ndarray, first: np.ndarray, last: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As hits(), of the runs of g (first, last), for positions from begin to before end."""
+        some = np.flatnonzero((first < end) & (last >= begin))
+        value, item, a, b = self.runs
+        lo, hi = np.searchsorted(value, g[first[some]], "left"), np.searchsorted(value, g[first[some]], "right")
+        own, other = np.repeat(some, hi - lo), _spread(lo, hi - lo)
+        s, t, a, b = first[own], last[own], a[other], b[other]
+        parts = []
+        for shift, low, high, keep in ((a - s, s, np.minimum(t, s + b - a), None), (b - t, np.maximum(s, t - b + a), t, t - s != b - a)):
+            low, high = np.maximum(low, begin), np.minimum(high, end - 1)
+            n = np.maximum(high - low + 1, 0) if keep is None else np.where(keep, np.maximum(high - low + 1, 0), 0)
+            pos = _spread(low, n)
+            parts.append((pos, np.repeat(item[other], n), pos + np.repeat(shift, n)))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
     def hits(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in g, item, position in item) of every shared q-gram."""
+        """(position in g, item, position in item) of every shared q-gram but those of runs."""
         some = np.flatnonzero(self.bitmap[g >> np.uint64(44)])
         lo, hi = np.searchsorted(self.keys, g[some], "left"), np.searchsorted(self.keys, g[some], "right")
         n = hi - lo
@@ -171,15 +219,23 @@ def find(index: Index, low: np.ndarray, at: np.ndarray, window: int, errors: int
     Rows are gone through in stretches of text with about HITS shared q-grams, so that a long run of few characters in both
     sides needs no more memory; a stretch goes on into the next as far as a match can reach."""
     g = grams(low)
-    if not len(g) or not len(index.keys):
+    if not len(g) or not len(index.keys) + len(index.runs[0]):
         return []
-    sums = np.cumsum(index.counts(g))
+    first, last = runs(low, at) if len(index.runs[0]) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    counts = index.counts(g)
+    if len(first):
+        met = np.searchsorted(index.runs[0], g[first], "right") - np.searchsorted(index.runs[0], g[first], "left")
+        counts[_spread(first, last - first + 1)] += np.repeat(2 * met, last - first + 1)
+    sums = np.cumsum(counts)
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     begin, reach = 0, 2 * window + 4 * (window * errors // 100 + 1) + Q
     while begin < len(g):
         before = int(sums[begin - 1]) if begin else 0
         end = max(int(np.searchsorted(sums, before + HITS, "right")), begin + reach)
-        _find_in(index, low, at, g[begin : end + reach], begin, window, errors, found)
+        shared = [x + begin if i == 0 else x for i, x in enumerate(index.hits(g[begin : end + reach]))]
+        if len(first):
+            shared = [np.concatenate(x) for x in zip(shared, index.meet(g, first, last, begin, end + reach), strict=True)]
+        _find_in(index, low, at, shared, window, errors, found)
         begin = end
     return [(r, k, *v) for (r, k), v in found.items()]
 
@@ -188,15 +244,13 @@ def _find_in(
     index: Index,
     low: np.ndarray,
     at: np.ndarray,
-    g: np.ndarray,
-    begin: int,
+    shared: list[np.ndarray],
     window: int,
     errors: int,
     found: dict[tuple[int, int], tuple[int, int, int]],
 ) -> None:
-    """find() for the q-grams g from position begin on, added to found."""
-    pos, item, inner = index.hits(g)
-    pos = pos + begin
+    """find() for shared q-grams (position, item, position in item), added to found."""
+    pos, item, inner = shared
     row = np.searchsorted(at, pos, "right") - 1
     inside = pos + Q <= at[row + 1]
     pos, item, inner, row = pos[inside], item[inside], inner[inside], row[inside]
