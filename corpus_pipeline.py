@@ -19,7 +19,8 @@ LEAST_QUALITY = 0.3
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches LEAST_QUALITY. Without labels, all."""
+    """Documents whose quality score reaches LEAST_QUALITY; without labels, all. Null and empty texts score as an empty document
+    does, repeated rows alike. An empty table stays empty, as in every stage; extra columns stay in all but the last."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model, "_veil_quality").where(F.col("_veil_quality") >= LEAST_QUALITY).select(*docs.columns)
 
@@ -31,12 +32,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark passage is found."""
+    """Documents in which no benchmark passage is found; null and empty texts hold none, and rows are dropped one by one, with
+    or without doc_id. Without a benchmark, all."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, every secret replaced by <SECRET>, and n_chars, where there is one, of the new text."""
+    """All documents, every secret replaced by <SECRET> (overlapping ones by one), and n_chars, where there is one, of the new
+    text. Rows without secrets, null texts among them, stay as they are."""
     found = secretscan.scan(docs)
     out = found.withColumn("text", secretscan.redact(F.col("text"), F.col(secretscan.SECRETS), "<SECRET>"))
     if "n_chars" in docs.columns:
@@ -48,7 +51,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them: doc_id, source, n_tokens, weight, pass."""
+    """Documents as often as the mixture takes them: doc_id, source, n_tokens, weight, pass. A null source is one of its own;
+    repeated rows each count; documents without words go with their block; sources without words have no weight."""
     return mixing.mix(docs)
 
 
