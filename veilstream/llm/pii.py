@@ -8,7 +8,8 @@ driver reads. Expectation-maximisation on these counts gives each labeler's reli
 a logistic classifier on the votes is fitted to the posteriors and applied as a Catalyst expression. Candidates that it
 accepts and that overlap no base span are added.
 
-Null and empty texts have no spans; whole texts are read; each input row gives one row; other columns are ignored.
+Null and empty texts have no spans; whole texts are read; each input row gives one row, repeated ones too; other
+columns are ignored; an empty table gives no rows. Spans go by kind, then start; of wider candidates that overlap each other all stay.
 With no candidates at all nothing is fitted and nothing added.
 """
 

@@ -8,7 +8,7 @@ counts. A candidate takes time in proportion to its length. A candidate whose be
 allow-list suppresses it or it lies within a base span. One that holds or crosses a base span is kept whole.
 
 All of it is Catalyst expressions. Null and empty texts have no spans; texts are scanned whole; each input row gives one
-row, repeated ids included; other columns stay as they are.
+row, repeated ids included; an empty table gives none. Other columns stay as they are; spans of one start go by kind.
 """
 
 from __future__ import annotations
